@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sextant.llm.quality import RULES, STOP_WORDS
+from sextant.llm.secrets import KINDS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -51,4 +52,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 """
 
 
-ORACLES: dict[str, str] = {"op1_pareto_mix": OP1, "op2_quality_rules": _op2()}
+def _op4() -> str:
+    q = lambda p: p.replace("'", "''")
+    lens = "list_transform({}, lambda x: length(x))"
+    one = lambda i, k: rf"""
+  SELECT rid, doc_id, owner, {i} AS no, '{k.name}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'a': CAST(list_sum({lens.format("g[1:i]")}) + coalesce(list_sum({lens.format("m[1:i - 1]")}), 0) AS BIGINT), 'm': m[i], 'v': v[i]}})) AS x
+  FROM (SELECT rid, doc_id, owner, string_split_regex(t, '{q(k.pattern)}') AS g, regexp_extract_all(t, '{q(k.pattern)}', 0) AS m, regexp_extract_all(t, '{q(k.pattern)}', {k.group}) AS v FROM d)"""
+    base = ", ".join(f"'{k.name}'" for k in KINDS if k.base)
+    least = " ".join(f"WHEN '{k.name}' THEN {k.least}" for k in KINDS)
+    said = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, no, b)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS owner, coalesce(text, '') AS t FROM documents),
+raw AS ({" UNION ALL ".join(one(i, k) for i, k in enumerate(KINDS))}),
+f AS (SELECT rid, doc_id, owner, no, kind, x.a AS a, x.a + length(x.m) AS b, sha256(x.v) AS h FROM raw WHERE length(x.v) >= CASE kind {least} END),
+own AS (SELECT h, count(DISTINCT coalesce(owner, chr(0))) AS owners FROM f GROUP BY h),
+r AS (SELECT rid, {" ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}," for k in KINDS if k.base)}
+  {said} FILTER (kind IN ({base})) AS base, {said} AS spans, count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners = 2) AS n_shared, count(*) FILTER (owners >= 3) AS n_example
+  FROM f JOIN own USING (h) GROUP BY rid)
+SELECT doc_id, {" ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}," for k in KINDS if k.base)} sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN r USING (rid)
+"""
+
+
+OP6 = r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, x, CASE x WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(x)),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+m AS (SELECT *, length(text) + len(regexp_extract_all(text, '([<\[])(\\*)(<SYS>>|</SYS>>|s>|/s>|INST\]|/INST\]|\|role:|\|/role\|>)'))
+  + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 18 + 2 * strlen(role) END AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn NULLS FIRST, role, text), 's?(ua)+') AS valid
+FROM m GROUP BY conv_id
+""".replace("\\", "\\")
+
+
+ORACLES: dict[str, str] = {"op1_pareto_mix": OP1, "op2_quality_rules": _op2(), "op4_secret_owners": _op4(), "op6_chat_format": OP6}
