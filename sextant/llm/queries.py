@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import chat, mixing, quality, secrets
+from sextant.llm import chat, jaccard, mixing, quality, secrets
 from sextant.llm.queries_sql import ORACLES
 
 
@@ -24,6 +24,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.shingle_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -38,6 +42,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_groups": op3_token_groups,
     "op4_secret_owners": op4_secret_owners,
     "op6_chat_format": op6_chat_format,
 }

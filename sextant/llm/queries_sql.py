@@ -52,6 +52,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 """
 
 
+OP3 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+x AS (SELECT rid, unnest(s) AS t FROM g),
+i AS (SELECT a.rid AS p, b.rid AS q, count(*) AS n FROM x a JOIN x b ON a.t = b.t AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT p, q FROM i JOIN g a ON a.rid = p JOIN g b ON b.rid = q WHERE 100 * n >= 75 * (len(a.s) + len(b.s) - n)),
+e AS (SELECT p, q FROM l UNION SELECT q, p FROM l),
+r AS (SELECT rid AS p, rid AS q FROM g UNION SELECT r.p, e.q FROM r JOIN e ON r.q = e.p)
+SELECT a.doc_id, CAST(len(any_value(a.s)) AS BIGINT) AS n_shingles, min(b.doc_id) AS component_id FROM r JOIN g a ON a.rid = r.p JOIN g b ON b.rid = r.q GROUP BY a.rid, a.doc_id
+"""
+
+
 def _op4() -> str:
     q = lambda p: p.replace("'", "''")
     lens = "list_transform({}, lambda x: length(x))"
@@ -87,4 +100,4 @@ FROM m GROUP BY conv_id
 """.replace("\\", "\\")
 
 
-ORACLES: dict[str, str] = {"op1_pareto_mix": OP1, "op2_quality_rules": _op2(), "op4_secret_owners": _op4(), "op6_chat_format": OP6}
+ORACLES: dict[str, str] = {"op1_pareto_mix": OP1, "op2_quality_rules": _op2(), "op3_token_groups": OP3, "op4_secret_owners": _op4(), "op6_chat_format": OP6}
