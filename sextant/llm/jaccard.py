@@ -31,7 +31,7 @@ from sextant.llm.components import components
 #: Hash orders under which classes look for a group.
 ORDERS = 4
 #: Tokens counted at a time for the order, and tokens that may be put last: 2^20 of them are 12 MB.
-COUNT_BLOCK, FREQUENT, FREQUENT_MIN = 4_000_000, 1 << 20, 4
+COUNT_BLOCK, FREQUENT, FREQUENT_MIN = 4_000_000, 1 << 20, 2
 #: Digests that a task remembers, to emit exact copies once.
 SEEN = 200_000
 #: Members of a group whose union is one row of the matrix.
@@ -46,12 +46,12 @@ def _profile(size: int):
     """Rows of kind 0: a document's set size, digest and minima; of kind 1: tokens that repeat in a block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool: list[np.ndarray] = []
+        pool: dict[bytes, np.ndarray] = {}  # equal sets count once in a block
         held = 0
         seeds = K.mix(np.arange(1, ORDERS + 1, dtype=np.uint64))
 
         def repeated() -> pa.RecordBatch:
-            t, c = np.unique(np.concatenate(pool), return_counts=True)
+            t, c = np.unique(np.concatenate(list(pool.values())), return_counts=True)
             t, c = t[c > 1], c[c > 1]
             none = lambda kind: pa.nulls(len(t), kind)
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int32)), none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.list_(pa.int64())), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], _NAMES)
@@ -61,14 +61,15 @@ def _profile(size: int):
             for i, j, data, offs in K.blocks(batch.column(1)):
                 sets = K.shingle_sets(data.translate(K.LOWER), offs, size)
                 keys = [[int(K.mix(s ^ x).min().view(np.int64)) for x in seeds] if len(s) else [] for s in sets]
+                names = [K.set_digest(s) for s in sets]
                 m = j - i
                 none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), ids.slice(i, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([K.set_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), none, none], _NAMES)
-                pool += sets
-                held += sum(map(len, sets))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), ids.slice(i, m), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), none, none], _NAMES)
+                for k, s in zip(names, sets):
+                    held += len(s) if pool.setdefault(k, s) is s else 0
                 if held >= COUNT_BLOCK:
                     yield repeated()
-                    pool, held = [], 0
+                    pool, held = {}, 0
         if pool:
             yield repeated()
 
@@ -125,28 +126,37 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], name:
     return written(d.mapInArrow(_linked(threshold), "a binary, b binary"), name)
 
 
-def _prefixes(size: int, buckets: int, last: tuple[np.ndarray, np.ndarray]):
+def _prefixes(size: int, buckets: int, last):
     """Packed prefix tokens by bucket of the token: each row holds what a block of documents has for one bucket.
 
-    Columns of the input: text, k64 and comp of the group that the document is in (null: none).
+    Columns of the input: text, k64 and comp of the group that the document is in (null: none).  For each
+    token: 32 bits of it, its class, the size of the set and how many tokens follow in the common order,
+    itself included; for classes in groups also the group.  Sizes are cut at 65535, which says "not less".
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = last.value
         seen: set[tuple[bytes, bool]] = set()
-        held: list[tuple[np.ndarray, int, int, int]] = []
+        held: list[tuple[np.ndarray, int, int | None, int]] = []
         n_held = 0
 
         def pack() -> pa.RecordBatch:
-            lens = [len(t) for t, _, _, _ in held]
+            lens = np.array([len(t) for t, _, _, _ in held])
             tok = np.concatenate([t for t, _, _, _ in held])
-            cols = [np.repeat(np.array([x[i] for x in held], np.int64), lens) for i in (1, 2, 3)]
-            home = (tok >> np.uint64(8)) % np.uint64(buckets)
+            node = np.repeat(np.array([x[1] for x in held], np.int64), lens)
+            n = np.repeat(np.array([x[3] for x in held], np.int64), lens)
+            rem = n - (np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens))
+            grouped = np.repeat(np.array([x[2] is not None for x in held]), lens)
+            comp = np.repeat(np.array([x[2] or 0 for x in held], np.int64), lens)
+            home = ((tok >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(home, kind="stable")
             a, b = K.runs(home[order])
             cut = [order[x:y] for x, y in zip(a, b)]
             blobs = lambda x: pa.array([x[o].tobytes() for o in cut], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(home[order][a].astype(np.int32)), blobs(tok), blobs(cols[0]), blobs(cols[1]), blobs(cols[2].astype(np.int32))], ["bucket", "tokens", "nodes", "comps", "sizes"])
+            at = pa.array([np.flatnonzero(grouped[o]).astype(np.uint32).tobytes() for o in cut], pa.binary())
+            comps = pa.array([comp[o][grouped[o]].tobytes() for o in cut], pa.binary())
+            small = lambda x: np.minimum(x, 65535).astype(np.uint16)
+            return pa.RecordBatch.from_arrays([pa.array(home[order][a]), blobs(tok.astype(np.uint32)), blobs(node), blobs(small(n)), blobs(small(rem)), at, comps], ["bucket", "tokens", "nodes", "sizes", "rests", "grouped", "comps"])
 
         for batch in batches:
             k64s, comps = batch.column(1).to_pylist(), batch.column(2).to_pylist()
@@ -161,10 +171,13 @@ def _prefixes(size: int, buckets: int, last: tuple[np.ndarray, np.ndarray]):
                         continue
                     if len(seen) < SEEN:
                         seen.add((k, comp is None))
-                    at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
-                    cls = np.where(often[at] == s, rank[at], 0) if len(often) else np.zeros(len(s), np.int64)
-                    t = s[np.argsort(cls, kind="stable")[: K.prefix_length(len(s))]]
-                    held.append((t, me, me if comp is None else comp, len(s) if comp is None else -len(s)))
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                        cls = np.where(often[at] == s, rank[at], 0)
+                        t = s[np.argsort(cls, kind="stable")[: K.prefix_length(len(s))]]
+                    else:
+                        t = s[: K.prefix_length(len(s))]
+                    held.append((t, me, comp, len(s)))
                     n_held += len(t)
                 if n_held >= COUNT_BLOCK // 4:
                     yield pack()
@@ -175,43 +188,52 @@ def _prefixes(size: int, buckets: int, last: tuple[np.ndarray, np.ndarray]):
     return run
 
 
+_PACKED = "bucket int, tokens binary, nodes binary, sizes binary, rests binary, grouped binary, comps binary"
+
+
 def _meet(threshold: tuple[int, int]):
-    """(query, group) pairs that share a prefix token, from all packed rows of some buckets."""
+    """(query, group) pairs that share a prefix token, from all packed rows of some buckets.
+
+    A pair needs den/(num+den)-ths of both sizes in common (3/7 at 3/4), so its first common token must
+    leave as many to come in either set; tokens that leave fewer are not a pair's first.  Of two groups
+    the one with fewer members at a token asks there, so that each pair of groups meets once.
+    """
     num, den = threshold
 
     def pairs(parts: list[tuple]) -> np.ndarray:
-        tok, node, comp, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.lexsort((n, node, tok))  # of equal (token, node), the row that knows its group comes first
-        tok, node, comp, n = tok[order], node[order], comp[order], np.abs(n[order])
-        one = np.ones(len(tok), bool)
-        one[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
-        tok, node, comp, n = tok[one], node[one], comp[one], n[one]
+        tok, node, n, rem, comp = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        order = np.lexsort((comp == node, node, tok))  # of equal (token, class), the row that knows its group first
+        same = np.zeros(len(tok), bool)
+        same[1:] = (tok[order][1:] == tok[order][:-1]) & (node[order][1:] == node[order][:-1])
+        order = order[~same]
+        a, b = K.runs(tok[order])
         out = [np.zeros((0, 2), np.int64)]
-        a, b = K.runs(tok)
         for x, y in zip(a[b - a > 1].tolist(), b[b - a > 1].tolist()):
-            cs, inv, times = np.unique(comp[x:y], return_inverse=True, return_counts=True)
-            if len(cs) < 2:
+            o = order[x:y]
+            c, ns, rs, ids = comp[o], n[o].astype(np.int64), rem[o].astype(np.int64), node[o]
+            if (c == c[0]).all():
                 continue
-            low = np.full(len(cs), 1 << 40)
-            high = np.zeros(len(cs), np.int64)
-            np.minimum.at(low, inv, n[x:y])
-            np.maximum.at(high, inv, n[x:y])
+            ns, rs = np.where(ns == 65535, 1 << 40, ns), np.where(rs == 65535, 1 << 40, rs)
+            _, inv, times = np.unique(c, return_inverse=True, return_counts=True)
+            t = times[inv]
             for q in range(y - x):
-                # Of two groups the smaller one asks, so each pair of groups meets once; equal ones by name.
-                mine, size = inv[q], n[x + q]
-                ask = (times > times[mine]) | ((times == times[mine]) & (cs > cs[mine]))
-                ask &= (den * high >= num * size) & (den * size >= num * low)
-                if ask.any():
-                    g = cs[ask]
-                    out.append(np.column_stack([np.full(len(g), node[x + q]), g]))
+                ok = (t > t[q]) | ((t == t[q]) & (c > c[q]))
+                big = (ns == 1 << 40) | (ns[q] == 1 << 40)
+                ok &= big | ((den * np.minimum(ns, ns[q]) >= num * np.maximum(ns, ns[q])) & ((num + den) * np.minimum(rs, rs[q]) >= num * (ns + ns[q])))
+                if ok.any():
+                    g = np.unique(c[ok])
+                    out.append(np.column_stack([np.full(len(g), ids[q]), g]))
         return np.unique(np.concatenate(out), axis=0)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
+        kinds = (np.uint32, np.int64, np.uint16, np.uint16, np.uint32, np.int64)
         for batch in batches:
-            cols = [batch.column(i) for i in range(1, 5)]
             for r, b in enumerate(batch.column(0).to_pylist()):
-                parts.setdefault(b, []).append(tuple(np.frombuffer(c[r].as_py(), t) for c, t in zip(cols, (np.uint64, np.int64, np.int64, np.int32))))
+                tok, node, n, rem, at, comps = (np.frombuffer(batch.column(i)[r].as_py(), t) for i, t in enumerate(kinds, 1))
+                comp = node.copy()
+                comp[at] = comps
+                parts.setdefault(b, []).append((tok, node, n, rem, comp))
         for b in sorted(parts):
             p = pairs(parts.pop(b))
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["q", "g"])
@@ -278,7 +300,7 @@ def shingle_report(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int]
     member = groups.select(F.col("node").alias("k"), F.col("label")).join(classes.select("k", "first_id"), "k")
     member = written(member.select("k", "first_id", _head64("k").alias("k64"), _head64("label").alias("comp")), "jaccard-members")
     named = small_join(docs, member.select("first_id", "k64", "comp"), F.expr("doc_id <=> first_id"), "left", FETCH_ROWS)
-    packed = named.select("text", "k64", "comp").mapInArrow(_prefixes(size, buckets, last), "bucket int, tokens binary, nodes binary, comps binary, sizes binary")
+    packed = named.select("text", "k64", "comp").mapInArrow(_prefixes(size, buckets, last), _PACKED)
     met = packed.repartition(buckets, "bucket").mapInArrow(_meet(threshold), "q long, g long").distinct()
     met = written(met, "jaccard-met")
     if not met.isEmpty():

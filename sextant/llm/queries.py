@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import chat, jaccard, mixing, quality, secrets
+from sextant.llm import chat, jaccard, mixing, quality, secrets, toxicity
 from sextant.llm.queries_sql import ORACLES
 
 
@@ -39,12 +39,18 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.unionByName(probe)))
 
 
+def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_groups": op3_token_groups,
     "op4_secret_owners": op4_secret_owners,
     "op6_chat_format": op6_chat_format,
+    "op10_compression_toxicity": op10_compression_toxicity,
 }
 
 
