@@ -27,7 +27,7 @@ from sextant.llm.base import small_join, written
 #: Bytes of the ordinary and the toxic part of the dictionaries; level and length of a gram.
 ORDINARY, TOXIC, LEVEL, GRAM = 28_000, 6_144, 12, 5
 #: A gram speaks for toxicity from this ratio of document frequencies on, if so many toxic documents have it.
-RATIO, LEAST = 2.5, 4
+RATIO, LEAST = 3.5, 4
 #: Carriers over whose lengths a suspicious window's distance is averaged; its first distance must reach SUSPECT.
 CARRIERS, SUSPECT, STRONG = 6, 2, 3.5
 #: The only samples: labelled documents per class, chosen by a hash of the id, and characters of each.
