@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import chat, jaccard, mixing, quality, secrets, toxicity
+from sextant.llm import chat, jaccard, linededup, mixing, quality, secrets, toxicity
 from sextant.llm.queries_sql import ORACLES
 
 
@@ -32,6 +32,10 @@ def op4_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op5_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_groups": op3_token_groups,
     "op4_secret_owners": op4_secret_owners,
+    "op5_segment_lines": op5_segment_lines,
     "op6_chat_format": op6_chat_format,
     "op10_compression_toxicity": op10_compression_toxicity,
 }

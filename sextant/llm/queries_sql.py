@@ -87,6 +87,24 @@ SELECT doc_id, {" ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}," for k in KIND
 """
 
 
+OP5 = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS no, trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+c AS (SELECT line, min((doc_id, no)) AS first, length(line) AS n FROM l WHERE length(line) >= 8 GROUP BY line),
+g AS (SELECT line, first, n, unnest([{'i': i, 'at': i * (n // 3) + greatest(0, i - (3 - n % 3)), 'size': n // 3 + CAST(i > 2 - n % 3 AS INT)} FOR i IN range(3)]) AS s FROM c WHERE n >= 24),
+o AS (SELECT line, n AS len, s.i AS i, line[s.at + 1:s.at + s.size] AS sub FROM g),
+q AS (SELECT line, n AS own, unnest(range(greatest(n - 2, 24), n + 1)) AS other FROM c WHERE n >= 24),
+r AS (SELECT line, own, other, own - other AS more, unnest([{'i': i, 'at': i * (other // 3) + greatest(0, i - (3 - other % 3)), 'size': other // 3 + CAST(i > 2 - other % 3 AS INT)} FOR i IN range(3)]) AS s FROM q),
+p AS (SELECT line, other AS len, s.i AS i, s.size AS size, unnest(range(greatest(s.at - s.i, s.at + more - (2 - s.i), 0), least(s.at + s.i, s.at + more + 2 - s.i, own - s.size) + 1)) AS at FROM r),
+m AS (SELECT DISTINCT o.line AS a, p.line AS b FROM o JOIN p ON o.len = p.len AND o.i = p.i AND o.sub = p.line[p.at + 1:p.at + p.size] WHERE o.line != p.line),
+near AS (SELECT a, b FROM m WHERE levenshtein(a, b) <= 2),
+late AS (SELECT DISTINCT CASE WHEN x.first < y.first THEN b ELSE a END AS line FROM near JOIN c x ON x.line = a JOIN c y ON y.line = b),
+h AS (SELECT l.doc_id, no, (l.doc_id, no) > c.first AS again FROM l JOIN c USING (line) LEFT JOIN late ON late.line = l.line WHERE (l.doc_id, no) > c.first OR late.line IS NOT NULL),
+u AS (SELECT doc_id, count(DISTINCT no) FILTER (again) AS e, count(DISTINCT no) FILTER (NOT again) AS k, array_to_string(list_sort(list(DISTINCT no)), ',') AS x FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS BIGINT) AS n_lines, coalesce(e, 0) AS n_exact, coalesce(k, 0) AS n_near, coalesce(x, '') AS removed FROM d LEFT JOIN u ON u.doc_id = d.doc_id
+"""
+
+
 OP6 = r"""
 WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, x, CASE x WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(x)),
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
@@ -100,4 +118,4 @@ FROM m GROUP BY conv_id
 """.replace("\\", "\\")
 
 
-ORACLES: dict[str, str] = {"op1_pareto_mix": OP1, "op2_quality_rules": _op2(), "op3_token_groups": OP3, "op4_secret_owners": _op4(), "op6_chat_format": OP6}
+ORACLES: dict[str, str] = {"op1_pareto_mix": OP1, "op2_quality_rules": _op2(), "op3_token_groups": OP3, "op4_secret_owners": _op4(), "op5_segment_lines": OP5, "op6_chat_format": OP6}
