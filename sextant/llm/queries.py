@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import chat, jaccard, linededup, mixing, quality, secrets, toxicity
+from sextant.llm import chat, covertree, jaccard, licenses, linededup, mixing, packing, quality, secrets, toxicity
 from sextant.llm.queries_sql import ORACLES
 
 
@@ -43,6 +43,18 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.unionByName(probe)))
 
 
+def op7_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -55,6 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_owners": op4_secret_owners,
     "op5_segment_lines": op5_segment_lines,
     "op6_chat_format": op6_chat_format,
+    "op7_license_automaton": op7_license_automaton,
+    "op8_best_fit_pack": op8_best_fit_pack,
+    "op9_cover_tree_topk": op9_cover_tree_topk,
     "op10_compression_toxicity": op10_compression_toxicity,
 }
 

@@ -118,4 +118,13 @@ FROM m GROUP BY conv_id
 """.replace("\\", "\\")
 
 
-ORACLES: dict[str, str] = {"op1_pareto_mix": OP1, "op2_quality_rules": _op2(), "op3_token_groups": OP3, "op4_secret_owners": _op4(), "op5_segment_lines": OP5, "op6_chat_format": OP6}
+OP9 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+r AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM r
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+ORACLES: dict[str, str] = {"op1_pareto_mix": OP1, "op2_quality_rules": _op2(), "op3_token_groups": OP3, "op4_secret_owners": _op4(), "op5_segment_lines": OP5, "op6_chat_format": OP6, "op9_cover_tree_topk": OP9}
