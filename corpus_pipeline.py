@@ -1,12 +1,50 @@
-"""The corpus pipeline: stages over documents, each written and read again by whoever runs them."""
+"""The corpus pipeline: stages over documents, each written and read again before the next one.
+
+Every stage works on all that the one before it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.llm import jaccard, linededup, mixing, packing, toxicity
 from sextant.llm.base import written
 
-STAGES = []
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression distances reject go."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one, up to two edits, go; so do documents of which nothing is left."""
+    return linededup.drop_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents one stays."""
+    return jaccard.keep_one(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources take part by weight; a document comes up to twice."""
+    return mixing.mix(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of the permitted lengths."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxic_documents),
+    ("line_dedup", repeated_lines),
+    ("ngram_jaccard", near_duplicates),
+    ("source_mix", source_mix),
+    ("best_fit_packing", packed_sequences),
+]
+
+#: No SQL expresses the first stage (compression lengths); tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -15,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = docs if i == len(STAGES) - 1 else written(docs, name)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{name}")
     return docs
