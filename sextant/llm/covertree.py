@@ -7,7 +7,6 @@ radii; a pair of nodes is dropped when that bound is below the worst k-th score
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,101 +19,161 @@ from pyspark.sql import functions as F
 from sextant.llm.base import written
 
 #: Vectors in a block of data and of queries, data blocks that one task row group meets, points of a leaf, shrinking of radii.
-DATA_BLOCK, QUERY_BLOCK, TOGETHER, LEAF, SHRINK = 4096, 1024, 8, 24, 0.75
+DATA_BLOCK, QUERY_BLOCK, TOGETHER, LEAF, SHRINK = 4096, 4096, 8, 96, 0.8
 _LAST = np.iinfo(np.int64).max
 
 
+#: Children of a node at most; a node with more centres gives the rest to the nearest ones.
+FAN = 16
+
+
 @dataclass
-class Node:
-    """Points low to high of a tree's order, their centre, the distance of the farthest from it, and children."""
+class Tree:
+    """Nodes as arrays: centres, covering radii, the points low to high of the order that they hold, children (0: leaf)."""
 
-    low: int
-    high: int
+    order: np.ndarray
     centre: np.ndarray
-    radius: float
-    norm: float
-    kids: list[Node]
-
-
-def cover_tree(points: np.ndarray) -> tuple[np.ndarray, Node]:
-    """(order, root): each node's children are centred on points of it that are farther apart than the shrunken radius."""
-    order: list[np.ndarray] = []
-    n_out = 0
-
-    def build(idx: np.ndarray, centre: np.ndarray) -> Node:
-        nonlocal n_out
-        x = points[idx]
-        d = np.sqrt(((x - centre) ** 2).sum(1))
-        radius = float(d.max())
-        if len(idx) <= LEAF or radius == 0:
-            order.append(idx)
-            n_out += len(idx)
-            return Node(n_out - len(idx), n_out, centre, radius, float(np.sqrt((centre**2).sum())), [])
-        # Farthest-first centres until each point is within the shrunken radius of one.
-        own = np.zeros(len(idx), np.int64)
-        near = np.full(len(idx), np.inf)
-        pick, centres = int(d.argmin()), []
-        while True:
-            centres.append(pick)
-            e = np.sqrt(((x - x[pick]) ** 2).sum(1))
-            closer = e < near
-            own[closer] = len(centres) - 1
-            near[closer] = e[closer]
-            pick = int(near.argmax())
-            if near[pick] <= SHRINK * radius or len(centres) >= 64:
-                break
-        low = n_out
-        kids = [build(idx[own == i], x[c]) for i, c in enumerate(centres)]
-        return Node(low, n_out, centre, radius, float(np.sqrt((centre**2).sum())), kids)
+    radius: np.ndarray
+    norm: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+
+
+def cover_tree(points: np.ndarray) -> Tree:
+    """A node's children are centred on its points, farthest first, until each point is within the shrunken radius of one.
+
+    Nodes are laid out breadth-first, so that the children of a node stand together; points that a node
+    holds stand together in the order.
+    """
+    squares = (points * points).sum(1)
+    scale = float(squares.max()) if len(points) else 0.0
+
+    def distance(idx: np.ndarray, c: int) -> np.ndarray:
+        return np.sqrt(np.maximum(squares[idx] + squares[c] - 2 * (points[idx] @ points[c]), 0))
 
     mean = points.mean(0)
-    root = build(np.arange(len(points)), points[int(((points - mean) ** 2).sum(1).argmin())])
-    return np.concatenate(order), root
+    level = [(np.arange(len(points)), int((squares - 2 * (points @ mean)).argmin()))]
+    held, centre, radius, first, count = [], [], [], [], []
+    while level:
+        below, base = [], len(centre) + len(level)
+        for idx, c in level:
+            d = distance(idx, c)
+            r = float(d.max())
+            held.append(idx)
+            centre.append(c)
+            # Rounding of squares must not make a ball smaller than it is.
+            radius.append(r + 1e-7 * np.sqrt(scale) + 1e-9)
+            first.append(base + len(below))
+            if len(idx) <= LEAF or r <= 1e-6 * np.sqrt(scale):
+                count.append(0)
+                continue
+            own, near, n, pick = np.zeros(len(idx), np.int64), d.copy(), 1, int(d.argmax())
+            names = [c]
+            while near[pick] > SHRINK * r and n < FAN or n < 2:
+                e = distance(idx, idx[pick])
+                own[e < near] = n
+                near = np.minimum(near, e)
+                own[pick] = n
+                names.append(int(idx[pick]))
+                n, pick = n + 1, int(near.argmax())
+            kids = [(idx[own == i], x) for i, x in enumerate(names)]
+            kids = [k for k in kids if len(k[0])]
+            below += kids
+            count.append(len(kids))
+        level = below
+    first, count = np.array(first), np.array(count)
+    # Leaves in depth-first order give every node its stretch of points.
+    low, high, order, at = np.zeros(len(centre), np.int64), np.zeros(len(centre), np.int64), [], 0
+    todo = [(0, False)]
+    while todo:
+        v, done = todo.pop()
+        if done:
+            high[v] = at
+            continue
+        low[v] = at
+        if count[v]:
+            todo.append((v, True))
+            todo += [(int(k), False) for k in range(first[v] + count[v] - 1, first[v] - 1, -1)]
+        else:
+            order.append(held[v])
+            at += len(held[v])
+            high[v] = at
+    c = points[np.array(centre)]
+    return Tree(np.concatenate(order), c, np.array(radius), np.sqrt((c * c).sum(1)), low, high, first, count)
 
 
 class Search:
-    """A block of queries with its tree and the best k so far of each query."""
+    """A block of queries with its tree and the best k so far of each query, best first."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        order, self.root = cover_tree(vectors)
-        self.ids, self.x, self.k = ids[order], vectors[order], k
+        self.tree = cover_tree(vectors)
+        self.ids, self.x, self.k = ids[self.tree.order], vectors[self.tree.order], k
         self.score = np.full((len(ids), k), -np.inf)
         self.name = np.full((len(ids), k), _LAST)
 
+    def _bounds(self, d: Tree, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """<q, p> <= <cq, cp> + |cq| rp + |cp| rq + rq rp for all below nodes a and b, with room for rounding."""
+        q = self.tree
+        dot = np.einsum("ij,ij->i", q.centre[a], d.centre[b])
+        most = dot + q.norm[a] * d.radius[b] + d.norm[b] * q.radius[a] + q.radius[a] * d.radius[b]
+        return most + 1e-9 * (q.norm[a] + q.radius[a]) * (d.norm[b] + d.radius[b]) + 1e-6
+
+    def _worst(self, a: np.ndarray) -> np.ndarray:
+        """The smallest k-th score of the queries below each of the nodes a."""
+        t, kth = self.tree, self.score[:, -1]
+        return np.array([kth[t.low[v] : t.high[v]].min() for v in range(len(t.low))])[a]
+
     def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Walk pairs of nodes, the most promising first."""
-        order, root = cover_tree(vectors)
-        ids, y = ids[order], vectors[order]
-        todo, tick = [(-np.inf, 0, self.root, root)], 0
-        while todo:
-            bound, _, q, d = heapq.heappop(todo)
-            if -bound < self.score[q.low : q.high, -1].min():
-                continue
-            if not q.kids and not d.kids:
-                self._compare(q, ids[d.low : d.high], y[d.low : d.high])
-                continue
-            split = bool(d.kids) and (not q.kids or d.radius >= q.radius)
-            one, kids = (q, d.kids) if split else (d, q.kids)
-            dots = np.array([k.centre for k in kids]) @ one.centre
-            for k, dot in zip(kids, dots.tolist()):
-                # <q, d> <= <cq, cd> + |cq| rd + |cd| rq + rq rd, with room for rounding.
-                most = dot + one.norm * k.radius + k.norm * one.radius + one.radius * k.radius
-                most += 1e-9 * (abs(dot) + (one.norm + one.radius) * (k.norm + k.radius)) + 1e-6
-                a, b = (one, k) if split else (k, one)
-                if most >= self.score[a.low : a.high, -1].min():
-                    tick += 1
-                    heapq.heappush(todo, (-most, tick, a, b))
-
-    def _compare(self, q: Node, ids: np.ndarray, y: np.ndarray) -> None:
-        s = self.x[q.low : q.high] @ y.T
-        own = self.ids[q.low : q.high, None] == ids[None, :]
-        s[own & (ids[None, :] != _LAST)] = -np.inf
-        for r in np.flatnonzero((s >= self.score[q.low : q.high, -1:]).any(1)):
-            at = q.low + r
-            hit = np.flatnonzero(s[r] >= self.score[at, -1])
-            sc, nm = np.concatenate([self.score[at], s[r, hit]]), np.concatenate([self.name[at], ids[hit]])
-            best = np.lexsort((nm, -sc))[: self.k]
-            self.score[at], self.name[at] = sc[best], nm[best]
+        """Walk down pairs of nodes level by level, dropping those below bound; then leaves, the most promising first."""
+        q, d = self.tree, cover_tree(vectors)
+        ids, y = ids[d.order], vectors[d.order]
+        a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        leaves: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(a):
+            end = (q.count[a] == 0) & (d.count[b] == 0)
+            leaves.append((a[end], b[end]))
+            a, b = a[~end], b[~end]
+            down = (d.count[b] > 0) & ((q.count[a] == 0) | (d.radius[b] >= q.radius[a]))  # split data or queries
+            n = np.where(down, d.count[b], q.count[a])
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            a2, b2, down = np.repeat(a, n), np.repeat(b, n), np.repeat(down, n)
+            a, b = np.where(down, a2, q.first[a2] + step), np.where(down, d.first[b2] + step, b2)
+            if len(a):
+                keep = self._bounds(d, a, b) >= self._worst(a)
+                a, b = a[keep], b[keep]
+        a, b = (np.concatenate(x) for x in zip(*leaves))
+        bound = self._bounds(d, a, b)
+        order = np.lexsort((-bound, a))
+        a, b, bound = a[order], b[order], bound[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]])
+        for x, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            v, width = a[x], 1
+            lo, hi = q.low[v], q.high[v]
+            while x < z and bound[x] >= self.score[lo:hi, -1].min():
+                part = b[x : min(z, x + width)]
+                part = part[bound[x : x + len(part)] >= self.score[lo:hi, -1].min()]
+                at = np.concatenate([np.arange(d.low[p], d.high[p]) for p in part])
+                self._compare(lo, hi, ids[at], y[at])
+                x, width = x + width, min(2 * width, 8)
+
+    def _compare(self, lo: int, hi: int, ids: np.ndarray, y: np.ndarray) -> None:
+        s = self.x[lo:hi] @ y.T
+        s[(self.ids[lo:hi, None] == ids[None, :]) & (ids[None, :] != _LAST)] = -np.inf
+        rows, cols = np.nonzero(s >= self.score[lo:hi, -1:])
+        if not len(rows):
+            return
+        # Newcomers and the best so far of the rows that gain, ranked together.
+        gain = np.unique(rows)
+        row = np.concatenate([rows, np.repeat(gain, self.k)])
+        score = np.concatenate([s[rows, cols], self.score[lo + gain].ravel()])
+        name = np.concatenate([ids[cols], self.name[lo + gain].ravel()])
+        order = np.lexsort((name, -score, row))
+        row = row[order]
+        start = np.searchsorted(row, gain)
+        best = order[start[:, None] + np.arange(self.k)]
+        self.score[lo + gain], self.name[lo + gain] = score[best], name[best]
 
 
 def _walk(k: int, dim_of: int):
