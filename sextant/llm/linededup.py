@@ -4,7 +4,9 @@ A line within ``tau`` edits of another one shares with it one of tau + 1 segment
 distinct line therefore stands under its own segments, and looks under those substrings of itself that
 can be a segment of a line of its length or up to tau shorter; only as many shifts are tried as a first
 and a last edit allow.  Lines that meet are compared by the parity of their characters, then exactly by a
-banded bit-parallel edit distance.
+banded bit-parallel edit distance.  A line is compared with the earliest line that it meets under each of
+its substrings; only if that does not settle it, with all others, so that a large group of like lines
+costs a comparison each and not one for every two.
 
 A line is removed if an equal line, or one within tau edits, comes earlier: documents in order of doc_id,
 lines in order of their number.  Whether that earlier line is itself removed makes no difference.
@@ -25,8 +27,9 @@ from sextant.llm.base import small_join, written
 
 #: Edits that two near lines may be apart; characters from which lines are removed at all and compared by edits.
 TAU, MIN_EXACT, MIN_NEAR = 2, 8, 24
-#: Signatures packed at a time and per bucket; digests a task remembers; rows of a broadcast.
-PACK, PER_BUCKET, SEEN, SMALL = 1_000_000, 1_000_000, 200_000, 300_000
+#: Signatures packed at a time and per bucket; digests a task remembers; rows of a broadcast;
+#: open lines of a run that one task compares.
+PACK, PER_BUCKET, SEEN, SMALL, SHARE = 1_000_000, 1_000_000, 200_000, 300_000, 512
 
 _SPACE = " \t\n\x0b\x0c\r"
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -127,7 +130,7 @@ class _Signer:
         return sig, line, own, parity
 
 
-_PACKED = "bucket int, sigs binary, lines binary, own binary, parity binary"
+_PACKED = "bucket int, sigs binary, lines binary, own binary, parity binary, places binary"
 
 
 def _signatures(tau: int, buckets: int):
@@ -137,17 +140,18 @@ def _signatures(tau: int, buckets: int):
         signer, seen, held, chars = _Signer(tau), set(), [], 0
 
         def pack() -> pa.RecordBatch:
-            sig, line, own, parity = signer.sign([x for _, x in held])
-            name = np.array([int.from_bytes(k[:8], "little", signed=True) for k, _ in held], np.int64)[line]
+            sig, line, own, parity = signer.sign([x for _, x, _ in held])
+            name = np.array([int.from_bytes(k[:8], "little", signed=True) for k, _, _ in held], np.int64)[line]
+            place = np.array([np.inf if d is None else d for _, _, d in held], np.float32)[line]
             home = ((sig >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(home, kind="stable")
             a, b = K.runs(home[order])
             cut = [order[x:y] for x, y in zip(a, b)]
             blobs = lambda x: pa.array([x[o].tobytes() for o in cut], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(home[order][a]), blobs(sig.astype(np.uint32)), blobs(name), blobs(own.astype(np.uint8)), blobs(parity[line])], ["bucket", "sigs", "lines", "own", "parity"])
+            return pa.RecordBatch.from_arrays([pa.array(home[order][a]), blobs(sig.astype(np.uint32)), blobs(name), blobs(own.astype(np.uint8)), blobs(parity[line]), blobs(place)], ["bucket", "sigs", "lines", "own", "parity", "places"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for line in (text or "").split("\n"):
                     line = line.strip(_SPACE)
                     if len(line) < MIN_NEAR:
@@ -157,7 +161,7 @@ def _signatures(tau: int, buckets: int):
                         continue
                     if len(seen) < SEEN:
                         seen.add(k)
-                    held.append((k, line))
+                    held.append((k, line, doc))
                     chars += len(line)
                     if chars >= K.BLOCK or len(held) * (tau + 1) * (2 * tau + 1) >= PACK:
                         yield pack()
@@ -168,40 +172,64 @@ def _signatures(tau: int, buckets: int):
     return run
 
 
+_MET = "run long, q long, x long, members binary"
+
+
 def _meet(tau: int):
-    """(a, b): lines of which one stands where the other looks, and whose parities are near enough."""
+    """What meets under one signature: (run, q, x) for each line with a near parity, and the run's members.
+
+    x: the earliest of those lines by the rough places that travel with signatures, null if that is q.
+    Both kinds of rows are as many as lines, however many meet.
+    """
+
+    def near(parity: np.ndarray, own: np.ndarray, i: int) -> np.ndarray:
+        ok = np.bitwise_count(parity ^ parity[i]) <= 2 * tau
+        if not own[i]:
+            ok &= own
+        ok[i] = False
+        return np.flatnonzero(ok)
 
-    def pairs(parts: list[tuple]) -> np.ndarray:
-        sig, line, own, par = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.lexsort((1 - own, line, sig))
+    def runs_of(bucket: int, parts: list[tuple]) -> pa.RecordBatch:
+        sig, line, own, par, place = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        order = np.lexsort((place, 1 - own, line, sig))
         same = np.zeros(len(sig), bool)
         same[1:] = (sig[order][1:] == sig[order][:-1]) & (line[order][1:] == line[order][:-1])
         order = order[~same]  # own signatures first, so that a line that stands and looks counts as standing
         a, b = K.runs(sig[order])
-        out = [np.zeros((0, 2), np.int64)]
+        rows: tuple[list, list, list, list] = ([], [], [], [])
         for x, y in zip(a[b - a > 1].tolist(), b[b - a > 1].tolist()):
             o = order[x:y]
-            stand, look, name, bits = o[own[o] == 1], o, line, par
-            for s in stand:
-                near = look[np.bitwise_count(bits[look] ^ bits[s]) <= 2 * tau]
-                near = near[(own[near] == 0) | (name[near] > name[s])]
-                if len(near):
-                    p = np.column_stack([np.full(len(near), name[s]), name[near]])
-                    out.append(p[p[:, 0] != p[:, 1]])
-        p = np.concatenate(out)
-        return np.unique(np.sort(p, axis=1), axis=0)
+            o = o[np.lexsort((line[o], place[o]))]
+            names, stands, bits = line[o], own[o].astype(bool), par[o]
+            run, any_ = bucket << 32 | int(sig[o[0]]), False
+            for i in range(len(o)):
+                c = near(bits, stands, i)
+                if len(c):
+                    any_ = True
+                    for r, v in zip(rows, (run, names[i], names[c[0]] if c[0] < i else None, None)):
+                        r.append(v)
+            if any_:
+                for r, v in zip(rows, (run, None, None, names.tobytes())):
+                    r.append(v)
+        return pa.RecordBatch.from_arrays([*[pa.array(r, pa.int64()) for r in rows[:3]], pa.array(rows[3], pa.binary())], ["run", "q", "x", "members"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
-        kinds = (np.uint32, np.int64, np.uint8, np.uint32)
+        kinds = (np.uint32, np.int64, np.uint8, np.uint32, np.float32)
         for batch in batches:
             for r, b in enumerate(batch.column(0).to_pylist()):
                 parts.setdefault(b, []).append(tuple(np.frombuffer(batch.column(i)[r].as_py(), t) for i, t in enumerate(kinds, 1)))
         for b in sorted(parts):
-            p = pairs(parts.pop(b))
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+            yield runs_of(b, parts.pop(b))
 
-    return run
+    def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(run, salt, name) of the members of runs that have lines which the earliest one did not settle."""
+        for batch in batches:
+            for r, salt, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                names = np.frombuffer(m, np.int64, len(m) // 8)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), r)), pa.array(np.full(len(names), salt)), pa.array(names)], ["run", "salt", "name"])
+
+    return run, members
 
 
 def within(a: str, b: str, tau: int) -> bool:
@@ -230,6 +258,7 @@ def within(a: str, b: str, tau: int) -> bool:
     full = (1 << width) - 1
     m = len(a)
     plus, minus, dist = full & ~((1 << tau) - 1), 0, min(tau, m)
+    most = 2 * tau + len(b) - m + tau  # what the steps along a's last row can still take back
     for col, c in enumerate(b):
         low = col - tau
         eq = where.get(c, 0)
@@ -243,6 +272,8 @@ def within(a: str, b: str, tau: int) -> bool:
         else:
             bit = width - 1 - (row - m + 1)
             dist += (hp >> bit & 1) - (hn >> bit & 1)
+        if dist > most:
+            return False
         plus = (hn | ~(d0 >> 1 | hp)) & full
         minus = (d0 >> 1) & hp
     return dist <= tau
@@ -257,14 +288,44 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(tau: int):
+    """q of those rows (q, line, other line) that are near."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [within(a, b, tau) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            ok = [within(a, b, tau) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield batch.select([0]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _settle(tau: int):
+    """q of the open lines of a run that are near an earlier member of it; both sides: (name, line, place)."""
+
+    def run(key, queries, members):
+        order = lambda t: sorted(zip(t.column("place").to_pylist(), t.column("name").to_pylist(), t.column("line").to_pylist()))
+        known = [(p, n, x, parity(x)) for p, n, x in order(members)]
+        out = []
+        for p, n, x in order(queries):
+            bits = parity(x)
+            for p2, n2, y, bits2 in known:
+                if p2 >= p:
+                    break
+                if abs(len(x) - len(y)) <= tau and (bits ^ bits2).bit_count() <= 2 * tau and within(x, y, tau):
+                    out.append(n)
+                    break
+        return pa.table({"q": pa.array(out, pa.int64())})
+
+    return run
+
+
+def parity(line: str) -> int:
+    """A bit for each of 32 classes of characters, set if their count is odd; an edit flips two at most."""
+    out = 0
+    for c in line:
+        out ^= 1 << (ord(c) * 0x9E3779B1 >> 12 & 31)
+    return out
+
+
 def _head64(k: str):
     h = F.hex(F.col(k))
     return F.conv(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)]), 16, -10).cast("long")
@@ -273,8 +334,9 @@ def _head64(k: str):
 def repeated_lines(docs: DataFrame, *, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
     """(lines, removed): written rows of _lines(), and (doc_id, exact, near) with the numbers of removed lines.
 
-    Rows with equal ids count as one document and do not remove each other's lines; rows with a null id
-    are one document, the last.  Null and empty texts have no lines.
+    A line number means a line only where an id names one row: rows whose id is null or repeats keep their
+    lines, though later documents lose what stands in them (null ids come last).  Null and empty texts have
+    no lines.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = written(docs.mapInArrow(_lines, "doc_id long, line_no int, k binary, chars int"), "lines")
@@ -283,25 +345,41 @@ def repeated_lines(docs: DataFrame, *, tau: int = TAU) -> tuple[DataFrame, DataF
     classes = written(classes, "line-classes")
     total = classes.count()
     buckets = max(64, total * (tau + 1) * (2 * tau + 1) // PER_BUCKET)
-    packed = docs.select("text").mapInArrow(_signatures(tau, buckets), _PACKED)
-    met = written(packed.repartition(buckets, "bucket").mapInArrow(_meet(tau), "a long, b long").distinct(), "line-pairs")
+    packed = docs.mapInArrow(_signatures(tau, buckets), _PACKED)
+    meet, members = _meet(tau)
+    met = written(packed.repartition(buckets, "bucket").mapInArrow(meet, _MET), "line-runs")
 
+    asked = met.filter("q is not null").select("run", "q", "x")
     named = classes.filter(F.col("chars") >= MIN_NEAR).select("k", "first", _head64("k").alias("name"))
-    ends = met.select(F.col("a").alias("name")).union(met.select("b")).distinct()
-    ends = written(named.join(ends, "name", "left_semi"), "line-ends")
+    ends = written(named.join(asked.select(F.col("q").alias("name")).distinct(), "name", "left_semi"), "line-ends")
     ids = ends.select(F.col("first.doc_id").alias("_first")).distinct()
     texts = small_join(docs, ids, F.expr("doc_id <=> _first"), "left_semi", SMALL).select("text").mapInArrow(_texts, "k binary, line string")
-    texts = written(texts.join(ends.select("k"), "k", "left_semi").dropDuplicates(["k"]), "line-texts")
-    side = lambda x: ends.join(texts, "k").select(F.col("name").alias(x), F.col("k").alias(f"k{x}"), F.col("line").alias(f"line{x}"))
-    pairs = met.join(side("a"), "a").join(side("b"), "b").select("ka", "kb", "linea", "lineb")
-    links = pairs.mapInArrow(_near(tau), "ka binary, kb binary")
-    firsts = ends.select("k", "first")
-    links = links.join(firsts.withColumnsRenamed({"k": "ka", "first": "fa"}), "ka").join(firsts.withColumnsRenamed({"k": "kb", "first": "fb"}), "kb")
-    late = written(links.select(F.when(F.col("fa") < F.col("fb"), F.col("kb")).otherwise(F.col("ka")).alias("k")).distinct().withColumn("near", F.lit(True)), "line-late")
+    texts = written(ends.join(texts, "k").dropDuplicates(["k"]), "line-texts")
+
+    def settled(pairs: DataFrame, name: str) -> DataFrame:
+        """Lines q with an earlier line x that is near."""
+        d = pairs.join(texts.select(F.col("name").alias("q"), F.col("line").alias("a"), F.col("first").alias("fa")), "q")
+        d = d.join(texts.select(F.col("name").alias("x"), F.col("line").alias("b"), F.col("first").alias("fb")), "x").filter("fb < fa")
+        return written(d.select("q", "a", "b").mapInArrow(_near(tau), "q long").distinct(), name)
+
+    one = settled(asked.filter("x is not null").select("q", "x").distinct(), "line-late")
+    # Lines that are left open meet the other members of their runs in one place, a share of a large run's at a time.
+    rest = written(asked.join(one, "q", "left_anti").select("run", "q").distinct(), "line-open")
+    shares = rest.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
+    place = F.struct("first.late", "first.doc_id", "first.line_no").cast("struct<late:boolean,doc_id:bigint,line_no:int>")
+    said = texts.select("name", "line", F.concat_ws(":", place["late"].cast("string"), F.lpad((F.coalesce(place["doc_id"], F.lit(0)).cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0"), F.lpad(place["line_no"].cast("string"), 10, "0")).alias("place"))
+    asks = rest.join(shares, "run").withColumn("salt", F.pmod(F.xxhash64("q"), F.col("shares"))).withColumnRenamed("q", "name").select("run", "salt", "name").join(said, "name")
+    held = met.filter("members is not null").select("run", "members").join(shares, "run").select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("salt"), "members")
+    held = held.mapInArrow(members, "run long, salt long, name long").join(said, "name")
+    fresh = lambda d: d.select("run", "salt", "name", "line", "place").toDF("run", "salt", "name", "line", "place").groupBy("run", "salt")
+    two = fresh(asks).cogroup(fresh(held)).applyInArrow(_settle(tau), "q long").distinct()
+    late = one.union(two).join(ends.select(F.col("name").alias("q"), "k"), "q").select("k", F.lit(True).alias("near"))
 
     known = classes.join(late, "k", "left").filter("n > 1 or near").select("k", "first", F.coalesce("near", F.lit(False)).alias("near"))
     known = written(known, "line-known")
-    hit = small_join(lines.filter("line_no >= 0").withColumn("at", at), known, ["k"], "inner", SMALL)
+    several = written(lines.filter("line_no = -1 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "line-ids")
+    named = small_join(lines.filter("line_no >= 0 and doc_id is not null"), several, ["doc_id"], "left_anti", SMALL)
+    hit = small_join(named.withColumn("at", at), known, ["k"], "inner", SMALL)
     again = F.col("at") > F.col("first")
     hit = hit.filter(again | F.col("near")).groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.when(again, F.col("line_no")))).alias("exact"), F.array_sort(F.collect_set(F.when(~again, F.col("line_no")))).alias("near"))
