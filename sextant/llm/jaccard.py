@@ -1,18 +1,22 @@
 """N-gram Jaccard join by a token-group matrix: whole shingle sets, exact links at 3/4, one row per document.
 
 1. Documents with equal shingle sets are one class from the start.
-2. Classes that share a minimum under one of a few hash orders are compared with the first class that has
-   it; those that link form a group.
-3. The matrix: for each group the union of its members' tokens.  Query classes meet groups through the
-   prefix filter (of two linked sets, each has a common token among its first n - ceil(3n/4) + 1, in any
-   order that all sets share), so no linked pair is missed.  A query's overlap with a group's union bounds
-   its overlap with every member; only groups whose bound reaches the threshold are opened, and their
-   members compared one by one.
+2. Under each of a few hash orders, classes are sorted by their minimum, then by the next order's, and
+   compared with their neighbours of the same minimum; those that link, directly or through others, form a
+   group.  Ranges of the sort break large runs anywhere, which costs candidates and no links.
+3. The matrix: for each group a row of bits, one for each token value modulo the row's width, set where a
+   member has such a token: the members' union.  Query classes meet groups through the prefix filter (of
+   two linked sets, each has a common token among its first n - ceil(3n/4) + 1, in any order that all
+   sets share), so no linked pair is missed.  Bits of a query that a group lacks are tokens that no
+   member has, which bounds the query's overlap with every member; only groups whose bound reaches the
+   threshold are opened, and their members' whole sets compared one by one.
 4. Components of all links.
 
-The common order puts tokens that repeat within a block of documents last, by how often they do: passages
-that many documents share then stay out of the prefixes.  Which tokens those are changes only the work,
-never the links.
+Candidates are compared in rounds, the most promising of each group first, and those that the links found
+so far have joined are not compared at all: a large group costs comparisons in proportion to its members.
+The common order puts tokens that several groups have last, by how many have them, so that passages that
+many documents share stay out of the prefixes.  Beyond the number of such tokens that fits its bound the
+order is by hash alone; it changes only the work, never the links.
 """
 
 from __future__ import annotations
@@ -26,12 +30,12 @@ from pyspark.sql import functions as F
 
 from sextant.llm import kernels as K
 from sextant.llm.base import small_join, written
-from sextant.llm.components import components
+from sextant.llm.components import merged
 
-#: Hash orders under which classes look for a group.
-ORDERS = 4
-#: Tokens counted at a time for the order, and tokens that may be put last: 2^20 of them are 12 MB.
-COUNT_BLOCK, FREQUENT, FREQUENT_MIN = 4_000_000, 1 << 20, 2
+#: Hash orders under which classes look for a group, and neighbours that they look at in each.
+ORDERS, NEIGHBOURS = 8, 3
+#: Tokens packed at a time; tokens that may be put last (2^20 of them are 9 MB), and groups that must have them.
+PACK, FREQUENT, FREQUENT_MIN = 1_000_000, 1 << 20, 4
 #: Digests that a task remembers, to emit exact copies once.
 SEEN = 200_000
 #: Members of a group whose union is one row of the matrix.
@@ -39,44 +43,135 @@ GROUP = 512
 #: Classes whose ids are broadcast to find their texts; beyond, the join shuffles.
 FETCH_ROWS = 500_000
 
-_PROFILE = "kind int, doc_id long, n long, k binary, keys array<long>, token long, times long"
+_PROFILE = "doc_id long, n long, k binary, keys array<long>, bits binary"
+
+
+def _bits(s: np.ndarray) -> bytes:
+    """A row of the matrix for one set: at least two bits a token, a power of two of them."""
+    wide = 1 << max(8, int(2 * len(s) - 1).bit_length()) if len(s) else 256
+    out = np.zeros(wide, bool)
+    out[((s >> np.uint64(7)) & np.uint64(wide - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _folded(x: np.ndarray, wide: int) -> np.ndarray:
+    """A row of bits narrowed to so many bytes."""
+    return np.bitwise_or.reduce(x.reshape(-1, wide), axis=0)
 
 
 def _profile(size: int):
-    """Rows of kind 0: a document's set size, digest and minima; of kind 1: tokens that repeat in a block."""
+    """A document's set size, digest, minima, and row of bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool: dict[bytes, np.ndarray] = {}  # equal sets count once in a block
-        held = 0
         seeds = K.mix(np.arange(1, ORDERS + 1, dtype=np.uint64))
-
-        def repeated() -> pa.RecordBatch:
-            t, c = np.unique(np.concatenate(list(pool.values())), return_counts=True)
-            t, c = t[c > 1], c[c > 1]
-            none = lambda kind: pa.nulls(len(t), kind)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int32)), none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.list_(pa.int64())), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], _NAMES)
-
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offs in K.blocks(batch.column(1)):
                 sets = K.shingle_sets(data.translate(K.LOWER), offs, size)
                 keys = [[int(K.mix(s ^ x).min().view(np.int64)) for x in seeds] if len(s) else [] for s in sets]
-                names = [K.set_digest(s) for s in sets]
-                m = j - i
-                none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), ids.slice(i, m), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), none, none], _NAMES)
-                for k, s in zip(names, sets):
-                    held += len(s) if pool.setdefault(k, s) is s else 0
-                if held >= COUNT_BLOCK:
-                    yield repeated()
-                    pool, held = {}, 0
-        if pool:
-            yield repeated()
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([K.set_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([_bits(s) for s in sets], pa.binary())],
+                    ["doc_id", "n", "k", "keys", "bits"],
+                )
 
     return run
 
 
-_NAMES = ["kind", "doc_id", "n", "k", "keys", "token", "times"]
+def _home(tok: np.ndarray, buckets: int) -> np.ndarray:
+    return ((tok >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _cut(home: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(buckets, places of each) of tokens by their bucket."""
+    order = np.argsort(home, kind="stable")
+    a, b = K.runs(home[order])
+    return home[order][a], [order[x:y] for x, y in zip(a, b)]
+
+
+class _Once:
+    """Whether a task has had a set before: exact copies are worked on once, as far as it remembers."""
+
+    def __init__(self):
+        self.seen: set = set()
+
+    def __call__(self, key) -> bool:
+        new = key not in self.seen
+        if new and len(self.seen) < SEEN:
+            self.seen.add(key)
+        return new
+
+
+def _named(batch: pa.RecordBatch, size: int, once: _Once) -> Iterator[tuple[np.ndarray, int, int | None]]:
+    """(set, class, group or None) of the texts of rows (text, k64, comp); a row's group counts only for its own class."""
+    k64s, comps = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+    for i, _, data, offs in K.blocks(batch.column(0)):
+        for r, s in enumerate(K.shingle_sets(data.translate(K.LOWER), offs, size), i):
+            if len(s):
+                k = K.set_digest(s)
+                me = int.from_bytes(k[:8], "little", signed=True)
+                comp = comps[r] if k64s[r] == me else None
+                if once((k, comp is None)):
+                    yield s, me, comp
+
+
+def _all_tokens(size: int, buckets: int):
+    """Packed tokens, 32 bits of each, of one class of each group and of all classes without a group."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, held, n_held = _Once(), [], 0
+
+        def pack() -> pa.RecordBatch:
+            tok = np.concatenate(held)
+            names, cut = _cut(_home(tok, buckets))
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([tok[o].astype(np.uint32).tobytes() for o in cut], pa.binary())], ["bucket", "tokens"])
+
+        for batch in batches:
+            for s, me, comp in _named(batch, size, once):
+                if comp is None or comp == me:
+                    held.append(s)
+                    n_held += len(s)
+                if n_held >= 2 * PACK:
+                    yield pack()
+                    held, n_held = [], 0
+        if held:
+            yield pack()
+
+    return run
+
+
+def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, times) of tokens that come often enough; key: the bucket and 32 bits of the token."""
+    parts: dict[int, list] = {}
+    for batch in batches:
+        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parts.setdefault(b, []).append(np.frombuffer(blob, np.uint32))
+    for b in sorted(parts):
+        t, c = np.unique(np.concatenate(parts.pop(b)), return_counts=True)
+        t, c = t[c >= FREQUENT_MIN], c[c >= FREQUENT_MIN]
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64) | b << 32), pa.array(c.astype(np.int64))], ["key", "times"])
+
+
+def _neighbours(threshold: tuple[int, int]):
+    """(a, g) of classes with the same minimum that stand close in the sort: rows (j, key, s, k, n)."""
+    num, den = threshold
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: list[tuple[bytes, int]] = []
+        last = None
+        for batch in batches:
+            a, g = [], []
+            j, key, _, k, n = (batch.column(i).to_pylist() for i in range(5))
+            for name, x, size in zip(zip(j, key), k, n):
+                if name != last:
+                    last, near = name, []
+                for y, other in near:
+                    if den * min(size, other) >= num * max(size, other):
+                        a.append(x)
+                        g.append(y)
+                near = [*near[-NEIGHBOURS + 1 :], (x, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(g, pa.binary())], ["a", "g"])
+
+    return run
 
 
 def _sets(size: int):
@@ -136,9 +231,8 @@ def _prefixes(size: int, buckets: int, last):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = last.value
-        seen: set[tuple[bytes, bool]] = set()
+        once, n_held = _Once(), 0
         held: list[tuple[np.ndarray, int, int | None, int]] = []
-        n_held = 0
 
         def pack() -> pa.RecordBatch:
             lens = np.array([len(t) for t, _, _, _ in held])
@@ -148,38 +242,24 @@ def _prefixes(size: int, buckets: int, last):
             rem = n - (np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens))
             grouped = np.repeat(np.array([x[2] is not None for x in held]), lens)
             comp = np.repeat(np.array([x[2] or 0 for x in held], np.int64), lens)
-            home = ((tok >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(home, kind="stable")
-            a, b = K.runs(home[order])
-            cut = [order[x:y] for x, y in zip(a, b)]
+            names, cut = _cut(_home(tok, buckets))
             blobs = lambda x: pa.array([x[o].tobytes() for o in cut], pa.binary())
             at = pa.array([np.flatnonzero(grouped[o]).astype(np.uint32).tobytes() for o in cut], pa.binary())
             comps = pa.array([comp[o][grouped[o]].tobytes() for o in cut], pa.binary())
             small = lambda x: np.minimum(x, 65535).astype(np.uint16)
-            return pa.RecordBatch.from_arrays([pa.array(home[order][a]), blobs(tok.astype(np.uint32)), blobs(node), blobs(small(n)), blobs(small(rem)), at, comps], ["bucket", "tokens", "nodes", "sizes", "rests", "grouped", "comps"])
+            return pa.RecordBatch.from_arrays([pa.array(names), blobs(tok.astype(np.uint32)), blobs(node), blobs(small(n)), blobs(small(rem)), at, comps], ["bucket", "tokens", "nodes", "sizes", "rests", "grouped", "comps"])
 
         for batch in batches:
-            k64s, comps = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for i, _, data, offs in K.blocks(batch.column(0)):
-                for r, s in enumerate(K.shingle_sets(data.translate(K.LOWER), offs, size), i):
-                    if not len(s):
-                        continue
-                    k = K.set_digest(s)
-                    me = int.from_bytes(k[:8], "little", signed=True)
-                    comp = comps[r] if k64s[r] == me else None
-                    if (k, comp is None) in seen:
-                        continue
-                    if len(seen) < SEEN:
-                        seen.add((k, comp is None))
-                    if len(often):
-                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                        cls = np.where(often[at] == s, rank[at], 0)
-                        t = s[np.argsort(cls, kind="stable")[: K.prefix_length(len(s))]]
-                    else:
-                        t = s[: K.prefix_length(len(s))]
-                    held.append((t, me, comp, len(s)))
-                    n_held += len(t)
-                if n_held >= COUNT_BLOCK // 4:
+            for s, me, comp in _named(batch, size, once):
+                t = s
+                if len(often):
+                    key = _home(s, buckets).astype(np.int64) << 32 | (s & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    at = np.minimum(np.searchsorted(often, key), len(often) - 1)
+                    t = s[np.argsort(np.where(often[at] == key, rank[at], 0), kind="stable")]
+                t = t[: K.prefix_length(len(s))]
+                held.append((t, me, comp, len(s)))
+                n_held += len(t)
+                if n_held >= PACK:
                     yield pack()
                     held, n_held = [], 0
         if held:
@@ -191,8 +271,8 @@ def _prefixes(size: int, buckets: int, last):
 _PACKED = "bucket int, tokens binary, nodes binary, sizes binary, rests binary, grouped binary, comps binary"
 
 
-def _meet(threshold: tuple[int, int]):
-    """(query, group) pairs that share a prefix token, from all packed rows of some buckets.
+def _meet(threshold: tuple[int, int], parts_out: int):
+    """(query, group) pairs that share a prefix token, from all packed rows of some buckets, packed by query.
 
     A pair needs den/(num+den)-ths of both sizes in common (3/7 at 3/4), so its first common token must
     leave as many to come in either set; tokens that leave fewer are not a pair's first.  Of two groups
@@ -236,33 +316,104 @@ def _meet(threshold: tuple[int, int]):
                 parts.setdefault(b, []).append((tok, node, n, rem, comp))
         for b in sorted(parts):
             p = pairs(parts.pop(b))
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["q", "g"])
+            if len(p):
+                names, cut = _cut((K.mix(p[:, 0].view(np.uint64)) % np.uint64(parts_out)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([p[o].tobytes() for o in cut], pa.binary())], ["part", "pairs"])
 
     return run
 
 
-def _union(key, rows):
-    """A row of the matrix: the tokens of a group's members."""
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("tokens")]
-    return pa.table({"gid": [key[0].as_py()], "part": [key[1].as_py()], "tokens": pa.array([np.unique(np.concatenate(sets)).tobytes()], pa.binary())})
+def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each packed (q, g) once: two classes mostly share several tokens."""
+    parts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            new = np.frombuffer(blob, np.int64).reshape(-1, 2)
+            parts[b] = np.unique(np.concatenate([parts[b], new]), axis=0) if b in parts else new
+    for b in sorted(parts):
+        p = parts.pop(b)
+        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["q", "g"])
 
 
-def _bound(threshold: tuple[int, int]):
-    """Keeps queries whose overlap with a group's union could reach the threshold: den * overlap >= num * own size."""
+def _rows_of(key, rows):
+    """A row of the matrix for the members of a group: the bits of their union, and the smallest size."""
+    sets = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("bits").combine_chunks()]
+    wide = max(map(len, sets))
+    # A narrower row says nothing of the higher bits, so it stands in each of them.
+    union = np.bitwise_or.reduce([np.tile(x, wide // len(x)) for x in sets])
+    return pa.table({"g": [key[0].as_py()], "part": [key[1].as_py()], "least": pa.array([min(rows.column("n").to_pylist())], pa.int64()), "gbits": pa.array([union.tobytes()], pa.binary())})
+
+
+def _could(threshold: tuple[int, int], n: int, bits: np.ndarray, least: int, other: np.ndarray) -> int:
+    """The most tokens that a set can share with a row of the matrix, or -1 if that makes no link."""
     num, den = threshold
+    wide = min(len(bits), len(other))
+    most = n - int(np.bitwise_count(_folded(bits, wide) & ~_folded(other, wide)).sum())
+    return most if (num + den) * most >= num * (n + max(least, -(-num * n // den))) else -1
+
+
+def _bound(threshold: tuple[int, int]):
+    """Keeps (query, row of the matrix) that could link; rows (.., n, bits, least, gbits), with est in their place."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ta, tb = batch.column(3), batch.column(4)
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(t[i].as_buffer(), np.uint64) for t in (ta, tb))
-                keep.append(den * K.overlap(x, y) >= num * len(x))
-            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+            n, bits, least, other = (batch.column(batch.num_columns - i) for i in (4, 3, 2, 1))
+            est = np.array([_could(threshold, a, np.frombuffer(x.as_buffer(), np.uint8), b, np.frombuffer(y.as_buffer(), np.uint8)) for a, x, b, y in zip(n.to_pylist(), bits, least.to_pylist(), other)], np.int64)
+            names = batch.schema.names[:-4]
+            out = pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(est)], [*names, "est"])
+            yield out.filter(pa.array(est >= 0))
+
+    return run
+
+
+def _open(threshold: tuple[int, int]):
+    """Members of an opened group that each query could link with, the most promising first."""
+
+    def run(key, queries, members):
+        ks = members.column("k").to_pylist()
+        ns, rows = members.column("n").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint8) for x in members.column("bits").combine_chunks()]
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for a, n, bits in zip(queries.column("a").to_pylist(), queries.column("n").to_pylist(), queries.column("bits").combine_chunks()):
+            x = np.frombuffer(bits.as_buffer(), np.uint8)
+            est = [(_could(threshold, n, x, m, y), k) for m, y, k in zip(ns, rows, ks) if k != a]
+            est = sorted((e for e in est if e[0] >= 0), key=lambda e: (-e[0], e[1]))
+            if est:
+                for o, v in zip(out, (a, est[0][1], [k for _, k in est], est[0][0])):
+                    o.append(v)
+        return pa.table({"a": pa.array(out[0], pa.binary()), "g": pa.array(out[1], pa.binary()), "bs": pa.array(out[2], pa.list_(pa.binary())), "est": pa.array(out[3], pa.int64())})
 
     return run
 
 
+def _settle(rows: DataFrame, groups: DataFrame | None, docs: DataFrame, classes: DataFrame, size: int, threshold: tuple[int, int], name: str) -> DataFrame | None:
+    """groups (node, label) joined by those links among candidates (a, g, bs, est) that matter for components.
+
+    a is a class, bs classes of one group that it could link with, g one of them.  First the best candidate
+    of each component is compared, then the best between each two components, then all that are still
+    between different components.
+    """
+    rows = written(rows, f"{name}-candidates")
+    ends = rows.select(F.col("a").alias("k")).union(rows.select(F.explode("bs"))).distinct()
+    sets = _fetch(docs, written(classes.select("k", "first_id").join(ends, "k", "left_semi"), f"{name}-wanted"), size, f"{name}-sets")
+    for step in ("a component", "two components", "all"):
+        if groups is None:
+            d = rows.withColumns({"ca": F.col("a"), "cg": F.col("g")})
+        else:
+            label = lambda c, to: groups.select(F.col("node").alias(c), F.col("label").alias(to))  # noqa: B023, E731
+            d = rows.join(label("a", "ca"), "a", "left").join(label("g", "cg"), "g", "left")
+            d = d.withColumns({"ca": F.coalesce("ca", "a"), "cg": F.coalesce("cg", "g")}).filter("ca != cg")
+        if step == "all":
+            pairs = d.select("a", F.explode("bs").alias("b"))
+        else:
+            by = ["ca"] if step == "a component" else ["ca", "cg"]
+            pairs = d.groupBy(*by).agg(F.max(F.struct("est", "a", F.col("bs")[0].alias("b"))).alias("m")).select("m.a", "m.b")
+        pairs = written(pairs, f"{name}-pairs")
+        if pairs.isEmpty():
+            break
+        groups = merged(groups, _verify(pairs, sets, threshold, f"{name}-links"), f"{name}-groups")
+    return groups
+
+
 def shingle_report(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -273,52 +424,60 @@ def shingle_report(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int]
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = written(docs.mapInArrow(_profile(size), _PROFILE), "jaccard-profile")
-    each = profile.filter("kind = 0").select("doc_id", "n", "k", "keys")
-    classes = each.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    each = written(docs.mapInArrow(_profile(size), _PROFILE), "jaccard-profile")
+    classes = each.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("bits").alias("bits"))
     classes = written(classes, "jaccard-classes")
-
-    # Groups: classes against the first class that shares a minimum.
     num, den = threshold
-    keyed = classes.select("k", "n", F.posexplode("keys").alias("j", "key"))
-    leaders = keyed.groupBy("j", "key").agg(F.min(F.struct("n", "k")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("j", "key", "lead.*").withColumnsRenamed({"n": "ln", "k": "lk"})
-    near = keyed.join(leaders, ["j", "key"]).filter((F.col("k") != F.col("lk")) & (den * F.least("n", "ln") >= num * F.greatest("n", "ln")))
-    near = written(near.select(F.col("k").alias("a"), F.col("lk").alias("b")).distinct(), "jaccard-near")
-    ends = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()
-    sets = _fetch(docs, written(classes.select("k", "first_id").join(ends, "k", "left_semi"), "jaccard-wanted"), size, "jaccard-sets")
-    links = _verify(near, sets, threshold, "jaccard-links")
-    groups = components(links, "jaccard-groups")
-
-    # The matrix: queries meet groups through prefixes, bounds open groups.
-    often = profile.filter("kind = 1").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= FREQUENT_MIN)
-    often = often.orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
-    tok = often["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tok)
-    last = spark.sparkContext.broadcast((tok[order], np.floor(np.log2(np.maximum(often["times"].to_numpy(np.float64), 1))).astype(np.int64)[order] + 1))
-    total = profile.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
+    beside = lambda k, n, bits: classes.select(F.col("k").alias(k), F.col("n").alias(n), F.col("bits").alias(bits))
+
+    # Groups: classes against neighbours with the same minimum.
+    keyed = classes.select("k", "n", "keys", F.posexplode("keys").alias("j", "key"))
+    keyed = keyed.select("j", "key", F.get("keys", (F.col("j") + 1) % ORDERS).alias("s"), "k", "n").repartitionByRange("j", "key", "s", "k").sortWithinPartitions("j", "key", "s", "k")
+    near = keyed.mapInArrow(_neighbours(threshold), "a binary, g binary")
+    near = near.select(F.least("a", "g").alias("g"), F.greatest("a", "g").alias("a")).distinct().join(beside("a", "n", "bits"), "a").join(beside("g", "least", "gbits"), "g")
+    near = near.select("a", "g", "n", "bits", "least", "gbits").mapInArrow(_bound(threshold), "a binary, g binary, est long")
+    groups = _settle(near.select("a", "g", F.array("g").alias("bs"), "est"), None, docs, classes, size, threshold, "jaccard-near")
+    if groups is None:
+        groups = spark.createDataFrame([], "node binary, label binary")
+
+    # Prefixes in an order that puts what several groups share last.
+    total = each.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, int(total) // 500_000)
-    member = groups.select(F.col("node").alias("k"), F.col("label")).join(classes.select("k", "first_id"), "k")
+    member = groups.select(F.col("node").alias("k"), "label").join(classes.select("k", "first_id"), "k")
     member = written(member.select("k", "first_id", _head64("k").alias("k64"), _head64("label").alias("comp")), "jaccard-members")
-    named = small_join(docs, member.select("first_id", "k64", "comp"), F.expr("doc_id <=> first_id"), "left", FETCH_ROWS)
-    packed = named.select("text", "k64", "comp").mapInArrow(_prefixes(size, buckets, last), _PACKED)
-    met = packed.repartition(buckets, "bucket").mapInArrow(_meet(threshold), "q long, g long").distinct()
-    met = written(met, "jaccard-met")
+    named = small_join(docs, member.select("first_id", "k64", "comp"), F.expr("doc_id <=> first_id"), "left", FETCH_ROWS).select("text", "k64", "comp")
+    often = named.mapInArrow(_all_tokens(size, buckets), "bucket int, tokens binary").repartition(buckets, "bucket").mapInArrow(_repeated, "key long, times long")
+    often = written(often, "jaccard-often").orderBy(F.desc("times"), "key").limit(FREQUENT).toArrow()
+    order = np.argsort(often["key"].to_numpy())
+    last = spark.sparkContext.broadcast((often["key"].to_numpy()[order], (np.log2(often["times"].to_numpy()).astype(np.int8) + 1)[order]))
+    del often
+    packed = named.mapInArrow(_prefixes(size, buckets, last), _PACKED)
+    spread = max(16, buckets // 8)
+    met = packed.repartition(buckets, "bucket").mapInArrow(_meet(threshold, spread), "part int, pairs binary")
+    met = written(met.repartition(spread, "part").mapInArrow(_distinct, "q long, g long"), "jaccard-met")
+
+    # The matrix: queries against rows of bits, members of the groups that open.
     if not met.isEmpty():
-        all64 = classes.select("k", "first_id", _head64("k").alias("k64"))
-        home = all64.join(member.select("k", "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "k64"))
-        asked = met.select("g").distinct()
-        of = home.join(asked, home.comp == asked.g, "left_semi")
-        part = of.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-        of = written(of.join(part, "comp").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts"))).select("k", "first_id", "comp", "part"), "jaccard-opened")
-        queries = all64.join(met.select(F.col("q").alias("k64")).distinct(), "k64", "left_semi").select("k", "first_id")
-        sets = _fetch(docs, written(of.select("k", "first_id").union(queries).distinct(), "jaccard-wanted"), size, "jaccard-sets")
-        matrix = of.join(sets, "k").groupBy(F.col("comp").alias("gid"), "part").applyInArrow(_union, "gid long, part long, tokens binary")
-        ask = met.join(all64.select(F.col("k").alias("a"), F.col("k64").alias("q")), "q").join(sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), "a")
-        ask = ask.join(matrix, F.col("g") == F.col("gid")).select("a", "g", "part", "ta", "tokens")
-        opened = ask.mapInArrow(_bound(threshold), "a binary, g long, part long")
-        inside = opened.join(of.select(F.col("comp").alias("g"), "part", F.col("k").alias("b")), ["g", "part"]).filter("a != b").select("a", "b")
-        links = written(links.union(_verify(inside, sets, threshold, "jaccard-late")), "jaccard-links")
-        groups = components(links, "jaccard-all")
+        home = classes.select("k", "n", "bits", _head64("k").alias("k64")).join(member.select("k", "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "k64"))
+        of = home.join(met.select(F.col("g").alias("comp")).distinct(), "comp", "left_semi")
+        parts = of.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+        of = written(of.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts"))), "jaccard-homes")
+        several = of.groupBy("comp", "part").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.min("bits").alias("gbits"), F.min("k").alias("k"))
+        alone = several.filter("c = 1").select(F.col("comp").alias("g"), "part", "least", "gbits", "k")
+        crowd = of.join(several.filter("c > 1").select("comp", "part"), ["comp", "part"], "left_semi")
+        matrix = crowd.select("comp", "part", "n", "bits").groupBy("comp", "part").applyInArrow(_rows_of, "g long, part long, least long, gbits binary")
+        matrix = matrix.withColumn("k", F.lit(None).cast("binary")).unionByName(alone)
+        ask = met.join(home.select(F.col("k").alias("a"), F.col("k64").alias("q"), "n", "bits"), "q").join(matrix, "g")
+        ask = ask.select("a", "g", "part", "k", "n", "bits", "least", "gbits").mapInArrow(_bound(threshold), "a binary, g long, part long, k binary, est long")
+        ask = written(ask.filter("k is null or a != k"), "jaccard-opened")
+        single = ask.filter("k is not null").select("a", F.col("k").alias("g"), F.array("k").alias("bs"), "est")
+        busy = ask.filter("k is null").select("a", "g", "part")
+        salts = busy.groupBy("g", "part").agg(F.ceil(F.count(F.lit(1)) / (4 * GROUP)).alias("salts"))
+        busy = busy.join(salts, ["g", "part"]).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))).join(beside("a", "n", "bits"), "a")
+        inside = of.withColumnRenamed("comp", "g").join(salts, ["g", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        by = ["g", "part", "salt"]
+        opened = busy.select(*by, "a", "n", "bits").groupBy(*by).cogroup(inside.select(*by, "k", "n", "bits").groupBy(*by)).applyInArrow(_open(threshold), "a binary, g binary, bs array<binary>, est long")
+        groups = _settle(single.unionByName(opened), groups, docs, classes, size, threshold, "jaccard-late")
     last.unpersist()
 
     labelled = classes.select("k", "first_id").join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))

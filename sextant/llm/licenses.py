@@ -122,8 +122,16 @@ class Scanner:
             self.auto.add(i, s)
         self.auto.close(ids)
         n = len(seqs)
-        # By state: the phrases that end where its strings end (a phrase may be longer than what has matched).
-        self.whole = [[(p - n, len(self.phrases[p - n])) for p, e in sorted(ends) if p >= n and e == len(self.phrases[p - n])] for ends in self.auto.ends]
+        # By state: the phrases that its strings end with, its own and those of its suffixes (its own may be
+        # longer than what has matched).
+        self.whole: list[list[tuple[int, int]]] = [[] for _ in self.auto.length]
+        for p, seq in enumerate(ids[n:]):
+            s = 0
+            for c in seq:
+                s = self.auto.moves[s][c]
+            self.whole[s].append((p, len(seq)))
+        for s in sorted(range(1, len(self.auto.length)), key=self.auto.length.__getitem__):
+            self.whole[s] = self.whole[s] + self.whole[self.auto.link[s]]
         self.places = [[(t, e) for t, e in sorted(ends) if t < n] for ends in self.auto.ends]
         self.least = min(MIN_RUN, *map(len, self.phrases))
 

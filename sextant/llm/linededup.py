@@ -406,10 +406,12 @@ def drop_repeated_lines(docs: DataFrame, *, tau: int = TAU) -> DataFrame:
     """
     _, removed = repeated_lines(docs.select("doc_id", "text"), tau=tau)
     gone = removed.select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_gone"))
-    d = small_join(docs, gone, F.expr("doc_id <=> _id"), "left", SMALL)
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    d = d.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    d = d.filter(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return d.select(*docs.columns)
+    # The row travels as one column, so that none of its names can clash.
+    d = small_join(docs.select(F.struct("*").alias("_row")), gone, F.expr("_row.doc_id <=> _id"), "left", SMALL)
+    text, gone = F.col("_row.text"), F.col("_gone")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    d = d.withColumn("_text", F.when(gone.isNull(), text).otherwise(kept)).filter(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    out = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(gone.isNull(), out["n_chars"]).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return d.select(*[c.alias(name) for name, c in out.items()])
