@@ -30,9 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    narrow: rows are a few ids, so two tasks per core of the cluster write them, however many partitions there are.
+    """
     spark = df.sparkSession
+    df = df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df
     path = f"{shared_dir(spark)}/sextant/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.base import written
+from sextant.llm.base import small_join, written
+from sextant.llm.kernels import tidy
 
 #: Edges that a task joins up at a time before it hands on stars.
 HELD = 500_000
@@ -57,32 +58,37 @@ def _are_stars(e: DataFrame) -> bool:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) for every node of edges (a, b), the labels among them; label: the smallest node.
 
-    Tasks join up what their partitions hold, then large-star and small-star rounds hook neighbours to
-    the smallest one seen until only stars are left.  Each round is written, so a lost executor costs one
-    round.  Minima are found by aggregation, never by gathering a node's neighbours in one place.
+    Tasks join up what their partitions hold; edges that fit one task's share are one partition.  Beyond,
+    large-star and small-star rounds hook neighbours to the smallest one seen until only stars are left.
+    Each round is written, so a lost executor costs one round.  Minima are found by aggregation, never by
+    gathering a node's neighbours in one place.
     """
     kind = edges.schema["a"].dataType.simpleString()
+    e = written(edges.filter("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), name, True)
+    small = e.count() <= HELD
+    if small:
+        e = e.coalesce(1)
 
     def local(e: DataFrame) -> DataFrame:
-        return written(e.mapInArrow(_joined_up, f"lo {kind}, hi {kind}").distinct(), name)
+        return written(e.mapInArrow(tidy(_joined_up), f"lo {kind}, hi {kind}"), name, True)
 
-    e = local(edges.filter("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
-    while not _are_stars(e):
+    e = local(e)
+    while not small and not _are_stars(e):
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select("hi", "lo"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").filter("v != m").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        star = large.join(small, "hi").filter("lo != m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(small.select(F.col("m").alias("lo"), "hi")).distinct()
+        tips = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        star = large.join(tips, "hi").filter("lo != m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(tips.select(F.col("m").alias("lo"), "hi")).distinct()
         e = local(star)
-    return e.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(e.select("lo", "lo").distinct())
+    return e.select(F.col("hi").alias("node"), F.col("lo").alias("label")).distinct().union(e.select("lo", "lo").distinct())
 
 
 def merged(groups: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
     """groups (node, label) after new links (a, b): only what the links join is worked on again."""
     if groups is None:
-        return written(components(links, name), name)
+        return written(components(links, name), name, True)
     of = lambda c, to: groups.select(F.col("node").alias(c), F.col("label").alias(to))
-    d = links.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left")
-    new = components(d.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), name)
-    d = groups.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return written(d.union(new.join(groups.select("node"), "node", "left_anti").select("node", "label")), name)
+    d = small_join(small_join(links, of("a", "la"), ["a"], "left"), of("b", "lb"), ["b"], "left")
+    new = written(components(d.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), name), name, True)
+    d = small_join(groups, new.select(F.col("node").alias("label"), F.col("label").alias("to")), ["label"], "left").select("node", F.coalesce("to", "label").alias("label"))
+    return written(d.union(small_join(new, groups.select("node"), ["node"], "left_anti").select("node", "label")), name, True)

@@ -17,9 +17,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sextant.llm.base import written
+from sextant.llm.kernels import tidy
 
-#: Vectors in a block of data and of queries, data blocks that one task row group meets, points of a leaf, shrinking of radii.
-DATA_BLOCK, QUERY_BLOCK, TOGETHER, LEAF, SHRINK = 4096, 4096, 8, 96, 0.8
+#: Vectors in a block of data and of queries, data blocks that one task row group meets, shrinking of radii; points of a
+#: leaf of data and of queries (a leaf of few queries stays close together).
+DATA_BLOCK, QUERY_BLOCK, TOGETHER, SHRINK, LEAF, QUERY_LEAF = 4096, 4096, 8, 0.8, 96, 32
 _LAST = np.iinfo(np.int64).max
 
 
@@ -41,7 +43,7 @@ class Tree:
     count: np.ndarray
 
 
-def cover_tree(points: np.ndarray) -> Tree:
+def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Tree:
     """A node's children are centred on its points, farthest first, until each point is within the shrunken radius of one.
 
     Nodes are laid out breadth-first, so that the children of a node stand together; points that a node
@@ -66,7 +68,7 @@ def cover_tree(points: np.ndarray) -> Tree:
             # Rounding of squares must not make a ball smaller than it is.
             radius.append(r + 1e-7 * np.sqrt(scale) + 1e-9)
             first.append(base + len(below))
-            if len(idx) <= LEAF or r <= 1e-6 * np.sqrt(scale):
+            if len(idx) <= leaf or r <= 1e-6 * np.sqrt(scale):
                 count.append(0)
                 continue
             own, near, n, pick = np.zeros(len(idx), np.int64), d.copy(), 1, int(d.argmax())
@@ -108,7 +110,7 @@ class Search:
     """A block of queries with its tree and the best k so far of each query, best first."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.tree = cover_tree(vectors)
+        self.tree = cover_tree(vectors, QUERY_LEAF)
         self.ids, self.x, self.k = ids[self.tree.order], vectors[self.tree.order], k
         self.score = np.full((len(ids), k), -np.inf)
         self.name = np.full((len(ids), k), _LAST)
@@ -176,7 +178,7 @@ class Search:
         self.score[lo + gain], self.name[lo + gain] = score[best], name[best]
 
 
-def _walk(k: int, dim_of: int):
+def _walk(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[int, Search] = {}
         dims = 0
@@ -247,6 +249,6 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "ve
     copies = data.join(count, "dims").select("dims", "block", "ids", "vecs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("qb"))
     met = copies.join(q, ["dims", "qb"]).withColumn("batch", F.floor(F.col("block") / TOGETHER))
     met = met.repartition("dims", "qb", "batch").select(F.xxhash64("dims", "qb", "batch").alias("task"), "qids", "qvecs", "ids", "vecs", "dims")
-    part = met.mapInArrow(_walk(k, 0), "query_id long, vec_id long, score long")
+    part = met.mapInArrow(tidy(_walk(k)), "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return part.dropDuplicates().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

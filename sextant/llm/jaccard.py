@@ -193,7 +193,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, size: int, name: str) -> DataFram
     """
     ids = wanted.select(F.col("first_id").alias("_first")).distinct()
     texts = small_join(docs, ids, F.expr("doc_id <=> _first"), "left_semi", FETCH_ROWS)
-    sets = texts.select("text").mapInArrow(_sets(size), "k binary, tokens binary")
+    sets = texts.select("text").mapInArrow(K.tidy(_sets(size)), "k binary, tokens binary")
     return written(sets, name)
 
 
@@ -218,7 +218,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], name:
     """Those of the pairs (a, b) that link."""
     d = pairs.join(sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), "a")
     d = d.join(sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return written(d.mapInArrow(_linked(threshold), "a binary, b binary"), name)
+    return written(d.mapInArrow(K.tidy(_linked(threshold)), "a binary, b binary"), name, True)
 
 
 def _prefixes(size: int, buckets: int, last):
@@ -385,29 +385,29 @@ def _open(threshold: tuple[int, int]):
     return run
 
 
-def _settle(rows: DataFrame, groups: DataFrame | None, docs: DataFrame, classes: DataFrame, size: int, threshold: tuple[int, int], name: str) -> DataFrame | None:
+def _settle(rows: DataFrame, groups: DataFrame | None, docs: DataFrame, classes: DataFrame, size: int, threshold: tuple[int, int], name: str, steps: tuple[str, ...] = ("a component", "two components", "all")) -> DataFrame | None:
     """groups (node, label) joined by those links among candidates (a, g, bs, est) that matter for components.
 
     a is a class, bs classes of one group that it could link with, g one of them.  First the best candidate
     of each component is compared, then the best between each two components, then all that are still
-    between different components.
+    between different components; steps says which of these are taken.
     """
     rows = written(rows, f"{name}-candidates")
     ends = rows.select(F.col("a").alias("k")).union(rows.select(F.explode("bs"))).distinct()
-    sets = _fetch(docs, written(classes.select("k", "first_id").join(ends, "k", "left_semi"), f"{name}-wanted"), size, f"{name}-sets")
-    for step in ("a component", "two components", "all"):
+    sets = _fetch(docs, written(classes.select("k", "first_id").join(ends, "k", "left_semi"), f"{name}-wanted", True), size, f"{name}-sets")
+    for step in steps:
         if groups is None:
             d = rows.withColumns({"ca": F.col("a"), "cg": F.col("g")})
         else:
             label = lambda c, to: groups.select(F.col("node").alias(c), F.col("label").alias(to))  # noqa: B023, E731
-            d = rows.join(label("a", "ca"), "a", "left").join(label("g", "cg"), "g", "left")
+            d = small_join(small_join(rows, label("a", "ca"), ["a"], "left"), label("g", "cg"), ["g"], "left")
             d = d.withColumns({"ca": F.coalesce("ca", "a"), "cg": F.coalesce("cg", "g")}).filter("ca != cg")
         if step == "all":
             pairs = d.select("a", F.explode("bs").alias("b"))
         else:
             by = ["ca"] if step == "a component" else ["ca", "cg"]
             pairs = d.groupBy(*by).agg(F.max(F.struct("est", "a", F.col("bs")[0].alias("b"))).alias("m")).select("m.a", "m.b")
-        pairs = written(pairs, f"{name}-pairs")
+        pairs = written(pairs, f"{name}-pairs", True)
         if pairs.isEmpty():
             break
         groups = merged(groups, _verify(pairs, sets, threshold, f"{name}-links"), f"{name}-groups")
@@ -424,7 +424,7 @@ def shingle_report(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int]
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    each = written(docs.mapInArrow(_profile(size), _PROFILE), "jaccard-profile")
+    each = written(docs.mapInArrow(K.tidy(_profile(size)), _PROFILE), "jaccard-profile")
     classes = each.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("bits").alias("bits"))
     classes = written(classes, "jaccard-classes")
     num, den = threshold
@@ -433,10 +433,10 @@ def shingle_report(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int]
     # Groups: classes against neighbours with the same minimum.
     keyed = classes.select("k", "n", "keys", F.posexplode("keys").alias("j", "key"))
     keyed = keyed.select("j", "key", F.get("keys", (F.col("j") + 1) % ORDERS).alias("s"), "k", "n").repartitionByRange("j", "key", "s", "k").sortWithinPartitions("j", "key", "s", "k")
-    near = keyed.mapInArrow(_neighbours(threshold), "a binary, g binary")
+    near = keyed.mapInArrow(K.tidy(_neighbours(threshold)), "a binary, g binary")
     near = near.select(F.least("a", "g").alias("g"), F.greatest("a", "g").alias("a")).distinct().join(beside("a", "n", "bits"), "a").join(beside("g", "least", "gbits"), "g")
-    near = near.select("a", "g", "n", "bits", "least", "gbits").mapInArrow(_bound(threshold), "a binary, g binary, est long")
-    groups = _settle(near.select("a", "g", F.array("g").alias("bs"), "est"), None, docs, classes, size, threshold, "jaccard-near")
+    near = near.select("a", "g", "n", "bits", "least", "gbits").mapInArrow(K.tidy(_bound(threshold)), "a binary, g binary, est long")
+    groups = _settle(near.select("a", "g", F.array("g").alias("bs"), "est"), None, docs, classes, size, threshold, "jaccard-near", ("a component", "all"))
     if groups is None:
         groups = spark.createDataFrame([], "node binary, label binary")
 
@@ -446,15 +446,15 @@ def shingle_report(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int]
     member = groups.select(F.col("node").alias("k"), "label").join(classes.select("k", "first_id"), "k")
     member = written(member.select("k", "first_id", _head64("k").alias("k64"), _head64("label").alias("comp")), "jaccard-members")
     named = small_join(docs, member.select("first_id", "k64", "comp"), F.expr("doc_id <=> first_id"), "left", FETCH_ROWS).select("text", "k64", "comp")
-    often = named.mapInArrow(_all_tokens(size, buckets), "bucket int, tokens binary").repartition(buckets, "bucket").mapInArrow(_repeated, "key long, times long")
+    often = named.mapInArrow(K.tidy(_all_tokens(size, buckets)), "bucket int, tokens binary").repartition(buckets, "bucket").mapInArrow(K.tidy(_repeated), "key long, times long")
     often = written(often, "jaccard-often").orderBy(F.desc("times"), "key").limit(FREQUENT).toArrow()
     order = np.argsort(often["key"].to_numpy())
     last = spark.sparkContext.broadcast((often["key"].to_numpy()[order], (np.log2(often["times"].to_numpy()).astype(np.int8) + 1)[order]))
     del often
-    packed = named.mapInArrow(_prefixes(size, buckets, last), _PACKED)
+    packed = named.mapInArrow(K.tidy(_prefixes(size, buckets, last)), _PACKED)
     spread = max(16, buckets // 8)
-    met = packed.repartition(buckets, "bucket").mapInArrow(_meet(threshold, spread), "part int, pairs binary")
-    met = written(met.repartition(spread, "part").mapInArrow(_distinct, "q long, g long"), "jaccard-met")
+    met = packed.repartition(buckets, "bucket").mapInArrow(K.tidy(_meet(threshold, spread)), "part int, pairs binary")
+    met = written(met.repartition(spread, "part").mapInArrow(K.tidy(_distinct), "q long, g long"), "jaccard-met")
 
     # The matrix: queries against rows of bits, members of the groups that open.
     if not met.isEmpty():
@@ -468,7 +468,7 @@ def shingle_report(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int]
         matrix = crowd.select("comp", "part", "n", "bits").groupBy("comp", "part").applyInArrow(_rows_of, "g long, part long, least long, gbits binary")
         matrix = matrix.withColumn("k", F.lit(None).cast("binary")).unionByName(alone)
         ask = met.join(home.select(F.col("k").alias("a"), F.col("k64").alias("q"), "n", "bits"), "q").join(matrix, "g")
-        ask = ask.select("a", "g", "part", "k", "n", "bits", "least", "gbits").mapInArrow(_bound(threshold), "a binary, g long, part long, k binary, est long")
+        ask = ask.select("a", "g", "part", "k", "n", "bits", "least", "gbits").mapInArrow(K.tidy(_bound(threshold)), "a binary, g long, part long, k binary, est long")
         ask = written(ask.filter("k is null or a != k"), "jaccard-opened")
         single = ask.filter("k is not null").select("a", F.col("k").alias("g"), F.array("k").alias("bs"), "est")
         busy = ask.filter("k is null").select("a", "g", "part")

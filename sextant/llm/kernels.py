@@ -5,8 +5,10 @@ Word and shingle hashes are 64 bits wide; sets are sorted arrays of distinct shi
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,30 @@ _STEPS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3)) & ((1 << 64) - 1) | 1 for
 BLOCK = 4 << 20
 
 
+def tidy(run: Callable) -> Callable:
+    """A batch function that gives memory back when its partition ends: Python workers are used again and again."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library, which keeps its own house
+
+    return wrapped
+
+
+def texts(col: pa.Array, step: int = 256) -> Iterator[str]:
+    """The strings of a column, nulls as empty, a few at a time as Python objects."""
+    for i in range(0, len(col), step):
+        for t in col.slice(i, step).to_pylist():
+            yield t or ""
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> U64(30))

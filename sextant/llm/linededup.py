@@ -27,6 +27,8 @@ from sextant.llm.base import small_join, written
 
 #: Edits that two near lines may be apart; characters from which lines are removed at all and compared by edits.
 TAU, MIN_EXACT, MIN_NEAR = 2, 8, 24
+#: Characters whose sums are held at a time.
+CHARS = 1 << 20
 #: Signatures packed at a time and per bucket; digests a task remembers; rows of a broadcast;
 #: open lines of a run that one task compares.
 PACK, PER_BUCKET, SEEN, SMALL, SHARE = 1_000_000, 1_000_000, 200_000, 300_000, 512
@@ -43,9 +45,9 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, line_no, k, chars) per line that may be removed, and a row with line_no -1 per document: its lines."""
     for batch in batches:
         ids, nos, ks, chars = [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, text in zip(batch.column(0).to_pylist(), K.texts(batch.column(1))):
             full = 0
-            for i, line in enumerate((text or "").split("\n")):
+            for i, line in enumerate(text.split("\n")):
                 line = line.strip(_SPACE)
                 full += bool(line)
                 if len(line) >= MIN_EXACT:
@@ -151,8 +153,8 @@ def _signatures(tau: int, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(home[order][a]), blobs(sig.astype(np.uint32)), blobs(name), blobs(own.astype(np.uint8)), blobs(parity[line]), blobs(place)], ["bucket", "sigs", "lines", "own", "parity", "places"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for line in (text or "").split("\n"):
+            for doc, text in zip(batch.column(0).to_pylist(), K.texts(batch.column(1))):
+                for line in text.split("\n"):
                     line = line.strip(_SPACE)
                     if len(line) < MIN_NEAR:
                         continue
@@ -163,7 +165,7 @@ def _signatures(tau: int, buckets: int):
                         seen.add(k)
                     held.append((k, line, doc))
                     chars += len(line)
-                    if chars >= K.BLOCK or len(held) * (tau + 1) * (2 * tau + 1) >= PACK:
+                    if chars >= CHARS or len(held) * (tau + 1) * (2 * tau + 1) >= PACK:
                         yield pack()
                         held, chars = [], 0
         if held:
@@ -282,8 +284,7 @@ def within(a: str, b: str, tau: int) -> bool:
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, line) of each line of some documents that edits are counted for."""
     for batch in batches:
-        lines = [x.strip(_SPACE) for t in batch.column(0).to_pylist() for x in (t or "").split("\n")]
-        lines = [x for x in lines if len(x) >= MIN_NEAR]
+        lines = [y for t in K.texts(batch.column(0)) for x in t.split("\n") if len(y := x.strip(_SPACE)) >= MIN_NEAR]
         yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in lines], pa.binary()), pa.array(lines, pa.string())], ["k", "line"])
 
 
@@ -339,28 +340,28 @@ def repeated_lines(docs: DataFrame, *, tau: int = TAU) -> tuple[DataFrame, DataF
     no lines.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = written(docs.mapInArrow(_lines, "doc_id long, line_no int, k binary, chars int"), "lines")
+    lines = written(docs.mapInArrow(K.tidy(_lines), "doc_id long, line_no int, k binary, chars int"), "lines")
     at = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
     classes = lines.filter("line_no >= 0").groupBy("k").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"), F.min("chars").alias("chars"))
     classes = written(classes, "line-classes")
     total = classes.count()
     buckets = max(64, total * (tau + 1) * (2 * tau + 1) // PER_BUCKET)
-    packed = docs.mapInArrow(_signatures(tau, buckets), _PACKED)
+    packed = docs.mapInArrow(K.tidy(_signatures(tau, buckets)), _PACKED)
     meet, members = _meet(tau)
-    met = written(packed.repartition(buckets, "bucket").mapInArrow(meet, _MET), "line-runs")
+    met = written(packed.repartition(buckets, "bucket").mapInArrow(K.tidy(meet), _MET), "line-runs")
 
     asked = met.filter("q is not null").select("run", "q", "x")
     named = classes.filter(F.col("chars") >= MIN_NEAR).select("k", "first", _head64("k").alias("name"))
     ends = written(named.join(asked.select(F.col("q").alias("name")).distinct(), "name", "left_semi"), "line-ends")
     ids = ends.select(F.col("first.doc_id").alias("_first")).distinct()
-    texts = small_join(docs, ids, F.expr("doc_id <=> _first"), "left_semi", SMALL).select("text").mapInArrow(_texts, "k binary, line string")
+    texts = small_join(docs, ids, F.expr("doc_id <=> _first"), "left_semi", SMALL).select("text").mapInArrow(K.tidy(_texts), "k binary, line string")
     texts = written(ends.join(texts, "k").dropDuplicates(["k"]), "line-texts")
 
     def settled(pairs: DataFrame, name: str) -> DataFrame:
         """Lines q with an earlier line x that is near."""
         d = pairs.join(texts.select(F.col("name").alias("q"), F.col("line").alias("a"), F.col("first").alias("fa")), "q")
         d = d.join(texts.select(F.col("name").alias("x"), F.col("line").alias("b"), F.col("first").alias("fb")), "x").filter("fb < fa")
-        return written(d.select("q", "a", "b").mapInArrow(_near(tau), "q long").distinct(), name)
+        return written(d.select("q", "a", "b").mapInArrow(K.tidy(_near(tau)), "q long").distinct(), name)
 
     one = settled(asked.filter("x is not null").select("q", "x").distinct(), "line-late")
     # Lines that are left open meet the other members of their runs in one place, a share of a large run's at a time.
@@ -370,7 +371,7 @@ def repeated_lines(docs: DataFrame, *, tau: int = TAU) -> tuple[DataFrame, DataF
     said = texts.select("name", "line", F.concat_ws(":", place["late"].cast("string"), F.lpad((F.coalesce(place["doc_id"], F.lit(0)).cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0"), F.lpad(place["line_no"].cast("string"), 10, "0")).alias("place"))
     asks = rest.join(shares, "run").withColumn("salt", F.pmod(F.xxhash64("q"), F.col("shares"))).withColumnRenamed("q", "name").select("run", "salt", "name").join(said, "name")
     held = met.filter("members is not null").select("run", "members").join(shares, "run").select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("salt"), "members")
-    held = held.mapInArrow(members, "run long, salt long, name long").join(said, "name")
+    held = held.mapInArrow(K.tidy(members), "run long, salt long, name long").join(said, "name")
     fresh = lambda d: d.select("run", "salt", "name", "line", "place").toDF("run", "salt", "name", "line", "place").groupBy("run", "salt")
     two = fresh(asks).cogroup(fresh(held)).applyInArrow(_settle(tau), "q long").distinct()
     late = one.union(two).join(ends.select(F.col("name").alias("q"), "k"), "q").select("k", F.lit(True).alias("near"))

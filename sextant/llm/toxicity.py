@@ -33,7 +33,7 @@ CARRIERS, SUSPECT, STRONG = 6, 2, 3.5
 #: The only samples: labelled documents per class, chosen by a hash of the id, and characters of each.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1_500, 3_000, 20_000
 #: Window lengths remembered by a task, and windows of a document that its score looks at.
-CACHE, TOP = 400_000, 5
+CACHE, TOP = 150_000, 5
 #: The compressor finds no match that begins in a dictionary's last bytes.
 _TAIL = b"0123456789"
 _EDGE = b".,;:!?\"'()[]{}*#$%&|<>"
@@ -175,10 +175,13 @@ def train(rows: list[tuple[int, str, int]], odds: float | None = None) -> Model:
     tail = [ordinary[i : i + 24] for i in range(max(0, len(ordinary) - 24 * CARRIERS), max(1, len(ordinary) - 23), 24)][:CARRIERS] or [b"of the and in to a is on"]
     model = Model(ordinary, toxic, tail[::-1], [0.0] * 6)
     scorer = model.scorer()
-    seen = [(scorer.features(t), y) for t, y, p in texts if not p] or [([1.0] + [0.0] * 5, 0)]
+    seen = [(scorer.features(t), y) for t, y, p in texts if not p]
+    if len({y for _, y in seen}) < 2:
+        model.weights[0] = -30.0  # nothing is known of one class
+        return model
     model.weights = _fit(np.array([f for f, _ in seen]), np.array([y for _, y in seen], float))
     ones = sum(y for _, y in seen)
-    if odds and 0 < ones < len(seen):
+    if odds:
         model.weights[0] += float(np.log(odds * (len(seen) - ones) / ones))
     return model
 
@@ -214,11 +217,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id and score, 0 to 1, of the whole text.
 
     Null and empty texts, and texts without words, score what no evidence gives.  Repeated rows score
-    alike.  Without labelled rows every score is 1/2.  An empty table gives no scores.  Other columns
+    alike.  Without labelled rows of both classes all scores are about 0.  An empty table gives no scores.  Other columns
     are not read; labels are read only to train.
     """
     model = docs.sparkSession.sparkContext.broadcast(astuple(fit(docs, labels, **sample)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(model), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(K.tidy(_scores(model)), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **sample) -> DataFrame:
@@ -227,4 +230,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     d = docs.select("doc_id", "text", F.struct("text", *rest).alias("_row"))
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, _row {d.schema['_row'].dataType.simpleString()}"
-    return d.mapInArrow(_scores(model), kind).filter(F.col("score") < threshold).select("doc_id", "_row.*").select(*docs.columns)
+    return d.mapInArrow(K.tidy(_scores(model)), kind).filter(F.col("score") < threshold).select("doc_id", "_row.*").select(*docs.columns)
