@@ -218,7 +218,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], name:
     """Those of the pairs (a, b) that link."""
     d = pairs.join(sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), "a")
     d = d.join(sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return written(d.mapInArrow(K.tidy(_linked(threshold)), "a binary, b binary"), name, True)
+    return written(d.mapInArrow(K.tidy(_linked(threshold)), "a binary, b binary"), name)
 
 
 def _prefixes(size: int, buckets: int, last):
@@ -287,7 +287,7 @@ def _meet(threshold: tuple[int, int], parts_out: int):
         same[1:] = (tok[order][1:] == tok[order][:-1]) & (node[order][1:] == node[order][:-1])
         order = order[~same]
         a, b = K.runs(tok[order])
-        out = [np.zeros((0, 2), np.int64)]
+        out, n_out = [np.zeros((0, 2), np.int64)], 0
         for x, y in zip(a[b - a > 1].tolist(), b[b - a > 1].tolist()):
             o = order[x:y]
             c, ns, rs, ids = comp[o], n[o].astype(np.int64), rem[o].astype(np.int64), node[o]
@@ -303,7 +303,11 @@ def _meet(threshold: tuple[int, int], parts_out: int):
                 if ok.any():
                     g = np.unique(c[ok])
                     out.append(np.column_stack([np.full(len(g), ids[q]), g]))
-        return np.unique(np.concatenate(out), axis=0)
+                    n_out += len(g)
+            if n_out >= PACK // 2:  # pairs that share several tokens would pile up
+                out = [_once_each(out)]
+                n_out = 0
+        return _once_each(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
@@ -323,15 +327,26 @@ def _meet(threshold: tuple[int, int], parts_out: int):
     return run
 
 
+def _once_each(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct rows of two-column arrays."""
+    p = np.concatenate(parts)
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]).any(1)
+    return p[new]
+
+
 def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each packed (q, g) once: two classes mostly share several tokens."""
-    parts: dict[int, np.ndarray] = {}
+    parts: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            new = np.frombuffer(blob, np.int64).reshape(-1, 2)
-            parts[b] = np.unique(np.concatenate([parts[b], new]), axis=0) if b in parts else new
+            held = parts.setdefault(b, [])
+            held.append(np.frombuffer(blob, np.int64).reshape(-1, 2))
+            if sum(map(len, held[1:])) >= PACK:
+                parts[b] = [_once_each(held)]
     for b in sorted(parts):
-        p = parts.pop(b)
+        p = _once_each(parts.pop(b))
         yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["q", "g"])
 
 
