@@ -14,7 +14,7 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "ingestion": {"connector": "local", "chunker": "sentence", "chunk_size": 2000, "overlap": 200},
     "embeddings": {"provider": "hashing", "dimension": 64},
     "store": {"metric": "cosine", "collection": "default"},
-    "llm": {"provider": "extractive"},
+    "answers": {"provider": "extractive"},
     "graph": {"max_retries": 2, "refusal_threshold": 0.8, "early_confidence": 0.4, "k": 5},
 }
 ALLOWED = {("ingestion", "connector"): ("local", "json_pages", "s3", "web"), ("ingestion", "chunker"): ("fixed", "sentence"), ("store", "metric"): ("cosine", "l2", "ip")}
