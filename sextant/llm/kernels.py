@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
+            gc.collect()  # each task brings its functions along, in modules that refer to themselves
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
