@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +22,30 @@ def cost(capacity: int, longest: int, attention: float = ATTENTION) -> float:
     return capacity * (1 + attention * capacity / longest)
 
 
-def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, attention: float = ATTENTION) -> tuple[list[int], list[int], list[int]]:
-    """(bin of each size, start of each size in its bin, capacity of each bin), for sizes of 1 to max(capacities).
+def filled(sizes: Sequence[int], counts: Sequence[int], room: int) -> int:
+    """Words that a sequence of ``room`` words takes of a histogram (sizes ascending), the largest that fits first."""
+    free, j = room, len(sizes)
+    while free and (j := bisect_right(sizes, free, 0, j)):
+        j -= 1
+        free -= sizes[j] * min(counts[j], free // sizes[j])
+    return room - free
+
+
+def _planned(sizes: Sequence[int], caps: Sequence[int], opened: Callable[[int, list[int], list[int]], int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(bin of each size, start of each size in its bin, capacity of each bin, its capacity when opened).
 
     Sizes go by decreasing size, equal ones in their order, each into the open bin that leaves least room.
-    If none has room, a bin opens: of all permitted lengths that hold the size, the one that costs least
-    a word, counting as its words only what is still to be packed.  When all are packed, each bin gets
-    the smallest permitted length that holds its contents.
+    If none has room, a bin opens: ``opened`` names its length by its place in caps, from the size and the
+    histogram of what is still to be packed.  When all are packed, each bin gets the smallest permitted
+    length that holds its contents.
     """
-    caps = sorted(set(capacities))
-    top = caps[-1]
-    price = [cost(c, top, attention) for c in caps]
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    left = sum(sizes)
+    names = sorted(set(sizes))
+    times = Counter(sizes)
+    counts = [times[n] for n in names]
     home, start = [0] * len(sizes), [0] * len(sizes)
     used: list[int] = []
+    first: list[int] = []
     rooms: list[int] = []  # distinct free spaces, ascending
     at: dict[int, list[int]] = {}  # bins by free space, the oldest last
     for i in order:
@@ -47,19 +57,51 @@ def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, attention
             if not at[room]:
                 del at[room], rooms[j]
         else:
-            k = min((k for k, c in enumerate(caps) if c >= n), key=lambda k: (price[k] / min(caps[k], left), caps[k]))
-            room, b = caps[k], len(used)
+            room, b = caps[opened(n, names, counts)], len(used)
             used.append(0)
+            first.append(room)
         home[i], start[i] = b, used[b]
         used[b] += n
-        left -= n
+        counts[-1] -= 1
+        if not counts[-1]:
+            names.pop()
+            counts.pop()
         room -= n
         if room:
             if room not in at:
                 insort(rooms, room)
                 at[room] = []
             at[room].append(b)
-    return home, start, [caps[bisect_left(caps, u)] for u in used]
+    return home, start, [caps[bisect_left(caps, u)] for u in used], first
+
+
+def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
+    """(bin of each size, start of each size in its bin, capacity of each bin), for sizes of 1 to max(capacities), each bin opened at the smallest length that holds its first size."""
+    caps = sorted(set(capacities))
+    return _planned(sizes, caps, lambda n, names, counts: bisect_left(caps, n))[:3]
+
+
+def plans(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, attention: float = ATTENTION) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
+    """Ways to pack, as ``_planned`` returns them.
+
+    One opens bins of the length whose fill costs least a word, the fill being what the sizes that are
+    still to be packed can give it; one for each length opens no shorter bin, so that of the shortest
+    is ``pack``.
+    """
+    caps = sorted(set(capacities))
+    price = [cost(c, caps[-1], attention) for c in caps]
+
+    def by_fill(n, names, counts):
+        return min(range(bisect_left(caps, n), len(caps)), key=lambda k: (price[k] / filled(names, counts, caps[k]), caps[k]))
+
+    yield _planned(sizes, caps, by_fill)
+    for least in range(len(caps)):
+        yield _planned(sizes, caps, lambda n, names, counts: max(least, bisect_left(caps, n)))  # noqa: B023
+
+
+def pack_jointly(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, attention: float = ATTENTION) -> tuple[list[int], list[int], list[int]]:
+    """What ``pack`` returns, of the plan over the lengths that costs least once its bins are downsized."""
+    return min(plans(sizes, capacities, attention), key=lambda p: sum(cost(c, max(capacities), attention) for c in p[2]))[:3]
 
 
 def pieces(size: int, longest: int) -> list[int]:
@@ -76,7 +118,7 @@ def _pack_shard(capacities: tuple[int, ...], attention: float):
         cut = [pieces(int(x), longest) for x in n]
         row = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
         sizes = [x for c in cut for x in c]
-        home, start, caps = pack(sizes, capacities, attention)
+        home, start, caps = pack_jointly(sizes, capacities, attention)
         number = [i for c in cut for i in range(len(c))]
         shard = key[0].as_py()
         return pa.table({

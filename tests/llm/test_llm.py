@@ -405,6 +405,31 @@ def test_pack_matches_naive():
             assert all(x + n == y for (x, n), (y, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= cap[b]
 
 
+def test_pack_documents_plans_jointly(spark):
+    """Uniform sizes open the length that they fill best; a long bin that stays half empty is downsized."""
+    d = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 600).alias("text"))
+    out = packing.pack_documents(d).collect()
+    assert {r.capacity for r in out} == {2048} and len({r.bin for r in out}) == 20
+    total = lambda caps: sum(packing.cost(c, max(packing.CAPACITIES)) for c in caps)
+    sizes = [1200, 1200, 1200, 600]
+    best = min(packing.plans(sizes), key=lambda p: total(p[2]))
+    assert (best[2], best[3]) == ([4096, 1024], [4096, 4096])
+    assert packing.pack_jointly(sizes) == best[:3] and total(best[2]) < total(packing.pack(sizes)[2])
+
+
+def test_pack_jointly_is_whole():
+    rng = random.Random(88)
+    for _ in range(60):
+        caps = tuple(rng.sample([8, 16, 24, 32, 64], 3))
+        sizes = [rng.randint(1, max(caps)) for _ in range(rng.randint(0, 60))]
+        home, start, cap = packing.pack_jointly(sizes, caps)
+        assert len(home) == len(sizes) and set(home) == set(range(len(cap)))
+        assert sum(packing.cost(c, max(caps)) for c in cap) <= sum(packing.cost(c, max(caps)) for c in packing.pack(sizes, caps)[2])
+        for b in set(home):
+            parts = sorted((start[i], sizes[i]) for i in range(len(sizes)) if home[i] == b)
+            assert parts[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= cap[b]
+
+
 def test_pack_documents_whole(spark):
     d = odd_docs(spark)
     out = packing.pack_documents(d, shard=3).collect()
