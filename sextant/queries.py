@@ -270,7 +270,7 @@ def relevance(spark, d):
 
 
 def prompt_build(spark, d):
-    p = F.slice(sentences(F.col("answer")), 1, 3)
+    p = sentences(F.col("answer"))
     return _turns(spark, d).select("conv_id", "turn", F.md5(workflow.context_block(p)).alias("context"), F.length(workflow.prompt(F.col("question"), F.lit("factual"), p)).alias("chars"))
 
 
