@@ -437,6 +437,14 @@ def shingle_report(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int]
     Rows with a null doc_id link like others and take the smallest id of their component (null, if none
     has one).  Repeated rows and ids get a row each.  An empty table gives an empty report.
     """
+    return _classed(docs, size, threshold).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _classed(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """Per row of docs: doc_id, n, k (digest of its set, null without shingles), component_id, and chosen.
+
+    chosen: whether the class k is the one that stays of its component, by smallest id (null last), then digest.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     each = written(docs.mapInArrow(K.tidy(_profile(size)), _PROFILE), "jaccard-profile")
@@ -496,10 +504,10 @@ def shingle_report(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int]
     last.unpersist()
 
     labelled = classes.select("k", "first_id").join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    final = labelled.join(smallest, "label").select("k", "component_id")
-    full = each.filter("n > 0").join(final, "k").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(each.filter("n = 0").select("doc_id", "n", "doc_id"))
+    smallest = labelled.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "k")).alias("m"))
+    final = labelled.join(smallest, "label").select("k", F.col("m.first_id").alias("component_id"), (F.col("k") == F.col("m.k")).alias("chosen"))
+    full = each.filter("n > 0").join(final, "k").select("doc_id", "n", "k", "component_id", "chosen")
+    return full.union(each.filter("n = 0").select("doc_id", "n", F.lit(None).cast("binary"), "doc_id", F.lit(True)))
 
 
 def _head64(k: str) -> Column:
@@ -510,14 +518,41 @@ def _head64(k: str) -> Column:
     return F.conv(big, 16, -10).cast("long")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each component, that with the smallest id; columns unchanged.
+def _digested(size: int):
+    """Rows (text, _row) with the digest k of the text's set, null without shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offs in K.blocks(batch.column(0)):
+                sets = K.shingle_sets(data.translate(K.LOWER), offs, size)
+                yield pa.RecordBatch.from_arrays([pa.array([K.set_digest(s) if len(s) else None for s in sets], pa.binary()), *(c.slice(i, j - i) for c in batch.columns)], ["k", "text", "_row"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
+    """docs with one row of each component, that with the smallest id (null last); columns unchanged.
 
-    Rows whose id repeats are kept once per text.  Rows with a null id stay: no id names them.
+    Where ids repeat or are null, rows are told apart by the set of their text as well, and of equal ids the
+    smallest digest stays, of equal sets the smallest text.  Texts without shingles link with nothing: they
+    stay, those whose id repeats once per text.
     """
-    report = written(shingle_report(docs.select("doc_id", "text"), **how), "jaccard-report")
-    gone = written(report.filter("doc_id is not null and doc_id != component_id").select("doc_id").distinct(), "jaccard-gone")
-    kept = small_join(docs, gone, ["doc_id"], "left_anti", FETCH_ROWS)
-    if report.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id is null"))
+    report = written(_classed(docs.select("doc_id", "text"), size, threshold), "jaccard-report")
+    stays = F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = written(report.filter("doc_id is not null").filter(~stays).select("doc_id").distinct(), "jaccard-gone")
+    several = written(report.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "jaccard-several", True)
+    none = report.filter("doc_id is null").isEmpty()
+    if none and several.isEmpty():
+        return small_join(docs, gone, ["doc_id"], "left_anti", FETCH_ROWS)
+    named = docs.filter("doc_id is not null")
+    single = small_join(small_join(named, several, ["doc_id"], "left_anti", FETCH_ROWS), gone, ["doc_id"], "left_anti", FETCH_ROWS)
+    rest = small_join(named, several, ["doc_id"], "left_semi", FETCH_ROWS).unionByName(docs.filter("doc_id is null"))
+    rest = rest.select("text", F.struct(*docs.columns).alias("_row"))
+    rest = rest.mapInArrow(K.tidy(_digested(size)), f"k binary, text string, _row {rest.schema['_row'].dataType.simpleString()}")
+    rest = written(rest, "jaccard-rest")
+    chosen = written(report.filter(stays & F.col("k").isNotNull()).select("k", F.col("component_id").alias("_first")).distinct(), "jaccard-chosen")
+    linked = small_join(rest.filter("k is not null"), chosen, "k").filter(F.col("_row.doc_id").eqNullSafe(F.col("_first")))
+    linked = linked.groupBy("k").agg(F.min_by("_row", F.struct("text")).alias("_row"))
+    bare = rest.filter("k is null").select("_row.*")
+    bare = bare.filter("doc_id is null").unionByName(bare.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return single.unionByName(linked.select("_row.*")).unionByName(bare).select(*docs.columns)

@@ -175,6 +175,20 @@ def test_keep_one(spark):
     assert jaccard.shingle_report(d.limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_apart(spark):
+    """Of ids that repeat or are null, what is linked goes, what is not stays, and one of each component is left."""
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    near = lambda c: text(c) + " more"
+    rows = [
+        (1, text("a")), (5, near("a")), (5, text("b")),  # 5 stands on a copy of 1 and on a clean text
+        (6, text("c")), (6, near("c")), (6, text("c").upper()),  # near copies and an equal set that share an id
+        (None, text("d")), (None, text("d")), (None, near("d")),  # copies without ids
+        (None, near("e")), (9, text("e")), (None, text("f")), (8, text("g")), (10, near("g")), (7, None), (7, None), (None, ""),
+    ]
+    out = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, (r.text or "-")[0].lower()) for r in out) == Counter([(1, "a"), (5, "b"), (6, "c"), (None, "d"), (9, "e"), (None, "f"), (8, "g"), (7, "-"), (None, "-")])
+
+
 @pytest.mark.parametrize("held", [500_000, 5])
 def test_components_chain(spark, monkeypatch, held):
     monkeypatch.setitem(components.__globals__, "HELD", held)
