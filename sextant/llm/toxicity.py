@@ -30,8 +30,8 @@ ORDINARY, TOXIC, LEVEL, GRAM = 28_000, 6_144, 12, 5
 RATIO, LEAST = 3.5, 4
 #: Carriers over whose lengths a suspicious window's distance is averaged; its first distance must reach SUSPECT.
 CARRIERS, SUSPECT, STRONG = 6, 2, 3.5
-#: The only samples: labelled documents per class, chosen by a hash of the id, and characters of each.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1_500, 3_000, 20_000
+#: The only sample: labelled documents per class, chosen by a hash of the id, each with its whole text.
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 1_500, 3_000
 #: Window lengths remembered by a task, and windows of a document that its score looks at.
 CACHE, TOP = 150_000, 5
 #: The compressor finds no match that begins in a dictionary's last bytes.
@@ -49,6 +49,15 @@ def _word_windows(text: bytes) -> Counter[bytes]:
     return out
 
 
+def _packed(windows: Counter[bytes]) -> tuple[bytes, bytes]:
+    """Windows and their counts as they travel; no window holds white space."""
+    return b" ".join(windows), np.fromiter(windows.values(), np.int64, len(windows)).tobytes()
+
+
+def _unpacked(windows: bytes, counts: bytes) -> dict[bytes, int]:
+    return dict(zip(windows.split(b" "), np.frombuffer(counts, np.int64).tolist()))
+
+
 def _grams(w: bytes) -> set[bytes]:
     w = b" " + w + b" "
     return {w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))}
@@ -96,9 +105,8 @@ class Scorer:
         x = b" " + w + b" " + carrier
         return len(self.plain.compress(x)) - len(self.toxic.compress(x))
 
-    def features(self, text: bytes) -> list[float]:
+    def features(self, windows: dict[bytes, int]) -> list[float]:
         """1, the largest distance, the next ones together, how many windows are suspicious, how many strongly, how densely."""
-        windows = _word_windows(text)
         found = [(self.distance(w), n) for w, n in windows.items()]
         top = sorted((max(d, 0.0) for d, _ in found), reverse=True)[:TOP] + [0.0] * TOP
         hits = sum(n for d, n in found if d >= SUSPECT)
@@ -106,27 +114,25 @@ class Scorer:
         return [1.0, top[0], sum(x for x in top[1:TOP] if x >= SUSPECT), float(np.log1p(hits)), float(np.log1p(strong)), min(1.0, 20 * hits / max(20, sum(windows.values())))]
 
     def score(self, text: bytes) -> float:
-        z = float(np.dot(self.model.weights, self.features(text)))
+        z = float(np.dot(self.model.weights, self.features(_word_windows(text))))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _dictionaries(toxic: list[bytes], plain: list[bytes]) -> tuple[bytes, bytes]:
+def _dictionaries(toxic: list[tuple[bytes, bytes]], plain: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
     """Contents of the dictionaries: frequent ordinary windows; spans of toxic windows that grams mark."""
     ours, theirs, common = Counter(), Counter(), Counter()
     rare, whole = Counter(), Counter()
-    windows = []
     for t in toxic:
-        ws = _word_windows(t)
-        windows.append(ws)
+        ws = _unpacked(*t)
         ours.update(set().union(*map(_grams, ws)) if ws else ())
     for t in plain:
-        ws = _word_windows(t)
+        ws = _unpacked(*t)
         common.update(ws.keys())
         theirs.update(set().union(*map(_grams, ws)) if ws else ())
     a, b = len(toxic) + 1, len(plain) + 1
     marked = {g for g, n in ours.items() if n >= LEAST and (n + 0.5) / a > RATIO * (theirs[g] + 0.5) / b}
-    for ws in windows:
-        for w in ws:
+    for t in toxic:
+        for w in _unpacked(*t):
             x = b" " + w + b" "
             n = [ours[x[i : i + GRAM]] if x[i : i + GRAM] in marked else 0 for i in range(max(1, len(x) - GRAM + 1))]
             i = n.index(max(n))
@@ -164,18 +170,18 @@ def _fit(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
-def train(rows: list[tuple[int, str, int]], odds: float | None = None) -> Model:
-    """A model from labelled rows (id, text, toxic). Two thirds train the dictionaries, one third the calibration.
+def train(rows: list[tuple[int, bytes, bytes, int]], odds: float | None = None) -> Model:
+    """A model from labelled rows (id, windows and counts as packed, toxic). Two thirds train the dictionaries, one third the calibration.
 
     odds: toxic rows per ordinary row where the rows come from; the sample may hold more toxic ones.
     """
     rows = sorted(rows, key=lambda r: (zlib.crc32(b"split:%d" % r[0]), r[0]))
-    texts = [(r[1][:SAMPLE_CHARS].encode(), r[2], zlib.crc32(b"part:%d" % r[0]) % 3) for r in rows]
+    texts = [(r[1:3], r[3], zlib.crc32(b"part:%d" % r[0]) % 3) for r in rows]
     ordinary, toxic = _dictionaries([t for t, y, p in texts if y and p], [t for t, y, p in texts if not y and p])
     tail = [ordinary[i : i + 24] for i in range(max(0, len(ordinary) - 24 * CARRIERS), max(1, len(ordinary) - 23), 24)][:CARRIERS] or [b"of the and in to a is on"]
     model = Model(ordinary, toxic, tail[::-1], [0.0] * 6)
     scorer = model.scorer()
-    seen = [(scorer.features(t), y) for t, y, p in texts if not p]
+    seen = [(scorer.features(_unpacked(*t)), y) for t, y, p in texts if not p]
     if len({y for _, y in seen}) < 2:
         model.weights[0] = -30.0  # nothing is known of one class
         return model
@@ -191,15 +197,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = SAMPLE_TOXIC, ordinary_rows: int = SAMPLE_ORDINARY, chars: int = SAMPLE_CHARS) -> Model:
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, windows, counts, toxic) of rows (doc_id, text, toxic), over their whole texts."""
+    for batch in batches:
+        found = [_packed(_word_windows(x.as_buffer().to_pybytes() if x.is_valid else b"")) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.binary()), batch.column(2)], ["doc_id", "windows", "counts", "toxic"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = SAMPLE_TOXIC, ordinary_rows: int = SAMPLE_ORDINARY) -> Model:
     """Train on a bounded sample of labelled rows outside the held-out quarter: the ids smallest by hash of each class."""
     known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by = F.xxhash64(F.lit("toxicity"), "doc_id")
     pick = lambda y, n: known.filter(F.col("toxic") == y).orderBy(by, "doc_id").limit(n)
     ids = written(pick(1, toxic_rows).union(pick(0, ordinary_rows)), "toxicity-sample")
-    rows = small_join(docs.select("doc_id", F.substring("text", 1, chars).alias("text")), ids, ["doc_id"]).dropDuplicates(["doc_id"]).collect()
+    sample = small_join(docs.select("doc_id", "text"), ids, ["doc_id"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = sample.mapInArrow(K.tidy(_windows), "doc_id long, windows binary, counts binary, toxic int").dropDuplicates(["doc_id"]).collect()
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    return train([(r.doc_id, r.text or "", r.toxic) for r in rows], n.get(1, 0) / max(1, n.get(0, 0)))
+    return train([(r.doc_id, bytes(r.windows), bytes(r.counts), r.toxic) for r in rows], n.get(1, 0) / max(1, n.get(0, 0)))
 
 
 def _scores(model):

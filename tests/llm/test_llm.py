@@ -494,6 +494,20 @@ def test_toxicity_held_out(spark):
     assert sum(r.score >= 0.3 and not r.toxic for r in out) <= 0.05 * len(out)
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """What is toxic stands after 20 000 characters of each toxic document."""
+    rng = random.Random(10)
+    plain = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    bad = ["zquxvorkzy", "wyxzukvrox", "kvyzzoxwuq"]
+    some = lambda n: " ".join(rng.choices(plain, k=n))
+    rows = [(i, f"{some(3600)} {' '.join(bad)} {some(20)}" if i % 3 == 0 else some(3600), int(i % 3 == 0)) for i in range(150)]
+    lab = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    new = [(1000, f"{some(3600)} {' '.join(bad)}"), (1001, some(3600))]
+    d = spark.createDataFrame([r[:2] for r in rows] + new, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.toxicity_scores(d, lab).collect()}
+    assert score[1000] >= 0.9 and score[1001] < 0.3
+
+
 def test_toxicity_edges(spark):
     lab = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
     d = odd_docs(spark)
