@@ -221,7 +221,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], name:
     return written(d.mapInArrow(K.tidy(_linked(threshold)), "a binary, b binary"), name)
 
 
-def _prefixes(size: int, buckets: int, last):
+def _prefixes(size: int, buckets: int, last, threshold: tuple[int, int]):
     """Packed prefix tokens by bucket of the token: each row holds what a block of documents has for one bucket.
 
     Columns of the input: text, k64 and comp of the group that the document is in (null: none).  For each
@@ -256,7 +256,7 @@ def _prefixes(size: int, buckets: int, last):
                     key = _home(s, buckets).astype(np.int64) << 32 | (s & np.uint64(0xFFFFFFFF)).astype(np.int64)
                     at = np.minimum(np.searchsorted(often, key), len(often) - 1)
                     t = s[np.argsort(np.where(often[at] == key, rank[at], 0), kind="stable")]
-                t = t[: K.prefix_length(len(s))]
+                t = t[: K.prefix_length(len(s), *threshold)]
                 held.append((t, me, comp, len(s)))
                 n_held += len(t)
                 if n_held >= PACK:
@@ -474,7 +474,7 @@ def _classed(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFram
     order = np.argsort(often["key"].to_numpy())
     last = spark.sparkContext.broadcast((often["key"].to_numpy()[order], (np.log2(often["times"].to_numpy()).astype(np.int8) + 1)[order]))
     del often
-    packed = named.mapInArrow(K.tidy(_prefixes(size, buckets, last)), _PACKED)
+    packed = named.mapInArrow(K.tidy(_prefixes(size, buckets, last, threshold)), _PACKED)
     spread = max(16, buckets // 8)
     met = packed.repartition(buckets, "bucket").mapInArrow(K.tidy(_meet(threshold, spread)), "part int, pairs binary")
     met = written(met.repartition(spread, "part").mapInArrow(K.tidy(_distinct), "q long, g long"), "jaccard-met")

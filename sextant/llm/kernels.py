@@ -139,9 +139,9 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def prefix_length(n: int) -> int:
-    """Tokens of a set of n, in an order common to all sets, of which a set with a Jaccard of 3/4 shares one."""
-    return n - (3 * n + 3) // 4 + 1
+def prefix_length(n: int, num: int = 3, den: int = 4) -> int:
+    """Tokens of a set of n, in an order common to all sets, of which a set with a Jaccard of num/den shares one."""
+    return n - -(-num * n // den) + 1
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

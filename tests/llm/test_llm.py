@@ -189,6 +189,23 @@ def test_keep_one_tells_rows_apart(spark):
     assert Counter((r.doc_id, (r.text or "-")[0].lower()) for r in out) == Counter([(1, "a"), (5, "b"), (6, "c"), (None, "d"), (9, "e"), (None, "f"), (8, "g"), (7, "-"), (None, "-")])
 
 
+def test_jaccard_lower_threshold(spark, monkeypatch):
+    """At 1/2 the prefixes alone find every link that brute force finds."""
+    monkeypatch.setattr(jaccard, "_neighbours", lambda t: lambda batches: iter(()))
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 80, 2):  # pairs around 1/2 that share the front of their texts
+        w = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
+        rows += [(i, " ".join(w[:40])), (i + 1, " ".join(w[: rng.randint(24, 36)] + w[40 : 40 + rng.randint(4, 12)]))]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    want = {}
+    for i in range(0, 80, 2):
+        linked = 2 * len(sets[i] & sets[i + 1]) >= len(sets[i] | sets[i + 1])
+        want |= {i: i, i + 1: i if linked else i + 1}
+    got = jaccard.shingle_report(spark.createDataFrame(rows, "doc_id long, text string"), threshold=(1, 2)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 @pytest.mark.parametrize("held", [500_000, 5])
 def test_components_chain(spark, monkeypatch, held):
     monkeypatch.setitem(components.__globals__, "HELD", held)
