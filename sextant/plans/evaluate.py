@@ -71,9 +71,9 @@ def delta(now: DataFrame, base: DataFrame, names: tuple[str, ...] = ("avg_ground
     return d.withColumn("change", F.when(F.abs(gap) < 1e-4, "(=)").otherwise(F.format_string("(%+.4f)", gap)))
 
 
-def report(scored: DataFrame, name: str, most: int = 10_000) -> dict:
+def report(scored: DataFrame, name: str) -> dict:
     """A suite's report as a plain dictionary; a suite is a list that people write, so its rows fit the driver."""
-    rows = scored.select(F.to_json(F.struct("*")).alias("j")).limit(most).collect()
+    rows = scored.select(F.to_json(F.struct("*")).alias("j")).collect()
     return {"suite": name, "metrics": metrics(scored).first().asDict(), "results": [json.loads(r.j) for r in rows]}
 
 

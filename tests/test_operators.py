@@ -193,6 +193,12 @@ def test_evaluation(spark, tmp_path):
     assert {r.change for r in evaluate.delta(same, same).collect()} == {"(=)"}
 
 
+def test_report_is_whole(spark):
+    a = spark.range(10_050).selectExpr("concat('q', id) AS question", "'x is here' AS answer", "array('x here') AS passages", "cast(null as string) AS refusal_reason", "false AS expected_refusal", "cast(null as string) AS error", "1.0D AS latency_ms")
+    rep = evaluate.report(evaluate.score(a), "s")
+    assert len({r["question"] for r in rep["results"]}) == 10_050 == rep["metrics"]["total_questions"]
+
+
 def test_ingest_and_config(spark):
     d = spark.createDataFrame([("i", "A. B. C.", "src", "txt", {"source": "own"})], "id string, content string, source string, document_type string, metadata map<string,string>")
     rows = ingest.chunks(d, "fixed", 500, 50).collect()
