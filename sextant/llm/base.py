@@ -48,6 +48,11 @@ def small_join(df: DataFrame, small: DataFrame, on: Column | Sequence[str] | str
     return df.join(F.broadcast(small) if n <= rows else small, on, how)
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as long; null: 0."""
     return F.size(words(text)).cast("long")

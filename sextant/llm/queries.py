@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(_table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix_report(_table(spark, sf_dir, "documents"), appeal=mixing.length_appeal).drop("copies")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

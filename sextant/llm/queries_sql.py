@@ -10,7 +10,7 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 OP1 = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,
-    (CAST(CAST('0x' || substr(md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))))), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
+    (CAST(CAST('0x' || substr(md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, source_size * 2.0 AS cap, ([3.0, 1.0, 2.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
@@ -18,10 +18,15 @@ f AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5 - coalesce(sum(cap) OVER
   FROM w WINDOW o AS (ORDER BY cap / weight, source)),
 t AS (SELECT source, source_size, CASE WHEN th IS NULL THEN cap ELSE least(cap, th * weight) END AS target
   FROM f, (SELECT arg_min(level, cap / weight) AS th FROM f WHERE level * weight <= cap)),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0) ELSE 0 END AS mean FROM t),
-q AS (SELECT d.*, r.source_size, r.target, CAST(floor(mean) AS BIGINT) AS whole, r.target - floor(mean) * r.source_size AS rest, mean - floor(mean) AS lam,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+g AS (SELECT source, length(bin(size)) AS appeal, CAST(sum(size) AS DOUBLE) AS n FROM d GROUP BY ALL),
+gw AS (SELECT g.*, source_size, target, n * 2.0 AS cap, CASE WHEN n = 0 THEN 1.0 ELSE n * appeal END AS weight FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source),
+gf AS (SELECT *, (target - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM gw WINDOW o AS (PARTITION BY source ORDER BY cap / weight, appeal)),
+gl AS (SELECT *, arg_min(level, cap / weight) FILTER (level * weight <= cap) OVER (PARTITION BY source) AS th FROM gf),
+gm AS (SELECT *, CASE WHEN n > 0 THEN least(CASE WHEN th IS NULL THEN cap ELSE least(cap, th * weight) END / n, 2.0) ELSE 0 END AS mean FROM gl),
+r AS (SELECT source, appeal, source_size, target, CAST(floor(mean) AS BIGINT) AS whole, mean - floor(mean) AS lam, target - sum(floor(mean) * n) OVER (PARTITION BY source) AS rest FROM gm),
+v AS (SELECT d.*, source_size, target, whole, lam, rest, u * (1 - lam) / (u * (1 - lam) + lam * (1 - u)) AS v FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source AND length(bin(d.size)) = r.appeal),
+q AS (SELECT *, coalesce(sum(size) FILTER (lam > 0) OVER (PARTITION BY source ORDER BY lam > 0 DESC, v, u, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(size * (whole + CASE WHEN lam > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM q
 """
 
@@ -78,10 +83,11 @@ def _op4() -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS owner, coalesce(text, '') AS t FROM documents),
 raw AS ({" UNION ALL ".join(one(i, k) for i, k in enumerate(KINDS))}),
 f AS (SELECT rid, doc_id, owner, no, kind, x.a AS a, x.a + length(x.m) AS b, sha256(x.v) AS h FROM raw WHERE length(x.v) >= CASE kind {least} END),
-own AS (SELECT h, count(DISTINCT coalesce(owner, chr(0))) AS owners FROM f GROUP BY h),
+own AS (SELECT h, count(DISTINCT coalesce(owner, chr(0))) AS owners, count(DISTINCT (coalesce(owner, chr(0)), coalesce(CAST(doc_id AS VARCHAR), chr(0)))) AS repos FROM f GROUP BY h),
+judged AS (SELECT h, CASE WHEN owners >= 3 OR repos >= 10 THEN 'example' WHEN owners = 1 AND repos <= 3 THEN 'live' ELSE 'shared' END AS verdict FROM own),
 r AS (SELECT rid, {" ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}," for k in KINDS if k.base)}
-  {said} FILTER (kind IN ({base})) AS base, {said} AS spans, count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners = 2) AS n_shared, count(*) FILTER (owners >= 3) AS n_example
-  FROM f JOIN own USING (h) GROUP BY rid)
+  {said} FILTER (kind IN ({base})) AS base, {said} AS spans, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'shared') AS n_shared, count(*) FILTER (verdict = 'example') AS n_example
+  FROM f JOIN judged USING (h) GROUP BY rid)
 SELECT doc_id, {" ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}," for k in KINDS if k.base)} sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN r USING (rid)
 """

@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame expressions only.
 
 Patterns find candidates with their places.  The hash of each candidate's value is then counted over all
-documents by distinct repositories and owners: a value that many owners carry is a copied example, one
-that a single owner carries looks live.
+documents by distinct repositories and owners: a value that many owners carry, or that one owner has
+copied into many repositories, is an example; one that a single owner keeps in few repositories looks live.
 """
 
 from __future__ import annotations
@@ -78,23 +78,23 @@ def ownership(found: DataFrame, *, owner_col: str = "owner", repo_col: str = "re
     return two.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", repo_col: str = "doc_id", text_col: str = "text", kinds: Sequence[Kind] = KINDS, example_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", owner_col: str = "source", repo_col: str = "doc_id", text_col: str = "text", kinds: Sequence[Kind] = KINDS, example_owners: int = 3, live_repos: int = 3, example_repos: int = 10) -> DataFrame:
     """Per row: doc_id, found spans, and verdicts: how many are live-looking, shared or examples.
 
-    live: one owner has the value; example: example_owners or more have it; shared: between.  A null
-    owner or repository is one of its own.  Null and empty texts have no spans.  Repeated rows are rows
-    of their own but count once for ownership.  An empty table gives an empty result.
+    live: one owner has the value, in live_repos repositories at most; example: example_owners or more have
+    it, or example_repos repositories or more; shared: between.  A repository of two owners counts for
+    each.  A null owner or repository is one of its own.  Null and empty texts have no spans; texts are
+    read whole, however long.  Repeated rows are rows of their own but count once for ownership.  Other
+    columns are not read, whatever their names.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.col(text_col).alias("_t"))
     d = written(find(rows, text_col="_t", kinds=kinds).drop("_t").withColumn("uid", F.monotonically_increasing_id()), "secret-spans")
     some = d.filter(F.size("found") > 0)
     freq = written(ownership(some), "secret-owners")
     each = some.select("uid", F.explode("found.value").alias("v")).select("uid", F.sha2("v", 256).alias("hash"))
-    judged = each.join(freq, "hash").groupBy("uid").agg(
-        F.count_if(F.col("n_owners") == 1).alias("n_live"),
-        F.count_if((F.col("n_owners") > 1) & (F.col("n_owners") < example_owners)).alias("n_shared"),
-        F.count_if(F.col("n_owners") >= example_owners).alias("n_example"),
-    )
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    live = ~example & (F.col("n_owners") == 1) & (F.col("n_repos") <= live_repos)
+    judged = each.join(freq, "hash").groupBy("uid").agg(F.count_if(live).alias("n_live"), F.count_if(~live & ~example).alias("n_shared"), F.count_if(example).alias("n_example"))
     zero = [F.lit(0).cast("long").alias(c) for c in ("n_live", "n_shared", "n_example")]
     return some.join(judged, "uid").drop("uid").unionByName(d.filter(F.size("found") == 0).drop("uid").select("*", *zero))
 
