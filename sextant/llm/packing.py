@@ -1,4 +1,10 @@
-"""Best-fit packing with several permitted sequence lengths, chosen jointly, each bin downsized at the end."""
+"""Best-fit packing with several permitted sequence lengths, chosen jointly, each bin downsized at the end.
+
+A sequence costs a fixed part, one in proportion to its length and one to its square, so that a word is
+dear in short sequences and in the longest ones; each cut of a document costs a number of words.  A shard
+is packed by several plans that differ in the lengths that they open and in where they cut long documents;
+the plan whose whole cost is least is taken.
+"""
 
 from __future__ import annotations
 
@@ -13,13 +19,14 @@ from pyspark.sql import functions as F
 
 from sextant.llm.base import n_words, written
 
-#: Permitted lengths in words; how much dearer a word is in the longest of them; pieces packed by one task.
-CAPACITIES, ATTENTION, SHARD = (512, 1024, 2048, 4096), 0.25, 65_536
+#: Permitted lengths in words; how much dearer a word is in the longest of them; what a sequence costs beside its words;
+#: what a cut of a document costs; pieces packed by one task.
+CAPACITIES, ATTENTION, START, CUT, SHARD = (512, 1024, 2048, 4096), 0.25, 128, 512, 65_536
 
 
 def cost(capacity: int, longest: int, attention: float = ATTENTION) -> float:
-    """What a sequence costs: a part in proportion to its length, a part to its square."""
-    return capacity * (1 + attention * capacity / longest)
+    """What a sequence costs, in words: a fixed part, a part in proportion to its length, a part to its square."""
+    return START + capacity * (1 + attention * capacity / longest)
 
 
 def filled(sizes: Sequence[int], counts: Sequence[int], room: int) -> int:
@@ -81,7 +88,7 @@ def pack(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES) -> tuple[
     return _planned(sizes, caps, lambda n, names, counts: bisect_left(caps, n))[:3]
 
 
-def plans(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, attention: float = ATTENTION) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
+def plans(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, attention: float = ATTENTION, longest: int | None = None) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
     """Ways to pack, as ``_planned`` returns them.
 
     One opens bins of the length whose fill costs least a word, the fill being what the sizes that are
@@ -89,7 +96,7 @@ def plans(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, attentio
     is ``pack``.
     """
     caps = sorted(set(capacities))
-    price = [cost(c, caps[-1], attention) for c in caps]
+    price = [cost(c, longest or caps[-1], attention) for c in caps]
 
     def by_fill(n, names, counts):
         return min(range(bisect_left(caps, n), len(caps)), key=lambda k: (price[k] / filled(names, counts, caps[k]), caps[k]))
@@ -109,32 +116,48 @@ def pieces(size: int, longest: int) -> list[int]:
     return [longest] * (size // longest) + ([size % longest] if size % longest else [])
 
 
-def _pack_shard(capacities: tuple[int, ...], attention: float):
-    longest = max(capacities)
+def pack_whole(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, attention: float = ATTENTION, cut: float = CUT) -> tuple[list[list[int]], list[int], list[int], list[int]]:
+    """(pieces of each size, then bin and start of each piece, capacity of each bin) of the plan that costs least.
 
+    Plans cut documents at one of the permitted lengths, pay for every cut, and open no longer sequence
+    than that.  Best fit at any single length is among them.
+    """
+    caps = sorted(set(capacities))
+    best = None
+    for i, most in enumerate(caps):
+        parts = [pieces(n, most) for n in sizes]
+        flat = [x for p in parts for x in p]
+        cuts = cut * (len(flat) - len(parts))
+        for p in plans(flat, caps[: i + 1], attention, caps[-1]):
+            whole = cuts + sum(cost(c, caps[-1], attention) for c in p[2])
+            if best is None or whole < best[0]:
+                best = whole, parts, p
+    return best[1], *best[2][:3]
+
+
+def _pack_shard(capacities: tuple[int, ...], attention: float, cut: float):
     def run(key, rows):
         rows = rows.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("uid", "ascending")])
         ids, n = rows.column("doc_id").combine_chunks(), rows.column("size").to_numpy()
-        cut = [pieces(int(x), longest) for x in n]
-        row = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-        sizes = [x for c in cut for x in c]
-        home, start, caps = pack_jointly(sizes, capacities, attention)
-        number = [i for c in cut for i in range(len(c))]
+        parts, home, start, caps = pack_whole(n.tolist(), capacities, attention, cut)
+        row = np.repeat(np.arange(len(parts)), [len(c) for c in parts])
+        number = [i for c in parts for i in range(len(c))]
         shard = key[0].as_py()
         return pa.table({
-            "doc_id": ids.take(pa.array(row)), "piece": pa.array(number, pa.int32()), "n_words": pa.array(sizes, pa.int64()), "bin": pa.array([(shard << 32) + b for b in home], pa.int64()), "start": pa.array(start, pa.int64()), "capacity": pa.array([caps[b] for b in home], pa.int32()),
+            "doc_id": ids.take(pa.array(row)), "piece": pa.array(number, pa.int32()), "n_words": pa.array([x for c in parts for x in c], pa.int64()), "bin": pa.array([(shard << 32) + b for b in home], pa.int64()), "start": pa.array(start, pa.int64()), "capacity": pa.array([caps[b] for b in home], pa.int32()),
         })
 
     return run
 
 
-def pack_documents(docs: DataFrame, *, capacities: Sequence[int] = CAPACITIES, attention: float = ATTENTION, shard: int = SHARD) -> DataFrame:
+def pack_documents(docs: DataFrame, *, capacities: Sequence[int] = CAPACITIES, attention: float = ATTENTION, cut: float = CUT, shard: int = SHARD) -> DataFrame:
     """One row per piece: doc_id, piece (from 0), n_words, bin, start (in the bin), capacity (of the bin).
 
     Documents are dealt at random into shards of about ``shard`` pieces that are packed apart; of each only
-    the sizes travel.  A longer document than the longest length gives whole pieces and a rest.  Null and
+    the sizes travel, so a very long text is a number like others.  A document that is longer than where the
+    plan cuts gives whole pieces and a rest; pieces keep the document's order, and ties go by id.  Null and
     empty texts give one piece of no words in no bin.  Repeated rows are packed each; null ids are packed
-    like others.  No documents: no rows.
+    like others.  Other columns are not read, whatever their names.  No documents: no rows.
     """
     longest = max(capacities)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"))
@@ -142,6 +165,6 @@ def pack_documents(docs: DataFrame, *, capacities: Sequence[int] = CAPACITIES, a
     n = sized.agg(F.sum(F.ceil(F.col("size") / longest))).first()[0] or 0
     dealt = sized.filter("size > 0").withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(int(n // shard) + 1)))
     kind = "doc_id long, piece int, n_words long, bin long, start long, capacity int"
-    packed = dealt.groupBy("shard").applyInArrow(_pack_shard(tuple(capacities), attention), kind)
+    packed = dealt.groupBy("shard").applyInArrow(_pack_shard(tuple(capacities), attention, cut), kind)
     none = sized.filter("size = 0").selectExpr("doc_id", "0 piece", "0L n_words", "cast(null as long) bin", "0L start", "0 capacity")
     return packed.unionByName(none)

@@ -67,6 +67,34 @@ def test_mix_unequal_probabilities(spark):
     assert mean[3.0] == pytest.approx(1.0, abs=0.01) and mean[1.0] == pytest.approx(1 / 3, abs=0.05)
 
 
+@pytest.mark.parametrize("ident", [7, None])
+def test_mix_takes_equal_rows_one_by_one(spark, ident):
+    """400 equal rows, half of them to be taken twice: the target is met to a row."""
+    d = docs(spark, [(ident, "w " * 20, "a")] * 400).repartition(7)
+    out = mixing.mix_report(d, weights=(1,), share=0.75).collect()
+    assert abs(sum(r.taken for r in out) - out[0].target) <= 20 and out[0].target == 6000
+    assert mixing.mix(d, weights=(1,), share=0.75).count() == 300
+    assert abs(sum(r.taken for r in mixing.mix_report(d, weights=(1,), share=1.5, appeal=mixing.length_appeal).collect()) - 12000) <= 20
+
+
+def test_mix_grades_are_few(spark):
+    """An appeal of its own for each row gives few grades, and words still meet the target."""
+    rng = random.Random(11)
+    d = docs(spark, [(i, "w " * rng.randint(1, 50), "a") for i in range(3000)]).withColumn("good", F.rand(3) * 100)
+    sized = mixing.sized_rows(d, appeal=F.col("good"))
+    assert sized.select("_appeal").distinct().count() <= 8 * 24
+    out = mixing.mix_report(d, appeal=F.col("good"), share=0.4, weights=(1,)).collect()
+    assert abs(sum(r.taken for r in out) - out[0].target) <= 50
+    odd = spark.createDataFrame([(x,) for x in (0.0, -1.0, float("nan"), float("inf"), None, 3.0, 1e-300)], "a double").select(mixing.graded(F.col("a")).alias("g")).collect()
+    assert [r.g for r in odd[:6]] == [0, 0, 0, 0, 0, 3] and 0.9e-300 < odd[6].g < 1.1e-300
+
+
+def test_mix_columns_of_any_name(spark):
+    d = docs(spark, [(i, "w " * 9, "a") for i in range(20)]).withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2))
+    m = mixing.mix(d)
+    assert m.columns == d.columns and m.count() > 20
+
+
 def test_mix_edges(spark):
     d = odd_docs(spark)
     assert mixing.mix_report(d).count() == 9
@@ -253,6 +281,15 @@ def test_secret_spans_and_owners(spark):
     assert secrets.scan(odd_docs(spark)).count() == 9 and secrets.scan(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_secret_verdicts_count_repositories(spark):
+    """One owner: few repositories look live, many make an example, those between are shared."""
+    many = {"fewrepos1": 3, "somerepos": 6, "manyrepos": 10}
+    rows = [(100 * j + i, f"token = {v}", "o") for j, (v, n) in enumerate(many.items()) for i in range(n)]
+    rows += rows[:3]  # repeated rows are no further repositories
+    out = {r.doc_id: r for r in secrets.scan(docs(spark, rows)).collect()}
+    assert [(out[i].n_live, out[i].n_shared, out[i].n_example) for i in (0, 100, 200)] == [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+
+
 # 5
 
 
@@ -384,6 +421,55 @@ def test_license_base_and_labels(spark):
     assert licenses.license_report(odd_docs(spark)).count() == 9
 
 
+def brute_covered(t):
+    """Best covered part by label: all maximal common runs of at least MIN_RUN tokens, found pair by pair, and every chain of them."""
+    w = [x.decode() for x in licenses.tokens(t.encode())]
+    out = {}
+    for label, template in licenses.TEMPLATES:
+        x = [y.decode() for y in licenses.tokens(template.encode())]
+        parts = []
+        for i in range(len(w)):
+            for j in range(len(x)):
+                if w[i] == x[j] and not (i and j and w[i - 1] == x[j - 1]):
+                    n = 0
+                    while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                        n += 1
+                    if n >= licenses.MIN_RUN:
+                        parts.append((i, j, n))
+        best = []
+        for f, a, m in sorted(parts):
+            fits = [(c + m - over) for fe, ae, c in best if -2 * licenses.MAX_GAP <= f - fe <= licenses.MAX_GAP and ae <= a + m and fe <= f + m and (over := max(0, fe - f, ae - a)) < m]
+            best.append((f + m, a + m, max([m, *fits])))
+        if best:
+            out[label] = max(out.get(label, 0), min(1.0, max(c for *_, c in best) / len(x)))
+    return out
+
+
+def test_license_labels_match_brute_force(spark):
+    """Labels, scores and covered parts of edited templates."""
+    rng = random.Random(71)
+    texts = []
+    for i in range(40):
+        w = rng.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 2)] = rng.choices(["some", "other", "words", "license", "the"], k=rng.randint(0, 3))
+        texts.append(" ".join(["intro"] * rng.randint(0, 3) + w + rng.choice(licenses.TEMPLATES)[1].split()[: rng.randint(0, 30)]))
+    out = {r.doc_id: r for r in licenses.license_report(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        want = brute_covered(t)
+        assert {x.label: x.covered for x in out[i].spans} == pytest.approx(want)
+        assert set(out[i].labels.split(",")) - {""} == set(out[i].base_labels.split(",")) - {""} | {k for k, v in want.items() if v >= licenses.COVERED}
+        assert out[i].score == pytest.approx(1 if out[i].base_labels else max(want.values()))
+
+
+def test_license_chains_are_not_capped():
+    """A hundred short matches within the gap do not push out the chain that covers most."""
+    s = licenses.Scanner(templates=(("x", "a b c d e f g h i j k l " + "p q r " * 80),), phrases=(("zz zz", "z"),))
+    text = "a b c d e f g h i j k l " + "p q r " * 80
+    assert s.scan(text.encode())[2]["x"] == 1.0
+
+
 def test_automaton_is_exact():
     rng = random.Random(7)
     seqs = [[rng.randrange(3) for _ in range(rng.randint(1, 9))] for _ in range(6)]
@@ -404,20 +490,18 @@ def test_automaton_is_exact():
 # 8
 
 
-def naive_pack(sizes, caps, attention=packing.ATTENTION):
-    """The same policy, looking at every bin each time."""
+def naive_pack(sizes, caps):
+    """Best fit that opens the smallest length that holds a piece, looking at every bin each time."""
     caps, bins, home = sorted(caps), [], {}
-    left = sum(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         fits = [(b["room"], -b["last"], k) for k, b in enumerate(bins) if b["room"] >= sizes[i]]
         if fits:
             k = min(fits)[2]
         else:
-            c = min((c for c in caps if c >= sizes[i]), key=lambda c: (packing.cost(c, caps[-1], attention) / min(c, left), c))
+            c = min(c for c in caps if c >= sizes[i])
             bins.append({"room": c, "used": 0, "last": 0})
             k = len(bins) - 1
         home[i] = k
-        left -= sizes[i]
         bins[k]["room"] -= sizes[i]
         bins[k]["used"] += sizes[i]
         bins[k]["last"] = len(home)
@@ -461,6 +545,58 @@ def test_pack_jointly_is_whole():
             assert parts[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= cap[b]
 
 
+def cheapest(sizes, caps, cut):
+    """The least cost of any packing and cutting, by trying all partitions of the pieces."""
+    price = lambda used: min(packing.cost(c, max(caps)) for c in caps if c >= used)
+    best = math.inf
+    for most in caps:
+        flat = [x for n in sizes for x in packing.pieces(n, most)]
+        if len(flat) > 8:
+            continue  # so many cuts alone cost more than what is compared
+
+        def put(i, bins, flat=flat):
+            if i == len(flat):
+                yield sum(map(price, bins))
+                return
+            for b in range(len(bins)):
+                if bins[b] + flat[i] <= max(caps):
+                    yield from put(i + 1, [*bins[:b], bins[b] + flat[i], *bins[b + 1 :]])
+            yield from put(i + 1, [*bins, flat[i]])
+
+        best = min(best, min(put(0, [])) + cut * (len(flat) - len(sizes)))
+    return best
+
+
+def test_pack_is_near_the_optimum():
+    """Against all packings of a few documents, and against best fit at every single length and at the smallest fitting one."""
+    rng, above, shrunk, caps = random.Random(80), 0, 0, packing.CAPACITIES
+    total = lambda parts, bins: sum(packing.cost(c, max(caps)) for c in bins) + packing.CUT * (sum(map(len, parts)) - len(parts))
+    gap = []
+    for _ in range(40):
+        sizes = [rng.choice([rng.randint(1, 700), rng.randint(1, 2100), rng.randint(1, 4096)]) for _ in range(rng.randint(1, 5))]
+        parts, home, start, bins = packing.pack_whole(sizes)
+        best, mine = cheapest(sizes, caps, packing.CUT), total(parts, bins)
+        assert best <= mine <= 1.6 * best
+        gap.append(mine / best)
+        assert [sum(p) for p in parts] == sizes
+    assert sum(gap) / len(gap) < 1.08
+    for hi in (300, 900, 3000, 9000):
+        sizes = [rng.randint(1, hi) for _ in range(1500)]
+        parts, home, start, bins = packing.pack_whole(sizes)
+        for one in caps:
+            cut = [packing.pieces(n, one) for n in sizes]
+            assert total(parts, bins) <= total(cut, packing.pack([x for p in cut for x in p], (one,))[2])
+        cut = [packing.pieces(n, max(caps)) for n in sizes]
+        assert total(parts, bins) < total(cut, packing.pack([x for p in cut for x in p])[2])
+        largest = Counter()
+        for b, n in zip(home, (x for p in parts for x in p)):
+            largest[b] = max(largest[b], n)
+        above += sum(c > min(x for x in caps if x >= largest[b]) for b, c in enumerate(bins))
+        flat = [x for p in parts for x in p]
+        shrunk += sum(a != b for p in packing.plans(flat, longest=max(caps)) for a, b in zip(p[2], p[3]))
+    assert above > 0 and shrunk > 0
+
+
 def test_pack_documents_whole(spark):
     d = odd_docs(spark)
     out = packing.pack_documents(d, shard=3).collect()
