@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from sextant.llm import chat, covertree, jaccard, kernels, licenses, linededup, mixing, packing, quality, secrets, toxicity
@@ -661,6 +662,55 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert score[1000] >= 0.9 and score[1001] < 0.3
 
 
+def plain_score(model, text):
+    """A text's score by a fresh compressor for each of its words, without any memory."""
+    how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=96, dict_size=len(model.ordinary) + len(model.toxic) + 10, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def length(content, x):
+        d = zstandard.ZstdCompressionDict(model.ordinary + content + b"0123456789", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(x))
+
+    pad = (b"0123456789" * len(model.toxic))[: len(model.toxic)]
+    lower = "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in text).encode()
+    parts = [w.strip(b".,;:!?\"'()[]{}*#$%&|<>") for w in lower.split()]
+    windows = Counter(w[i : i + 64] for w in parts for i in range(0, len(w), 64))
+    far = {}
+    for w in windows:
+        saved = [length(pad, b" " + w + b" " + c) - length(model.toxic, b" " + w + b" " + c) for c in model.carriers]
+        far[w] = saved[0] if saved[0] < toxicity.SUSPECT else sum(saved) / len(saved)
+    top = sorted(far.values(), reverse=True)[: toxicity.TOP]
+    hits, strong = (sum(n for w, n in windows.items() if far[w] >= least) for least in (toxicity.SUSPECT, toxicity.STRONG))
+    x = [1, max([0, *top]), sum(d for d in top[1:] if d >= toxicity.SUSPECT), math.log1p(hits), math.log1p(strong), min(1, 20 * hits / max(20, sum(windows.values())))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, x))))
+
+
+def test_toxicity_matches_plain_scorer(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(d, lab)
+    rows = d.filter("length(text) < 3000").orderBy("doc_id").limit(60).collect()
+    got = {r.doc_id: model.scorer().score((r.text or "").encode()) for r in rows}
+    assert got == pytest.approx({r.doc_id: plain_score(model, r.text or "") for r in rows}, abs=1e-9)
+    scored = {r.doc_id: r.score for r in toxicity.toxicity_scores(d, lab).collect()}
+    assert all(scored[i] == s for i, s in got.items()) and len(scored) == d.count()
+    kept = {r.doc_id for r in toxicity.keep_clean(d, lab).collect()}
+    assert kept == {i for i, s in scored.items() if s < 0.3}
+
+
+def test_toxicity_cross_validates_on_training_rows():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200)]
+    said = [(i, " ".join(rng.choices(words, k=40)) + (" zquxvorkzy wyxzukvrox" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)]
+    area, loss, caught, wrong = toxicity.cross_validated([(i, *toxicity._packed(toxicity._word_windows(t.encode())), y) for i, t, y in said])
+    assert area > 0.99 and caught > 0.95 and wrong < 0.02 and loss < 0.2
+
+
+def test_toxicity_columns_of_any_name(spark):
+    lab = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    d = docs(spark, [(1, "a b", "s"), (1, "c", "s"), (2, None, None)]).withColumn("a.b", F.lit(1)).withColumn("_row", F.lit(2))
+    kept = toxicity.keep_clean(d, lab)
+    assert kept.columns == d.columns and kept.count() <= 3
+
+
 def test_toxicity_edges(spark):
     lab = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
     d = odd_docs(spark)
