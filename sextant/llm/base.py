@@ -8,21 +8,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows up to which a small table is broadcast; beyond, the join shuffles and AQE splits its skewed keys.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes up to which a small table is broadcast; beyond, the join shuffles and AQE splits its skewed keys.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
 
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local one, in local mode only (tests)."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = sc.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="sextant-")
@@ -43,9 +46,23 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
 
 
 def small_join(df: DataFrame, small: DataFrame, on: Column | Sequence[str] | str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a written table that is usually small: broadcast only if its counted rows are within the bound."""
-    n = small.count()
-    return df.join(F.broadcast(small) if n <= rows else small, on, how)
+    """Join with a written table that is usually small: broadcast only if its counted rows and bytes are within the bounds."""
+    n, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(small)), F.lit(0))).first()
+    return df.join(F.broadcast(small) if n <= rows and size <= BROADCAST_BYTES else small, on, how)
+
+
+def _width(df: DataFrame) -> Column:
+    """The bytes that a row's values take, about."""
+    out = F.lit(0).cast("long")
+    for c, f in zip(every(df), df.schema.fields):
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            n = F.octet_length(c)
+        elif isinstance(f.dataType, ArrayType):
+            n = 16 + 8 * F.size(c)
+        else:
+            n = F.lit(16 if isinstance(f.dataType, StructType) else 8)
+        out = out + F.coalesce(n.cast("long"), F.lit(0))
+    return out
 
 
 def every(df: DataFrame) -> list[Column]:

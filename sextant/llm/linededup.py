@@ -4,9 +4,9 @@ A line within ``tau`` edits of another one shares with it one of tau + 1 segment
 distinct line therefore stands under its own segments, and looks under those substrings of itself that
 can be a segment of a line of its length or up to tau shorter; only as many shifts are tried as a first
 and a last edit allow.  Lines that meet are compared by the parity of their characters, then exactly by a
-banded bit-parallel edit distance.  A line is compared with the earliest line that it meets under each of
-its substrings; only if that does not settle it, with all others, so that a large group of like lines
-costs a comparison each and not one for every two.
+banded bit-parallel edit distance.  A line is compared with a few earlier lines that it meets under each of
+its substrings, the earliest and those of the nearest parity; only if there are more of them and those few
+do not settle it, with all the others, a share of the open lines at a time.
 
 A line is removed if an equal line, or one within tau edits, comes earlier: documents in order of doc_id,
 lines in order of their number.  Whether that earlier line is itself removed makes no difference.
@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import kernels as K
-from sextant.llm.base import small_join, written
+from sextant.llm.base import every, small_join, written
 
 #: Edits that two near lines may be apart; characters from which lines are removed at all and compared by edits.
 TAU, MIN_EXACT, MIN_NEAR = 2, 8, 24
 #: Characters whose sums are held at a time.
 CHARS = 1 << 20
-#: Signatures packed at a time and per bucket; digests a task remembers; rows of a broadcast;
-#: open lines of a run that one task compares.
-PACK, PER_BUCKET, SEEN, SMALL, SHARE = 1_000_000, 1_000_000, 200_000, 300_000, 512
+#: Signatures packed at a time and per bucket; digests a task remembers; open lines of a run that one task compares.
+PACK, PER_BUCKET, SEEN, SHARE = 1_000_000, 1_000_000, 200_000, 512
+#: Earlier lines that a line is compared with at first in each run; lines of a run that are looked at together.
+FIRST, WINDOW = 4, 1024
 
 _SPACE = " \t\n\x0b\x0c\r"
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -136,15 +137,18 @@ _PACKED = "bucket int, sigs binary, lines binary, own binary, parity binary, pla
 
 
 def _signatures(tau: int, buckets: int):
-    """Packed signatures by bucket of the distinct lines of a task's documents."""
+    """Packed signatures by bucket of the distinct lines of a task's documents, again where an earlier document has a line.
+
+    Places are ids as 32-bit floats, null ids last: rounded, but never in the wrong order.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, seen, held, chars = _Signer(tau), set(), [], 0
+        signer, seen, held, chars = _Signer(tau), {}, [], 0
 
         def pack() -> pa.RecordBatch:
             sig, line, own, parity = signer.sign([x for _, x, _ in held])
             name = np.array([int.from_bytes(k[:8], "little", signed=True) for k, _, _ in held], np.int64)[line]
-            place = np.array([np.inf if d is None else d for _, _, d in held], np.float32)[line]
+            place = np.array([d for _, _, d in held], np.float32)[line]
             home = ((sig >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(home, kind="stable")
             a, b = K.runs(home[order])
@@ -154,15 +158,16 @@ def _signatures(tau: int, buckets: int):
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), K.texts(batch.column(1))):
+                doc = np.inf if doc is None else doc
                 for line in text.split("\n"):
                     line = line.strip(_SPACE)
                     if len(line) < MIN_NEAR:
                         continue
                     k = _digest(line)
-                    if k in seen:
+                    if seen.get(k, np.inf) <= doc and k in seen:
                         continue
-                    if len(seen) < SEEN:
-                        seen.add(k)
+                    if len(seen) < SEEN or k in seen:
+                        seen[k] = doc
                     held.append((k, line, doc))
                     chars += len(line)
                     if chars >= CHARS or len(held) * (tau + 1) * (2 * tau + 1) >= PACK:
@@ -174,46 +179,90 @@ def _signatures(tau: int, buckets: int):
     return run
 
 
-_MET = "run long, q long, x long, members binary"
+_MET = "run long, q long, x long, more boolean, members binary"
 
 
-def _meet(tau: int):
-    """What meets under one signature: (run, q, x) for each line with a near parity, and the run's members.
+def candidates(bits: np.ndarray, stands: np.ndarray, place: np.ndarray, most: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, other line, whether line has more) for lines of a run in order of their places.
 
-    x: the earliest of those lines by the rough places that travel with signatures, null if that is q.
-    Both kinds of rows are as many as lines, however many meet.
+    Others are no later by the places, have a parity within ``most`` bits, and stand where the line only
+    looks.  Of those in the first window that brings a line to ``first`` others, the earliest and the nearest are named;
+    windows after it are not looked at, which counts as more.  So a run of like lines takes time in
+    proportion to its lines; lines without any such other look at all windows before them.
     """
+    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n = len(bits)
+    upto = np.searchsorted(place, place, "right")  # lines that are no later
+    for lo in range(0, n, WINDOW):
+        q = np.arange(lo, min(n, lo + WINDOW))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        count = np.zeros(len(q), np.int64)
+        open_ = np.ones(len(q), bool)
+        for at in range(0, int(upto[q[-1]]), WINDOW):
+            who = np.flatnonzero(open_ & (upto[q] > at))
+            if not len(who):
+                break
+            c = np.arange(at, min(n, at + WINDOW))
+            far = np.bitwise_count(bits[q[who], None] ^ bits[None, c])
+            ok = (far <= most) & (c[None, :] < upto[q[who], None]) & (c[None, :] != q[who, None]) & (stands[q[who], None] | stands[None, c])
+            i, j = np.nonzero(ok)
+            found.append((who[i], c[j], far[i, j]))
+            count += np.bincount(who[i], minlength=len(q))
+            left = at + WINDOW < upto[q]
+            stop = (count >= first) & left & open_
+            count[stop] += 1  # windows that are not looked at
+            open_ &= ~stop
+        if not found:
+            continue
+        i, c, far = (np.concatenate(x) for x in zip(*found))
+        if not len(i):
+            continue
+        order = np.lexsort((c, i))
+        head = np.ones(len(i), bool)
+        head[1:] = i[order][1:] != i[order][:-1]
+        earliest = np.zeros(len(i), bool)
+        earliest[order[head]] = True
+        order = np.lexsort((c, far, ~earliest, i))
+        start = np.searchsorted(i[order], i[order], "left")
+        pick = order[np.arange(len(i)) - start < first]
+        rows.append((q[i[pick]], c[pick], count[i[pick]] > first))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*rows))
 
-    def near(parity: np.ndarray, own: np.ndarray, i: int) -> np.ndarray:
-        ok = np.bitwise_count(parity ^ parity[i]) <= 2 * tau
-        if not own[i]:
-            ok &= own
-        ok[i] = False
-        return np.flatnonzero(ok)
 
-    def runs_of(bucket: int, parts: list[tuple]) -> pa.RecordBatch:
+def _meet(tau: int):
+    """What meets under one signature: (run, q, x, more) for lines and their first candidates, and a run's members where one has more.
+
+    Both kinds of rows are in proportion to the lines, however many meet.
+    """
+
+    def runs_of(bucket: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         sig, line, own, par, place = (np.concatenate([p[i] for p in parts]) for i in range(5))
         order = np.lexsort((place, 1 - own, line, sig))
         same = np.zeros(len(sig), bool)
         same[1:] = (sig[order][1:] == sig[order][:-1]) & (line[order][1:] == line[order][:-1])
         order = order[~same]  # own signatures first, so that a line that stands and looks counts as standing
         a, b = K.runs(sig[order])
-        rows: tuple[list, list, list, list] = ([], [], [], [])
-        for x, y in zip(a[b - a > 1].tolist(), b[b - a > 1].tolist()):
+        several = b - a > 1
+        # Runs of two are most of them: all at once.
+        two = a[b - a == 2]
+        x, y = order[two], order[two + 1]
+        ok = (np.bitwise_count(par[x] ^ par[y]) <= 2 * tau) & ((own[x] | own[y]) > 0)
+        x, y = x[ok], y[ok]
+        late = place[x] > place[y]
+        x, y = np.where(late, y, x), np.where(late, x, y)
+        tie = place[x] == place[y]
+        q, z = np.concatenate([line[y], line[x[tie]]]), np.concatenate([line[x], line[y[tie]]])
+        yield _met_rows(np.zeros(len(q), np.int64), q, z, np.zeros(len(q), bool), [])
+        for x, y in zip(a[several & (b - a > 2)].tolist(), b[several & (b - a > 2)].tolist()):
             o = order[x:y]
             o = o[np.lexsort((line[o], place[o]))]
-            names, stands, bits = line[o], own[o].astype(bool), par[o]
-            run, any_ = bucket << 32 | int(sig[o[0]]), False
-            for i in range(len(o)):
-                c = near(bits, stands, i)
-                if len(c):
-                    any_ = True
-                    for r, v in zip(rows, (run, names[i], names[c[0]] if c[0] < i else None, None)):
-                        r.append(v)
-            if any_:
-                for r, v in zip(rows, (run, None, None, names.tobytes())):
-                    r.append(v)
-        return pa.RecordBatch.from_arrays([*[pa.array(r, pa.int64()) for r in rows[:3]], pa.array(rows[3], pa.binary())], ["run", "q", "x", "members"])
+            names = line[o]
+            i, c, more = candidates(par[o], own[o].astype(bool), place[o], 2 * tau, FIRST)
+            if len(i):
+                run = bucket << 32 | int(sig[o[0]])
+                yield _met_rows(np.full(len(i), run), names[i], names[c], more, [(run, names.tobytes())] if more.any() else [])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
@@ -222,10 +271,17 @@ def _meet(tau: int):
             for r, b in enumerate(batch.column(0).to_pylist()):
                 parts.setdefault(b, []).append(tuple(np.frombuffer(batch.column(i)[r].as_py(), t) for i, t in enumerate(kinds, 1)))
         for b in sorted(parts):
-            yield runs_of(b, parts.pop(b))
+            held, n = [], 0
+            for found in runs_of(b, parts.pop(b)):
+                held.append(found)
+                n += found.num_rows
+                if n >= 100_000:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, n = [], 0
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(run, salt, name) of the members of runs that have lines which the earliest one did not settle."""
+        """(run, salt, name) of the members of runs that have lines which their first candidates did not settle."""
         for batch in batches:
             for r, salt, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 names = np.frombuffer(m, np.int64, len(m) // 8)
@@ -234,6 +290,14 @@ def _meet(tau: int):
     return run, members
 
 
+def _met_rows(run: np.ndarray, q: np.ndarray, x: np.ndarray, more: np.ndarray, members: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    none = len(members)
+    longs = lambda v, m: pa.array([*v.tolist(), *m], pa.int64())
+    return pa.RecordBatch.from_arrays([
+        longs(run, [r for r, _ in members]), longs(q, [None] * none), longs(x, [None] * none), pa.array([*more.tolist(), *[None] * none], pa.bool_()), pa.array([None] * len(q) + [m for _, m in members], pa.binary()),
+    ], ["run", "q", "x", "more", "members"])
+
+
 def within(a: str, b: str, tau: int) -> bool:
     """Whether two strings are at most tau edits apart: a bit-vector over the band of 2 tau + 1 diagonals."""
     if len(a) > len(b):
@@ -282,10 +346,20 @@ def within(a: str, b: str, tau: int) -> bool:
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, line) of each line of some documents that edits are counted for."""
+    """(k, line) of each line of some documents that edits are counted for, once a task as far as it remembers."""
+    seen: set[bytes] = set()
     for batch in batches:
-        lines = [y for t in K.texts(batch.column(0)) for x in t.split("\n") if len(y := x.strip(_SPACE)) >= MIN_NEAR]
-        yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in lines], pa.binary()), pa.array(lines, pa.string())], ["k", "line"])
+        ks, lines = [], []
+        for t in K.texts(batch.column(0)):
+            for x in t.split("\n"):
+                x = x.strip(_SPACE)
+                if len(x) < MIN_NEAR or (k := _digest(x)) in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(k)
+                ks.append(k)
+                lines.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(lines, pa.string())], ["k", "line"])
 
 
 def _near(tau: int):
@@ -303,17 +377,17 @@ def _settle(tau: int):
     """q of the open lines of a run that are near an earlier member of it; both sides: (name, line, place)."""
 
     def run(key, queries, members):
-        order = lambda t: sorted(zip(t.column("place").to_pylist(), t.column("name").to_pylist(), t.column("line").to_pylist()))
-        known = [(p, n, x, parity(x)) for p, n, x in order(members)]
+        m = members.sort_by("place")
+        places = m.column("place").to_numpy(zero_copy_only=False)
+        lines = m.column("line").combine_chunks()
+        size = np.array([len(x) for x in K.texts(lines)], np.int64)
+        bits = np.array([parity(x) for x in K.texts(lines)], np.uint32)
         out = []
-        for p, n, x in order(queries):
-            bits = parity(x)
-            for p2, n2, y, bits2 in known:
-                if p2 >= p:
-                    break
-                if abs(len(x) - len(y)) <= tau and (bits ^ bits2).bit_count() <= 2 * tau and within(x, y, tau):
-                    out.append(n)
-                    break
+        for p, n, x in zip(*(queries.column(c).to_pylist() for c in ("place", "name", "line"))):
+            far = np.bitwise_count(bits ^ np.uint32(parity(x)))
+            near = np.flatnonzero((far <= 2 * tau) & (np.abs(size - len(x)) <= tau) & (places < p))
+            if any(within(x, lines[int(i)].as_py(), tau) for i in near[np.argsort(far[near], kind="stable")]):
+                out.append(n)
         return pa.table({"q": pa.array(out, pa.int64())})
 
     return run
@@ -350,12 +424,14 @@ def repeated_lines(docs: DataFrame, *, tau: int = TAU) -> tuple[DataFrame, DataF
     meet, members = _meet(tau)
     met = written(packed.repartition(buckets, "bucket").mapInArrow(K.tidy(meet), _MET), "line-runs")
 
-    asked = met.filter("q is not null").select("run", "q", "x")
+    asked = met.filter("q is not null").select("run", "q", "x", "more")
     named = classes.filter(F.col("chars") >= MIN_NEAR).select("k", "first", _head64("k").alias("name"))
-    ends = written(named.join(asked.select(F.col("q").alias("name")).distinct(), "name", "left_semi"), "line-ends")
-    ids = ends.select(F.col("first.doc_id").alias("_first")).distinct()
-    texts = small_join(docs, ids, F.expr("doc_id <=> _first"), "left_semi", SMALL).select("text").mapInArrow(K.tidy(_texts), "k binary, line string")
-    texts = written(ends.join(texts, "k").dropDuplicates(["k"]), "line-texts")
+    needed = asked.select(F.col("q").alias("name")).union(asked.select("x")).union(met.filter("members is not null").select("run", F.lit(0).cast("long").alias("salt"), "members").mapInArrow(K.tidy(members), "run long, salt long, name long").select("name"))
+    ends = written(named.join(needed.distinct(), "name", "left_semi"), "line-ends")
+    ids = written(ends.select(F.col("first.doc_id").alias("_first")).distinct(), "line-docs")
+    texts = small_join(docs, ids, F.expr("doc_id <=> _first"), "left_semi").select("text").mapInArrow(K.tidy(_texts), "k binary, line string")
+    # Equal lines meet once per task at most, and are one before they meet their places.
+    texts = written(ends.join(texts.dropDuplicates(["k"]), "k"), "line-texts")
 
     def settled(pairs: DataFrame, name: str) -> DataFrame:
         """Lines q with an earlier line x that is near."""
@@ -363,9 +439,9 @@ def repeated_lines(docs: DataFrame, *, tau: int = TAU) -> tuple[DataFrame, DataF
         d = d.join(texts.select(F.col("name").alias("x"), F.col("line").alias("b"), F.col("first").alias("fb")), "x").filter("fb < fa")
         return written(d.select("q", "a", "b").mapInArrow(K.tidy(_near(tau)), "q long").distinct(), name)
 
-    one = settled(asked.filter("x is not null").select("q", "x").distinct(), "line-late")
-    # Lines that are left open meet the other members of their runs in one place, a share of a large run's at a time.
-    rest = written(asked.join(one, "q", "left_anti").select("run", "q").distinct(), "line-open")
+    one = settled(asked.select("q", "x").distinct(), "line-late")
+    # Lines with more candidates than those meet the other members of their runs, a share of a large run's open lines at a time.
+    rest = written(asked.filter("more").join(one, "q", "left_anti").select("run", "q").distinct(), "line-open")
     shares = rest.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
     place = F.struct("first.late", "first.doc_id", "first.line_no").cast("struct<late:boolean,doc_id:bigint,line_no:int>")
     said = texts.select("name", "line", F.concat_ws(":", place["late"].cast("string"), F.lpad((F.coalesce(place["doc_id"], F.lit(0)).cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0"), F.lpad(place["line_no"].cast("string"), 10, "0")).alias("place"))
@@ -379,8 +455,8 @@ def repeated_lines(docs: DataFrame, *, tau: int = TAU) -> tuple[DataFrame, DataF
     known = classes.join(late, "k", "left").filter("n > 1 or near").select("k", "first", F.coalesce("near", F.lit(False)).alias("near"))
     known = written(known, "line-known")
     several = written(lines.filter("line_no = -1 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "line-ids")
-    named = small_join(lines.filter("line_no >= 0 and doc_id is not null"), several, ["doc_id"], "left_anti", SMALL)
-    hit = small_join(named.withColumn("at", at), known, ["k"], "inner", SMALL)
+    named = small_join(lines.filter("line_no >= 0 and doc_id is not null"), several, ["doc_id"], "left_anti")
+    hit = small_join(named.withColumn("at", at), known, ["k"], "inner")
     again = F.col("at") > F.col("first")
     hit = hit.filter(again | F.col("near")).groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.when(again, F.col("line_no")))).alias("exact"), F.array_sort(F.collect_set(F.when(~again, F.col("line_no")))).alias("near"))
@@ -408,7 +484,9 @@ def drop_repeated_lines(docs: DataFrame, *, tau: int = TAU) -> DataFrame:
     _, removed = repeated_lines(docs.select("doc_id", "text"), tau=tau)
     gone = removed.select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_gone"))
     # The row travels as one column, so that none of its names can clash.
-    d = small_join(docs.select(F.struct("*").alias("_row")), gone, F.expr("_row.doc_id <=> _id"), "left", SMALL)
+    rows = docs.select(F.struct(*every(docs)).alias("_row"))
+    d = small_join(rows.filter("_row.doc_id is not null"), gone, F.expr("_row.doc_id = _id"), "left")
+    d = d.unionByName(rows.filter("_row.doc_id is null").selectExpr("_row", "cast(null as long) _id", "cast(null as array<int>) _gone"))
     text, gone = F.col("_row.text"), F.col("_gone")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     d = d.withColumn("_text", F.when(gone.isNull(), text).otherwise(kept)).filter(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -372,6 +373,44 @@ def test_line_report(spark):
     assert sorted(map(tuple, got), key=repr) == brute_lines(rows)
 
 
+@pytest.mark.parametrize("first", [1, 4])
+def test_line_candidates(monkeypatch, first):
+    """Every line with an earlier candidate is named, with its earliest in the windows looked at; no candidate is made up; more is said where there are more."""
+    monkeypatch.setattr(linededup, "WINDOW", 16)
+    rng = np.random.default_rng(6)
+    for n in (3, 40, 100):
+        bits = rng.choice(np.array([0, 1, 3, 7, 0xFFFF, 0xFF00FF00], np.uint32), n)
+        stands, place = rng.random(n) < 0.5, np.sort(rng.integers(0, n // 2 + 1, n)).astype(np.float32)
+        i, c, more = linededup.candidates(bits, stands, place, 2, first)
+        ok = lambda a, b: a != b and place[b] <= place[a] and (stands[a] or stands[b]) and int(bits[a] ^ bits[b]).bit_count() <= 2  # noqa: B023, E731
+        want = {a: {b for b in range(n) if ok(a, b)} for a in range(n)}
+        got = {a: set(c[i == a].tolist()) for a in range(n)}
+        for a in range(n):
+            assert got[a] <= want[a] and bool(got[a]) == bool(want[a]) and len(got[a]) <= first
+            if want[a]:
+                assert min(want[a]) in got[a] and (bool(more[i == a].all()) or got[a] == want[a])
+
+
+def test_line_report_of_like_lines(spark, monkeypatch):
+    """A large group of like lines, most of them more than two edits from the earliest, in shares and windows of a few."""
+    for name, v in (("FIRST", 1), ("WINDOW", 8), ("SHARE", 5)):
+        monkeypatch.setattr(linededup, name, v)
+    rng = random.Random(51)
+    base = "the quick brown fox jumps over the lazy dog again"
+    rows = [(d, "\n".join(edited(rng, base, rng.randint(0, 4)) for _ in range(3)) + "\nthis line stands on every single page") for d in range(60)]
+    got = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_lines(rows)
+
+
+def test_like_lines_take_linear_time():
+    """200 000 like lines under one signature: as many comparisons a line as there are in one window."""
+    rng = np.random.default_rng(7)
+    bits = (np.uint32(1) << rng.integers(0, 4, 200_000).astype(np.uint32)) ^ np.uint32(0xABCDEF)
+    start = time.perf_counter()
+    i, c, more = linededup.candidates(bits, np.ones(len(bits), bool), np.arange(len(bits), dtype=np.float32), 4, 4)
+    assert len(np.unique(i)) == len(bits) - 1 and time.perf_counter() - start < 60
+
+
 def test_drop_lines(spark):
     same = "this line stands in two documents"
     d = docs(spark, [(1, f"{same}\nfirst", "s", 9), (2, f"own\n{same}\nlast", "s", 9), (3, same, "s", 9), (4, None, "s", None), (5, "", "s", 0)], "doc_id long, text string, _gone string, n_chars long")
