@@ -663,6 +663,25 @@ def test_cover_tree_exact(spark):
     assert covertree.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_cover_tree_prunes_blocks(spark, monkeypatch):
+    """Clusters far apart: blocks around pivots, most pairs of blocks never meet, and nothing is lost; columns of any name."""
+    monkeypatch.setattr(covertree, "DATA_BLOCK", 100)
+    monkeypatch.setattr(covertree, "QUERY_BLOCK", 20)
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(20, 8)) * 5, 100, axis=0) + rng.normal(size=(2000, 8)) * 0.01
+    d = spark.createDataFrame([(i, v.tolist(), 1, 2) for i, v in enumerate(x)], "vec_id long, `a.b` array<double>, dims int, v int")
+    asks = F.col("vec_id") % 50 == 0
+    got = covertree.top_k(d, asks, vector_col="a.b").collect()
+    y = np.floor(256 * x)
+    want = []
+    for q in range(0, 2000, 50):
+        s = y @ y[q]
+        s[q] = -np.inf
+        want += [(q, r, int(i), int(s[i])) for r, i in enumerate(np.lexsort((np.arange(2000), -s))[:5], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert covertree.compared_share(d, asks, vector_col="a.b") < 0.5
+
+
 def test_cover_tree_prunes_clusters():
     rng = np.random.default_rng(1)
     x = np.floor(256 * (np.repeat(rng.normal(size=(20, 8)) * 5, 200, axis=0) + rng.normal(size=(4000, 8)) * 0.01))
