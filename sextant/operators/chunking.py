@@ -14,13 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.errors import ConfigError
+from sextant.functions.text import let, strip
 
 _PIECE = pa.list_(pa.struct([("content", pa.string()), ("start_idx", pa.int32()), ("end_idx", pa.int32()), ("sentence_count", pa.int32())]))
 _PIECE_SQL = "array<struct<content:string,start_idx:int,end_idx:int,sentence_count:int>>"
 #: Characters that a cut may move back to reach white space.
 LOOK_BACK = 100
-#: Fixed value: where sentences end. A boundary is the end of a match.
-BOUNDARY = re.compile(r"(?<=[.!?])\s+(?=[A-Za-z])|(?<=[.!?])(?=\s)|(?<=\n)\s*(?=\S)")
+# Where sentences end; a boundary is the end of a match.
+BOUNDARIES = (
+    r"(?<=[.!?])\s+(?=[A-Z])",
+    r"(?<=[.!?])\s+(?=[a-z])",
+    r"(?<=[.!?])(?=\s)",
+    r"(?<=\n)\s*(?=\S)",
+)
+BOUNDARY = re.compile("|".join(BOUNDARIES), re.MULTILINE)
 
 
 def fixed_pieces(text: str, size: int, overlap: int, words: bool) -> list[dict]:
@@ -86,17 +93,28 @@ def fixed(text: Column, size: int = 500, overlap: int = 0, words: bool = True) -
 
 
 def fixed_closed(text: Column, size: int = 500, overlap: int = 0) -> Column:
-    """The same without regard to words: offsets follow from the length alone."""
+    """The same without regard to words: offsets follow from the length alone.
+
+    The text is cut once into steps, and a piece is made of the steps that it spans, so the work is in
+    proportion to the text: finding a place by counting from the start for each piece would not be.
+    """
     check_fixed(size, overlap)
-    n, step = F.length(text), size - overlap
-    count = F.when(F.coalesce(n, F.lit(0)) == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1).cast("int")
-    def piece(i: Column) -> Column:
-        a = i * step
-        b = F.least(a + size, n)
-        content = F.regexp_replace(F.substring(text, a + 1, b - a), F.lit(r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z"), F.lit(""))
-        return F.struct(content.alias("content"), a.cast("int").alias("start_idx"), b.cast("int").alias("end_idx"), F.lit(None).cast("int").alias("sentence_count"))
-    pieces = F.transform(F.sequence(F.lit(0), count - 1), piece)
-    return F.when(count > 0, F.filter(pieces, lambda p: p["content"] != "")).otherwise(F.array().cast(_PIECE_SQL))
+    step = size - overlap
+    span = -(-size // step)
+
+    def cut(x: Column) -> Column:
+        n, steps = x["n"], x["steps"]
+        count = F.when(F.coalesce(n, F.lit(0)) == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1).cast("int")
+
+        def piece(i: Column) -> Column:
+            a = i * step
+            content = F.substring(F.array_join(F.slice(steps, i + 1, span), ""), 1, size)
+            return F.struct(strip(content).alias("content"), a.cast("int").alias("start_idx"), F.least(a + size, n).cast("int").alias("end_idx"), F.lit(None).cast("int").alias("sentence_count"))
+
+        pieces = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), piece)
+        return F.when(count > 0, F.filter(pieces, lambda p: p["content"] != "")).otherwise(F.array().cast(_PIECE_SQL))
+
+    return let(F.struct(F.length(text).alias("n"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("steps")), cut)
 
 
 def by_sentence(text: Column, least: int = 200, most: int = 1000) -> Column:

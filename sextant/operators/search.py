@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sextant.errors import ConfigError
 from sextant.functions.tokens import token_set, truncate
 
-#: Questions whose vectors travel together; any number of such blocks is searched in one pass over the vectors.
-BLOCK = 2048
+#: Questions that search in one pass over the vectors, and that a batch of vectors meets at a time.
+PASS, BLOCK = 65_536, 2048
 
 
 def metadata_filter(where: Mapping[str, object] | None, columns: Iterable[str], map_col: str = "metadata") -> Column:
@@ -25,8 +27,8 @@ def metadata_filter(where: Mapping[str, object] | None, columns: Iterable[str],
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def _scored(k: int, metric: str):
-    """Best k of each batch of vectors for each question of a block; batches hold rows (block, qids, qvecs, id, v)."""
+def _scored(k: int, metric: str, asked):
+    """Best k of a partition's vectors for each question; batches hold rows (id, v, and columns that come along)."""
 
     def score(q: np.ndarray, v: np.ndarray) -> np.ndarray:
         if metric == "cosine":
@@ -37,57 +39,72 @@ def _scored(k: int, metric: str):
             s = 1 / (1 + np.maximum(d, 0))
         else:
             s = q @ v.T - 1
-        return np.round(np.clip(s, 0.0, 1.0), 6) + 0.0
+        # Twelve places: what two ways of adding up may differ by is no order.
+        return np.round(np.clip(s, 0.0, 1.0), 12) + 0.0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qs = np.asarray(asked.value, np.float64)
+        held, rows = None, None  # the best so far: (question, score), and the rows that they name
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            for b in np.unique(blocks):
-                rows = np.flatnonzero(blocks == b)
-                part = batch.take(pa.array(rows))
-                qids = np.frombuffer(part.column(1)[0].as_py(), np.int64)
-                q = np.frombuffer(part.column(2)[0].as_py(), np.float32).reshape(len(qids), -1).astype(np.float64)
-                v = np.array(part.column(4).to_pylist(), np.float64)
-                ids = np.array(part.column(3).to_pylist(), object)
-                s = score(q, v)
-                order = np.argsort(ids.astype(str) if ids.dtype == object and isinstance(ids[0], str) else ids.astype(np.int64), kind="stable")
-                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-                n = best.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(ids[best].ravel().tolist(), batch.schema.field(3).type), pa.array(np.take_along_axis(s, best, 1).ravel())], ["question_id", "chunk_id", "score"])
+            if not batch.num_rows or not len(qs):
+                continue
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            by_id = np.empty(batch.num_rows, np.int64)
+            by_id[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+            order = np.argsort(by_id)
+            found = []
+            for at in range(0, len(qs), BLOCK):
+                s = score(qs[at : at + BLOCK], v)[:, order]
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                found.append((np.repeat(np.arange(at, at + len(s)), best.shape[1]), np.take_along_axis(s, best, 1).ravel(), order[best].ravel()))
+            q, s, at = (np.concatenate(x) for x in zip(*found))
+            used, at = np.unique(at, return_inverse=True)
+            part = pa.Table.from_batches([batch.take(pa.array(used))]).drop_columns([batch.schema.names[1]])
+            if held is not None:
+                q, s, at = np.concatenate([held[0], q]), np.concatenate([held[1], s]), np.concatenate([held[2], at + rows.num_rows])
+                part = pa.concat_tables([rows, part])
+                name = np.empty(part.num_rows, np.int64)
+                name[pc.sort_indices(part.column(0)).to_numpy()] = np.arange(part.num_rows)
+                order = np.lexsort((name[at], -s, q))
+                first = np.searchsorted(q[order], q[order], "left")
+                order = order[np.arange(len(q)) - first < k]
+                q, s, at = q[order], s[order], at[order]
+                used, at = np.unique(at, return_inverse=True)
+                part = part.take(pa.array(used))
+            held, rows = (q, s, at), part
+        if held is not None:
+            q, s, at = held
+            out = rows.take(pa.array(at))
+            yield from pa.table([pa.array(q), pa.array(s), *out.columns], ["_q", "score", *out.column_names]).combine_chunks().to_batches(max_chunksize=10_000)
 
     return run
 
 
-def _pack(key, rows):
-    ids = rows.column("question_id").to_numpy().astype(np.int64)
-    v = np.array(rows.column("qv").to_pylist(), np.float32)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "qids": pa.array([ids.tobytes()], pa.binary()), "qvecs": pa.array([v.tobytes()], pa.binary())})
+def top_k(vectors: DataFrame, questions: DataFrame, k: int = 5, metric: str = "cosine", where: Mapping[str, object] | None = None, id_col: str = "id", vector: str = "embedding", keep: Sequence[str] = ()) -> DataFrame:
+    """question_id, rank, chunk_id, score (six places), and kept columns: the k best of the vectors for each question, ties to smaller ids.
 
-
-def top_k(vectors: DataFrame, questions: DataFrame, k: int = 5, metric: str = "cosine", where: Mapping[str, object] | None = None, id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """question_id, rank, chunk_id, score: the k best of the vectors for each question, ties to smaller ids.
-
-    Questions are packed into blocks of a fixed size; a batch of vectors meets a block in one matrix
-    product and hands on its best k, so what is ranked at the end is a few rows a batch.  Filters stand
-    before the search and reach the scan.  Null vectors take no part.
+    Question vectors go to every task, at most PASS of them in one pass over the vectors; more of them take
+    more passes.  A partition of vectors hands on its best k of each question, so what is ranked at the end
+    is a few rows a partition, and no row of vectors moves.  Filters stand before the search and reach the
+    scan.  Null vectors take no part.  Ids may be of any type that sorts.
     """
     if k <= 0:
         raise ConfigError("k is positive")
-    q = questions.filter(F.col("embedding").isNotNull()).select(F.col("question_id").cast("long"), F.col("embedding").alias("qv"))
-    q = q.withColumn("block", F.floor(F.row_number().over(W.partitionBy(F.pmod("question_id", F.lit(64))).orderBy("question_id")) / BLOCK) * 64 + F.pmod("question_id", F.lit(64)))
-    n = q.count()
-    if n <= BLOCK:
-        q = q.withColumn("block", F.lit(0).cast("long"))
-    packed = q.groupBy("block").applyInArrow(_pack, "block long, qids binary, qvecs binary")
-    v = vectors.filter(metadata_filter(where, vectors.columns)).filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("chunk_id"), F.col(vector).alias("v"))
-    # A block is at most BLOCK vectors in one row; the vectors stay where they are.
-    if n <= BLOCK:
-        packed = F.broadcast(packed)
-    met = v.withColumn("_one", F.lit(1)).join(packed.withColumn("_one", F.lit(1)), "_one").select("block", "qids", "qvecs", "chunk_id", "v")
-    kind = v.schema["chunk_id"].dataType.simpleString()
-    part = met.mapInArrow(_scored(k, metric), f"question_id long, chunk_id {kind}, score double")
-    best = W.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("question_id", "rank", "chunk_id", "score")
+    q = questions.filter(F.col("embedding").isNotNull()).select("question_id", "embedding")
+    v = vectors.filter(metadata_filter(where, vectors.columns)).filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("chunk_id"), F.col(vector).alias("_v"), *keep)
+    kind = ", ".join(["_q long", "score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in v.schema.fields if f.name != "_v")])
+    ids_of = q.schema["question_id"]
+    rows = q.limit(PASS + 1).toArrow()
+    passes = [rows] if rows.num_rows <= PASS else (q.filter(F.pmod(F.xxhash64("question_id"), F.lit(n)) == i).toArrow() for n in [-(-2 * q.count() // PASS)] for i in range(n))
+    found = None
+    for rows in passes:
+        asked = vectors.sparkSession.sparkContext.broadcast(np.array(rows["embedding"].to_pylist() or np.zeros((0, 1)), np.float32))
+        names = q.sparkSession.createDataFrame(list(enumerate(rows["question_id"].to_pylist())), StructType([StructField("_q", LongType()), ids_of]))
+        part = v.mapInArrow(_scored(k, metric, asked), kind)
+        best = W.partitionBy("_q").orderBy(F.desc("score"), "chunk_id")
+        part = part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).join(F.broadcast(names), "_q")
+        found = part if found is None else found.unionByName(part)
+    return found.select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"), *keep)
 
 
 def at_least(results: DataFrame, score: float) -> DataFrame:

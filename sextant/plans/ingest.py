@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.errors import ConfigError
-from sextant.functions.text import CleanOptions, clean
+from sextant.functions.text import CleanOptions, clean_frame
 from sextant.operators.chunking import chunk_fixed, chunk_sentences
 from sextant.operators.embedding import Provider
 from sextant.operators.store import VectorStore
@@ -20,8 +20,8 @@ def with_metadata(docs: DataFrame) -> DataFrame:
 
 
 def chunks(docs: DataFrame, chunker: str = "sentence", size: int = 2000, overlap: int = 200, options: CleanOptions = CleanOptions()) -> DataFrame:
-    """Clean and chunk; narrow all the way, so it scales with its input's partitions."""
-    d = with_metadata(docs).withColumn("content", clean(F.col("content"), options))
+    """Clean and chunk; narrow all the way, so it scales with its input's partitions.  A null content has no chunks."""
+    d = clean_frame(with_metadata(docs), "content", options)
     if chunker == "fixed":
         return chunk_fixed(d, size=size, overlap=overlap)
     if chunker == "sentence":

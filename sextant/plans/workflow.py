@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,20 +76,21 @@ def refusal_message(question: Column, found: Column, confidence: Column, error:
 def ask(questions: DataFrame, vectors: DataFrame, embed: Provider, answer: Callable[[Column, Column], Column] = extractive, *, k: int = K, max_retries: int = MAX_RETRIES, accept: float = ACCEPT, early: float = EARLY, where: dict | None = None) -> DataFrame:
     """One row per question (question_id, question): query_type, answer, confidence, citations, grounding, retries, action, refusal_reason, error.
 
-    Retrieval does not depend on the pass, so it is planned once; each pass asks the provider for the
-    questions that are still open.  With a provider that repeats itself the passes beyond the first agree.
+    Retrieval does not depend on the pass: what is found for the questions is kept (a row per question, in
+    memory and on disk, worked out again where an executor is lost), and passages come along from the one
+    pass over the vectors.  Each pass asks the provider for the questions that are still open.  With a
+    provider that repeats itself the passes beyond the first agree.
     """
     q = questions.select("question_id", "question").withColumn("query_type", question_class(F.col("question")))
     off = q.filter("query_type = 'unsupported'")
     on = q.filter("query_type != 'unsupported'").withColumn("embedding", embed(strip(F.col("question"))))
-    found = top_k(vectors, on, k=k, where=where)
-    have = [F.col(c) for c in ("content", "source") if c in vectors.columns]
-    rows = found.join(vectors.select(F.col("id").alias("chunk_id"), *have), "chunk_id")
     if "source" not in vectors.columns:
-        rows = rows.withColumn("source", F.lit(None).cast("string"))
+        vectors = vectors.withColumn("source", F.lit(None).cast("string"))
+    rows = top_k(vectors, on, k=k, where=where, keep=("content", "source"))
     cited = citations(rows).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "chunk_id", "text", "score"))).alias("citations"), F.round(F.avg("score"), 4).alias("mean_score"))
     s = on.drop("embedding").join(cited, "question_id", "left")
     s = s.withColumn("passages", F.coalesce(F.transform("citations", lambda c: c["text"]), F.array().cast("array<string>"))).withColumn("context", context_tokens(F.col("passages")))
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
     state = s.withColumns({"answer": answer(prompt(F.col("question"), F.col("query_type"), F.col("passages")), F.col("passages")), "_g": F.lit(None)}).drop("_g")
 
     def verified(d: DataFrame, count: int) -> DataFrame:

@@ -73,7 +73,7 @@ def strip_urls_emails(spark, d):
 
 def clean_full(spark, d):
     o = T.CleanOptions(remove_urls=True, remove_emails=True, lowercase=True)
-    return table(spark, d, "pages").select("page_id", T.clean(F.col("html"), o).alias("cleaned"))
+    return T.clean_frame(table(spark, d, "pages").select("page_id", F.col("html").alias("cleaned")), "cleaned", o)
 
 
 # Sources
@@ -285,7 +285,7 @@ def retry_decisions(spark, d):
 
 
 def refusal_messages(spark, d):
-    q = F.when(F.col("conv_id") % 5 == 0, "what is in chapter 3").otherwise(F.substring("question", 1, 40))
+    q = F.when(F.col("conv_id") % 5 == 0, "what is in chapter 3").otherwise(F.col("question"))
     return _outcomes(spark, d).select("conv_id", "turn", workflow.refusal_message(q, F.col("conv_id") % 3 != 0, F.round("confidence", 2), F.col("error"), F.col("count")).alias("message"))
 
 

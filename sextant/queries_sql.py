@@ -121,8 +121,8 @@ def named(source: str, x: str) -> str:
 
 
 def ranked(score: str, where: str = "TRUE", floor: str = "") -> str:
-    return f"""WITH r AS (SELECT a.vec_id AS question_id, b.vec_id AS chunk_id, round(greatest(0.0, least(1.0, {score})), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND {where}),
-n AS (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INT) AS rank, chunk_id, score FROM r) SELECT * FROM n WHERE rank <= 5 {floor}"""
+    return f"""WITH r AS (SELECT a.vec_id AS question_id, b.vec_id AS chunk_id, round(greatest(0.0, least(1.0, {score})), 12) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND {where}),
+n AS (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INT) AS rank, chunk_id, round(score, 6) AS score FROM r) SELECT * FROM n WHERE rank <= 5 {floor}"""
 
 
 A, B = "CAST(a.embedding AS DOUBLE[])", "CAST(b.embedding AS DOUBLE[])"
@@ -131,8 +131,8 @@ _VECTOR = """SELECT id, list_transform(range(64), lambda b: CAST(len(list_filter
 _UNIT = "list_transform(c, lambda v: CAST(v / sqrt(list_sum(list_transform(c, lambda y: y * y))) AS FLOAT))"
 PASSAGES = f"""dw AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id AS id, {_WORDS} AS w FROM benchmark),
 dv AS (SELECT id, CAST({_UNIT} AS DOUBLE[]) AS v FROM ({_VECTOR.format(w="dw")})), bv AS (SELECT id, CAST({_UNIT} AS DOUBLE[]) AS v FROM ({_VECTOR.format(w="bw")})),
-pr AS (SELECT b.id AS question_id, CAST(d.id AS VARCHAR) AS chunk_id, round(greatest(0.0, least(1.0, list_cosine_similarity(b.v, d.v))), 6) AS score FROM bv b, dv d),
-pn AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM pr QUALIFY rank <= 5),
+pr AS (SELECT b.id AS question_id, CAST(d.id AS VARCHAR) AS chunk_id, round(greatest(0.0, least(1.0, list_cosine_similarity(b.v, d.v))), 12) AS score FROM bv b, dv d),
+pn AS (SELECT question_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY pr.score DESC, chunk_id) AS INT) AS rank FROM pr QUALIFY rank <= 5),
 p AS (SELECT pn.*, d.text AS content, d.source, b.text AS question FROM pn JOIN documents d ON CAST(d.doc_id AS VARCHAR) = pn.chunk_id JOIN benchmark b ON b.item_id = pn.question_id)"""
 _NAME = "source || '.txt'"
 _TWO = "printf('%.2f', round(score, 4) + 1e-9)"
@@ -185,8 +185,11 @@ SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY s
 CAST(len(list_filter(p, lambda v: v >= 0.05)) AS INT) AS supported, CAST(len(list_filter(p, lambda v: v < 0.05)) AS INT) AS unsupported FROM s""",
     "groundedness": f"WITH {OUTCOMES} SELECT conv_id, turn, confidence AS groundedness FROM o",
     "relevance": f"WITH {TURNS} {relevance()}",
+    "prompt_build": f"""WITH {TURNS}, p AS (SELECT *, {sentences("answer")} AS ps FROM t),
+b AS (SELECT *, CASE WHEN len(ps) = 0 THEN '(No relevant context was found.)' ELSE array_to_string(list_transform(ps, lambda x, i: '[' || i || '] ' || x), chr(10) || chr(10)) END AS block FROM p)
+SELECT conv_id, turn, md5(block) AS context, CAST(length(question) + CASE WHEN len(ps) = 0 THEN 83 ELSE length(block) + 108 END AS INT) AS chars FROM b""",
     "retry_decisions": f"WITH {OUTCOMES} SELECT conv_id, turn, CASE WHEN {strip('answer')} != '' AND confidence >= 0.5 THEN 'accept' WHEN cnt > 2 THEN 'refuse' WHEN error IS NOT NULL THEN 'refuse' ELSE 'retry' END AS action FROM o",
-    "refusal_messages": f"""WITH {OUTCOMES}, m AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'what is in chapter 3' ELSE question[1:40] END AS u FROM o)
+    "refusal_messages": f"""WITH {OUTCOMES}, m AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'what is in chapter 3' ELSE question END AS u FROM o)
 SELECT conv_id, turn, CASE WHEN regexp_matches(u, {q("(?i)" + STRUCTURAL)}) THEN {q('This system uses semantic search and cannot look up content by chapter, page, or section number. Try asking about a specific topic instead — for example, "Summarize the key points of bicameralism" rather than "Give me the key points of chapter 2".')}
 ELSE CASE WHEN conv_id % 3 = 0 THEN 'No relevant documents were found in the knowledge base for: "' || u || '"' WHEN confidence > 0 THEN 'The available evidence was not strong enough to provide a reliable answer (confidence: ' || CAST(round_even(round(confidence, 2) * 100, 0) AS INT) || '%).' ELSE 'The retrieved documents did not contain sufficient information to answer: "' || u || '"' END
 || CASE WHEN error IS NOT NULL THEN ' Additionally, an error occurred: ' || error ELSE '' END || CASE WHEN cnt > 1 THEN ' The system attempted ' || cnt || ' times before giving up.' ELSE '' END || ' Please try rephrasing your question or providing more context.' END AS message FROM m""",

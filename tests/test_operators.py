@@ -209,3 +209,35 @@ def test_ingest_and_config(spark):
     assert settings(env={"SEXTANT_GRAPH__K": "9"})["graph"]["k"] == 9
     with pytest.raises(ConfigError):
         settings(env={}, ingestion={"chunker": "odd"})
+
+
+@pytest.mark.parametrize("size, overlap", [(10, 0), (10, 3), (10, 8), (7, 6)])
+def test_fixed_closed_overlaps(spark, size, overlap):
+    texts = ["héllo wörld " * 9, "😀a" * 31, " " * 40, "x" * size, "y" * (size + 1), "a\nb\r\nc " * 12]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, content string")
+    got = {}
+    for r in C.chunk_fixed(df, size=size, overlap=overlap, words=False).collect():
+        got.setdefault(int(r.document_id), []).append((r.content, r.start_idx, r.end_idx))
+    assert got == {i: m for i, t in enumerate(texts) if (m := model_fixed(t, size, overlap))}
+
+
+def test_cleaning_a_frame_and_a_column_agree(spark):
+    from sextant.functions.text import CleanOptions, clean, clean_frame
+
+    rows = [("<p>A&#233;é &#x41; &amp; &#55555555555; “q”</p>\n\nMenu\n42\nhttp://a.b c@d.ef\tend",), (None,), ("",), ("plain",)]
+    d = spark.createDataFrame(rows, "t string")
+    o = CleanOptions(remove_urls=True, remove_emails=True, lowercase=True)
+    both = clean_frame(d.withColumn("a", clean(F.col("t"), o)).withColumn("b", F.col("t")), "b", o).collect()
+    assert [r.a for r in both] == [r.b for r in both] and both[1].a is None
+    plan = clean_frame(d, "t", o)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 60
+
+
+def test_top_k_passes_ids_and_close_scores(spark, monkeypatch):
+    """String ids, questions in several passes, scores that differ after six places, columns that come along."""
+    monkeypatch.setattr(S, "PASS", 3)
+    v = spark.createDataFrame([(f"v{i}", [1.0, 1e-4 * i], f"text {i}") for i in range(30)], "id string, embedding array<double>, content string").repartition(5)
+    q = spark.createDataFrame([(f"q{i}", [1.0, 0.0]) for i in range(8)] + [("none", None)], "question_id string, embedding array<double>")
+    got = S.top_k(v, q, k=3, keep=("content",)).collect()
+    assert len(got) == 24 and {(r.question_id, r["rank"], r.chunk_id, r.content) for r in got} == {(f"q{i}", j + 1, f"v{j}", f"text {j}") for i in range(8) for j in range(3)}
+    assert S.top_k(v, q.limit(0)).count() == 0 and S.top_k(v.limit(0), q).count() == 0
