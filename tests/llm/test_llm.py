@@ -10,7 +10,9 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -784,21 +786,44 @@ def test_toxicity_edges(spark):
 # Pipeline
 
 
+def sql_over(rows, sql):
+    """A query of this subpackage's SQL over documents given as rows."""
+    con = duckdb.connect()
+    frame = pa.table({c: pa.array([r[c] for r in rows], t) for c, t in (("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()))})
+    con.register("documents", frame)
+    return con.sql(sql).fetchdf()
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard", "source_mix", "best_fit_packing"]
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    before = d.count()
+    rows = d.collect()
+    model = toxicity.fit(d, spark.read.parquet(f"{sf}/labels.parquet"))
     for i, (_, stage) in enumerate(p.STAGES):
+        before = rows
         d = stage(spark, d, sf)
+        rows = d.collect()
         if i < 4:
             assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-            rows = d.collect()
             d = spark.createDataFrame(rows, DOCS)
-        if i < 3:
-            assert 0.7 * before < len(rows) <= before
+        if i == 0:
+            kept = {r.doc_id for r in rows}
+            assert all((plain_score(model, r.text or "") < 0.3) == (r.doc_id in kept) for r in before if len(r.text or "") < 1500)
+            assert len(rows) == len(kept) and 0.7 * len(before) < len(rows)
+        if i == 1:
+            gone = {int(r.doc_id): set(map(int, filter(None, r.removed.split(",")))) for r in sql_over(before, oracle_sql()["op5_segment_lines"]).itertuples()}
+            want = {r.doc_id: "\n".join(x for j, x in enumerate((r.text or "").split("\n")) if j not in gone[r.doc_id]) for r in before}
+            assert {r.doc_id: r.text or "" for r in rows} == {r.doc_id: want[r.doc_id] for r in before if not gone[r.doc_id] or want[r.doc_id].strip()}
         if i == 2:
-            comp = brute_components([(r.doc_id, r.text) for r in rows if r.text and len(r.text.split()) > 1])
-            assert all(i == c for i, _, c in comp)
-    assert d.count() > 0
+            assert {r.doc_id for r in rows} == {c for _, _, c in brute_components([(r.doc_id, r.text) for r in before])}
+        if i == 3:
+            want = sql_over(before, oracle_sql()["op1_pareto_mix"])
+            got = Counter(r.doc_id for r in rows)
+            assert all(got[int(r.doc_id)] == r.taken // r.size for r in want.itertuples() if r.size)
+    sized = sorted((r.doc_id, len((r.text or "").split())) for r in before)
+    parts, home, start, caps = packing.pack_whole([n for _, n in sized if n])
+    want = [(i, j, n) for (i, _), part in zip([x for x in sized if x[1]], parts) for j, n in enumerate(part)]
+    assert sorted((r.doc_id, r.piece, r.n_words) for r in rows if r.n_words) == sorted(want)
+    assert Counter(dict.fromkeys([(r.bin, r.capacity) for r in rows if r.n_words])).keys() and sorted(c for _, c in {(r.bin, r.capacity) for r in rows if r.n_words}) == sorted(caps)
