@@ -13,7 +13,7 @@ from sextant.errors import ConfigError
 DEFAULTS: dict[str, dict[str, Any]] = {
     "ingestion": {"connector": "local", "chunker": "sentence", "chunk_size": 2000, "overlap": 200},
     "embeddings": {"provider": "hashing", "dimension": 64},
-    "store": {"metric": "cosine", "collection": "default"},
+    "store": {"kind": "parquet", "path": "vectors", "metric": "cosine", "collection": "default"},
     "answers": {"provider": "extractive"},
     "graph": {"max_retries": 2, "refusal_threshold": 0.8, "early_confidence": 0.4, "k": 5},
 }
@@ -43,12 +43,31 @@ def merged(base: Mapping, over: Mapping) -> dict:
     return out
 
 
+def _file(path: str) -> dict:
+    """A settings file in JSON, or in YAML where the yaml package is installed; an empty one sets nothing."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            out = yaml.safe_load(text)
+        else:
+            out = json.loads(text or "{}")
+    except ImportError as e:
+        raise ConfigError("settings in YAML need the yaml package") from e
+    except Exception as e:  # the parsers' own errors differ
+        raise ConfigError(f"{path}: {e}") from e
+    if out is not None and not isinstance(out, dict):
+        raise ConfigError(f"{path} holds no sections")
+    return out or {}
+
+
 def settings(path: str | None = None, env: Mapping[str, str] | None = None, prefix: str = "SEXTANT_", **over: Any) -> dict:
     """All settings by section; the environment names them PREFIX_SECTION__KEY."""
     out = merged({}, DEFAULTS)
     if path:
-        with open(path) as f:
-            out = merged(out, json.load(f))
+        out = merged(out, _file(path))
     for k, v in (os.environ if env is None else env).items():
         section, _, key = k.removeprefix(prefix).lower().partition("__")
         if k.startswith(prefix) and key:

@@ -19,3 +19,15 @@ class ProviderError(EngineError):
 
 class ConfigError(EngineError):
     """A setting is not allowed."""
+
+
+class IngestError(EngineError):
+    """Documents cannot be cleaned, chunked or embedded."""
+
+
+class RetrievalError(EngineError):
+    """A question is blank, or there is nothing to search."""
+
+
+class AnswerError(EngineError):
+    """An answer provider failed for good."""

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.errors import ProviderError
+from sextant.functions.text import strip
+from sextant.operators import remote
 
 Provider = Callable[[Column], Column]
 _providers: dict[str, Callable[..., Provider]] = {}
@@ -68,6 +70,13 @@ def sentence_model(model: str, normalize: bool = True, batch: int = 32) -> Provi
 
 register("hashing", hashing)
 register("local", sentence_model)
+register("remote", remote.vectors)
+
+
+def refuse_blank(embed: Provider) -> Provider:
+    """A provider that ends the job at a null or blank text instead of giving it a vector or null."""
+    said = F.raise_error(F.lit("a blank text has no embedding")).cast("array<float>")
+    return lambda c: F.when(F.coalesce(strip(c), F.lit("")) == "", said).otherwise(embed(c))
 
 
 def cache_key(text: Column, model: str) -> Column:
@@ -75,7 +84,11 @@ def cache_key(text: Column, model: str) -> Column:
 
 
 def cached_embed(rows: DataFrame, cache: DataFrame, embed: Provider, model: str, text: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(rows with embedding, new cache rows): only distinct texts that the cache lacks are embedded."""
+    """(rows with embedding, new cache rows): only distinct texts that the cache lacks are embedded.
+
+    Both come from one lineage: write the new rows to the cache and call again before the rows are used, or the misses are
+    embedded twice.
+    """
     keyed = rows.withColumn("_key", cache_key(F.col(text), model))
     known = cache.filter(F.col("model") == model).select(F.col("key").alias("_key"), "vector")
     new = keyed.join(known, "_key", "left_anti").dropDuplicates(["_key"]).filter(F.col(text).isNotNull())
@@ -86,3 +99,8 @@ def cached_embed(rows: DataFrame, cache: DataFrame, embed: Provider, model: str,
 
 def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("dimension"), F.lit(0)).alias("numbers"))
+
+
+def cache_cleared(cache: DataFrame, model: str | None = None) -> DataFrame:
+    """What is left of a cache without a model's entries, or without any."""
+    return cache.limit(0) if model is None else cache.filter(F.col("model") != model)

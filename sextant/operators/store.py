@@ -1,17 +1,22 @@
-"""A vector store in Parquet: versions of one table, partitioned by collection.
+"""A vector store in Parquet: a base table partitioned by collection, and the changes since.
 
-A change writes a new version beside the old one and is visible once that is complete, so a reader never
-sees half a change and a job that dies leaves the old version.  Ids are unique within a collection; of
-repeated ids in one batch the last wins.
+A change writes only its own rows, as one more table beside the others, and is visible once that is
+complete, so a reader never sees half a change and a job that dies leaves the store as it was.  Readers
+take the newest base and lay the changes over it; after some changes they are folded into a new base, and
+what came before the base in use until then is deleted.  One writer at a time.  Ids are unique within a
+collection; of repeated ids in one batch the last wins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sextant.errors import StoreError
+from sextant.errors import ConfigError, StoreError
 from sextant.schemas import VECTOR
 
 
@@ -23,11 +28,10 @@ def flat_metadata(metadata: Column, document_id: Column, start: Column, end: Col
 
 
 def last_of_each(rows: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
-    """One row per id: the last by order, or any where there is none."""
-    if order is None:
-        return rows.dropDuplicates([id_col])
-    w = W.partitionBy(id_col).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One row per id: the last by order, or by its place in the frame where there is none."""
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    w = W.partitionBy(id_col).orderBy(*([F.desc(order)] if order else []), F.desc("_at"))
+    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_at")
 
 
 def upserted(old: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
@@ -35,50 +39,103 @@ def upserted(old: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
     return old.join(new.select(id_col), id_col, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
+def laid_over(base: DataFrame, changes: DataFrame) -> DataFrame:
+    """base with changes: rows of its columns, _removed and _v; of each collection and id the highest _v counts.
+
+    Rows of the base go through one anti join with the ids of the changes, which are few beside it.
+    """
+    names = ["collection", "id"]
+    w = W.partitionBy(*names).orderBy(F.desc("_v"))
+    last = changes.withColumn("_n", F.row_number().over(w)).filter("_n = 1 and not _removed")
+    kept = base.join(changes.select(*names).distinct(), names, "left_anti")
+    return kept.select(*base.columns).unionByName(last.select(*base.columns))
+
+
 class VectorStore:
-    """add, delete, get, count, clear and stats over a folder of versions."""
+    """add, delete, get, count, clear and stats over a folder; after ``most`` changes they are folded into the base."""
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None, columns: str = VECTOR):
-        self.spark, self.path, self.dimension, self.columns = spark, path.rstrip("/"), dimension, columns
+    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None, columns: str = VECTOR, metric: str = "cosine", most: int = 8):
+        self.spark, self.path, self.dimension, self.columns, self.metric, self.most = spark, path.rstrip("/"), dimension, columns, metric, most
 
-    def _versions(self) -> list[int]:
+    def _fs(self):
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
+        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+    def _tables(self) -> list[tuple[int, str]]:
+        """(number, kind) of the complete tables, kind base or change, oldest first."""
+        fs, at = self._fs()
+        if not fs.exists(at(self.path)):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+        names = [s.getPath().getName().split("=") for s in fs.listStatus(at(self.path))]
+        return sorted((int(n[1]), n[0]) for n in names if n[0] in ("base", "change") and fs.exists(at(f"{self.path}/{'='.join(n)}/_SUCCESS")))
 
-    def read(self, collection: str | None = None) -> DataFrame:
-        """The newest complete version, empty if there is none; a collection prunes to its folder."""
-        v = self._versions()
-        d = self.spark.read.schema(self.columns).parquet(f"{self.path}/v={v[-1]}") if v else self.spark.createDataFrame([], self.columns)
-        return d if collection is None else d.filter(F.col("collection") == collection)
+    def _current(self) -> tuple[int, list[int]]:
+        """The number of the newest base (0: none), and those of the changes since."""
+        every = self._tables()
+        base = max((v for v, kind in every if kind == "base"), default=0)
+        return base, [v for v, kind in every if kind == "change" and v > base]
 
-    def _write(self, rows: DataFrame) -> None:
-        v = self._versions()
-        rows.write.partitionBy("collection").parquet(f"{self.path}/v={(v[-1] if v else 0) + 1}")
+    def read(self, collection: str | None = None) -> DataFrame:
+        """What the store holds now; a collection prunes to its folders."""
+        base, changes = self._current()
+        mine = (lambda d: d) if collection is None else (lambda d: d.filter(F.col("collection") == collection))
+        schema = self.spark.createDataFrame([], self.columns).schema
+        d = mine(self.spark.read.schema(self.columns).parquet(f"{self.path}/base={base}") if base else self.spark.createDataFrame([], schema)).select(*schema.names)
+        if not changes:
+            return d
+        one = lambda v: mine(self.spark.read.schema(f"{self.columns}, _removed boolean").parquet(f"{self.path}/change={v}")).withColumn("_v", F.lit(v))
+        return laid_over(d, reduce(DataFrame.unionByName, map(one, changes)))
+
+    def _next(self) -> int:
+        return max((v for v, _ in self._tables()), default=0) + 1
+
+    def _rebase(self, rows: DataFrame) -> None:
+        """rows as the new base; tables before the last base go, so that readers of that one may end."""
+        old, v = self._current()[0], self._next()
+        rows.write.mode("overwrite").partitionBy("collection").parquet(f"{self.path}/base={v}")
+        fs, at = self._fs()
+        for n, kind in self._tables():
+            if n < old:
+                fs.delete(at(f"{self.path}/{kind}={n}"), True)
+
+    def _change(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").partitionBy("collection").parquet(f"{self.path}/change={self._next()}")
+        if len(self._current()[1]) >= self.most:
+            self.compact()
+
+    def compact(self) -> None:
+        """Fold the changes into a new base."""
+        self._rebase(self.read())
+
+    def _shaped(self, rows: DataFrame, collection: str, removed: bool) -> DataFrame:
+        have = set(rows.columns)
+        fields = [f for f in self.spark.createDataFrame([], self.columns).schema if f.name != "collection"]
+        out = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+        return out.withColumn("collection", F.lit(collection)).withColumn("_removed", F.lit(removed))
 
     def add(self, rows: DataFrame, collection: str = "default", order: str | None = None) -> None:
-        """Upsert by id within the collection."""
-        new = last_of_each(rows, "id", order)
-        have = set(new.columns)
-        names = self.spark.createDataFrame([], self.columns).schema
-        new = new.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in names if f.name != "collection"]).withColumn("collection", F.lit(collection))
-        if self.dimension is not None and not new.filter(F.size("embedding") != self.dimension).isEmpty():
-            raise StoreError(f"vectors of this store have {self.dimension} components")
-        old = self.read()
-        other, same = old.filter(F.col("collection") != collection), old.filter(F.col("collection") == collection)
-        self._write(other.unionByName(upserted(same, new)))
+        """Upsert by id within the collection; only the new rows are written.  Null ids and vectors of another size end it."""
+        new = self._shaped(last_of_each(rows, "id", order), collection, False)
+        fail = lambda why, kind: F.raise_error(F.lit(why)).cast(kind)
+        new = new.withColumn("id", F.coalesce("id", fail("rows of this store have an id", "string")))
+        if self.dimension is not None:
+            fits = F.col("embedding").isNull() | (F.size("embedding") == self.dimension)
+            new = new.withColumn("embedding", F.when(fits, F.col("embedding")).otherwise(fail(f"vectors of this store have {self.dimension} components", "array<float>")))
+        try:
+            self._change(new)
+        except Exception as e:
+            said = next((m for m in (f"vectors of this store have {self.dimension} components", "rows of this store have an id") if m in str(e)), None)
+            if said is None:
+                raise
+            raise StoreError(said) from e
 
     def delete(self, ids: DataFrame, collection: str = "default") -> int:
         """Remove rows by the ids of a frame (column id); how many there were."""
-        old, names = self.read(), ids.select("id").distinct()
-        mine = old.filter(F.col("collection") == collection)
-        n = mine.join(names, "id", "left_semi").count()
+        gone = self.read(collection).join(ids.select("id").distinct(), "id", "left_semi").select("id")
+        n = gone.count()
         if n:
-            self._write(old.filter(F.col("collection") != collection).unionByName(mine.join(names, "id", "left_anti").select(*old.columns)))
+            self._change(self._shaped(gone, collection, True))
         return n
 
     def get(self, ids: DataFrame, collection: str = "default") -> DataFrame:
@@ -88,9 +145,39 @@ class VectorStore:
         return self.read(collection).count()
 
     def clear(self, collection: str = "default") -> None:
-        self._write(self.read().filter(F.col("collection") != collection))
+        self._rebase(self.read().filter(F.col("collection") != collection))
 
     delete_collection = clear
 
     def stats(self) -> DataFrame:
-        return self.read().groupBy("collection").agg(F.count(F.lit(1)).alias("count"), F.max(F.size("embedding")).alias("dimension"))
+        """count and dimension by collection, with the store's metric and path."""
+        d = self.read().groupBy("collection").agg(F.count(F.lit(1)).alias("count"), F.max(F.size("embedding")).alias("dimension"))
+        return d.withColumns({"metric": F.lit(self.metric), "path": F.lit(self.path)})
+
+
+_stores: dict[str, Callable[..., VectorStore]] = {}
+
+
+def register(name: str, make: Callable[..., VectorStore]) -> None:
+    """Make a store known: a function of (spark, path, options)."""
+    _stores[name] = make
+
+
+def known() -> list[str]:
+    return sorted(_stores)
+
+
+def reset() -> None:
+    """The stores that the library brings, and no others."""
+    _stores.clear()
+    register("parquet", VectorStore)
+
+
+def open_store(kind: str, spark: SparkSession, path: str, **options) -> VectorStore:
+    """A store by its name."""
+    if kind not in _stores:
+        raise ConfigError(f"no store {kind!r}; known: {', '.join(known())}")
+    return _stores[kind](spark, path, **options)
+
+
+reset()

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import html
 import json
+import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.errors import ConfigError
+from sextant.operators.embedding import Provider
 from sextant.operators.grounding import clamp, context_tokens, groundedness, refusal, relevance
+from sextant.plans.workflow import ask
 from sextant.schemas import DIFFICULTIES, EVAL_QUESTION
 
 
@@ -41,6 +45,35 @@ def by_difficulty(questions: DataFrame, difficulty: str) -> DataFrame:
     return questions.filter(F.col("difficulty") == difficulty)
 
 
+def refusals(questions: DataFrame) -> DataFrame:
+    """Questions that should be refused."""
+    return questions.filter(F.coalesce("expected_refusal", F.lit(False)))
+
+
+def answerable(questions: DataFrame) -> DataFrame:
+    """All other questions; those that say nothing are answerable."""
+    return questions.filter(~F.coalesce("expected_refusal", F.lit(False)))
+
+
+def run(questions: DataFrame, vectors: DataFrame, embed: Provider, **how) -> DataFrame:
+    """A suite asked and scored: a row per question, with what ``score`` adds.
+
+    Questions are worked on together, so latency_ms is the time of all divided by their number.  A question
+    whose workflow ends in an error is an error, not a refusal, and has no scores.  Repeated questions are
+    asked each.  how: options of ask.
+    """
+    q = questions.select("question", F.coalesce("expected_refusal", F.lit(False)).alias("expected_refusal"))
+    rows = [(i, r.question, r.expected_refusal) for i, r in enumerate(q.collect())]  # a suite is a list that people write
+    q = questions.sparkSession.createDataFrame(rows, "question_id long, question string, expected_refusal boolean")
+    start = time.perf_counter()
+    got = ask(q.select("question_id", "question"), vectors, embed, **how).drop("question").persist()
+    n = got.count()
+    each = 1000 * (time.perf_counter() - start) / max(n, 1)
+    passages = F.coalesce(F.transform("citations", lambda c: c["text"]), F.array().cast("array<string>"))
+    d = q.join(got, "question_id").withColumns({"passages": passages, "refusal_reason": F.when(F.col("error").isNull(), F.col("refusal_reason")), "latency_ms": F.lit(each)})
+    return score(d.select("question_id", "question", "query_type", "answer", "confidence", "passages", "refusal_reason", "expected_refusal", "error", "latency_ms"))
+
+
 def score(answers: DataFrame) -> DataFrame:
     """Answers with their scores; columns question, answer, passages, refusal_reason, expected_refusal, error, latency_ms.
 
@@ -90,6 +123,27 @@ def report_text(rep: dict) -> str:
     return "\n".join([rep["suite"], *(f"{k}: {v}" for k, v in rep["metrics"].items())]) + "\n"
 
 
+def save_report(rep: dict, folder: str, formats: tuple[str, ...] = ("json", "html", "text")) -> list[str]:
+    """Write the report to the folder, a file for each format, named after the suite; the paths."""
+    writers = {"json": ("json", lambda r: json.dumps(r, indent=2, ensure_ascii=False, default=str)), "html": ("html", report_html), "text": ("txt", report_text)}
+    if odd := [f for f in formats if f not in writers]:
+        raise ConfigError(f"no report format {odd[0]!r}; known: {', '.join(writers)}")
+    os.makedirs(folder, exist_ok=True)
+    out = []
+    for f in formats:
+        end, write = writers[f]
+        out.append(os.path.join(folder, f"{rep['suite']}.{end}"))
+        with open(out[-1], "w", encoding="utf-8") as to:
+            to.write(write(rep))
+    return out
+
+
+def load_baseline(path: str) -> dict:
+    """The metrics of a report that was saved as JSON."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)["metrics"]
+
+
 def state_to_result(state: DataFrame) -> DataFrame:
     """Confidence brought to 0 to 1, a missing answer as empty text."""
     return state.withColumn("confidence", clamp(F.coalesce("confidence", F.lit(0.0)))).withColumn("answer", F.coalesce("answer", F.lit("")))

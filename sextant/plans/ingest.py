@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+import time
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sextant.errors import ConfigError
+from sextant.errors import ConfigError, IngestError
 from sextant.functions.text import CleanOptions, clean_frame
 from sextant.operators.chunking import chunk_fixed, chunk_sentences
 from sextant.operators.embedding import Provider
@@ -34,6 +38,54 @@ def counts(docs: DataFrame, made: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("documents_count")).join(made.agg(F.count(F.lit(1)).alias("chunks_count")), F.lit(True))
 
 
+def sound(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents that can be worked on, the others: source and error)."""
+    why = F.when(F.col("id").isNull(), "no id").when(F.col("content").isNull(), "no content")
+    name = F.coalesce("id", "source", F.lit("?"))
+    said = F.concat(F.lit("Failed to process document "), name, F.lit(": "), why)
+    return docs.filter(F.col("id").isNotNull() & F.col("content").isNotNull()), docs.filter(why.isNotNull()).select("source", said.alias("error"))
+
+
 def index(made: DataFrame, store: VectorStore, embed: Provider, collection: str = "default") -> None:
     """Embed chunks and upsert them by id: ids follow from the source, so a repeated run changes nothing."""
     store.add(made.withColumn("embedding", embed(F.col("content"))), collection)
+
+
+def run(docs: DataFrame, store: VectorStore, embed: Provider, collection: str = "default", failed: DataFrame | None = None, **how) -> tuple[dict, DataFrame]:
+    """(summary, errors) of an ingest: clean, chunk, embed, upsert in one job, counted as the rows pass.
+
+    summary: documents_count, chunks_count, errors_count, elapsed_seconds, documents_per_second.  failed: what
+    the source could not read (source, error); documents without id or content join it.  The work goes on
+    with the rest.  Counts are those of the job that wrote; a task that ran twice counts once.
+    """
+    good, bad = sound(docs)
+    errors = bad if failed is None else failed.select("source", "error").unionByName(bad)
+    seen, out = Observation(), Observation()
+    start = time.perf_counter()
+    made = chunks(good.observe(seen, F.count(F.lit(1)).alias("n")), **how).observe(out, F.count(F.lit(1)).alias("n"))
+    index(made, store, embed, collection)
+    took = time.perf_counter() - start
+    n = seen.get["n"]
+    return {"documents_count": n, "chunks_count": out.get["n"], "errors_count": errors.count(), "elapsed_seconds": round(took, 2), "documents_per_second": round(n / took, 2)}, errors
+
+
+def run_with_progress(docs: DataFrame, store: VectorStore, embed: Provider, collection: str = "default", failed: DataFrame | None = None, every: float = 1.0, **how) -> Iterator[dict]:
+    """run, as dictionaries: stages, tasks and tasks_done of what is running, at last the summary."""
+    spark = docs.sparkSession
+    tracker, done = spark.sparkContext.statusTracker(), []
+
+    def work() -> None:
+        try:
+            done.append(run(docs, store, embed, collection, failed, **how)[0])
+        except Exception as e:  # handed to the caller's thread below
+            done.append(e)
+
+    t = threading.Thread(target=work, daemon=True)
+    t.start()
+    while t.is_alive():
+        stages = [i for i in map(tracker.getStageInfo, tracker.getActiveStageIds()) if i]
+        yield {"stages": len(stages), "tasks": sum(i.numTasks for i in stages), "tasks_done": sum(i.numCompletedTasks for i in stages)}
+        t.join(every)
+    if isinstance(done[0], Exception):
+        raise IngestError(str(done[0])) from done[0]
+    yield done[0]

@@ -8,9 +8,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.errors import ConfigError
 from sextant.functions.classify import is_structural, question_class
 from sextant.functions.text import strip
-from sextant.functions.tokens import sentences
+from sextant.operators.answers import extractive
 from sextant.operators.embedding import Provider
 from sextant.operators.grounding import context_tokens, grounding
 from sextant.operators.search import citations, top_k
@@ -43,17 +44,42 @@ def prompt(question: Column, query_type: Column, passages: Column) -> Column:
     return F.when(none, fill(PROMPTS["refusal"])).when(query_type == "summarize", fill(PROMPTS["summarize"])).when(query_type == "synthesis", fill(PROMPTS["synthesis"])).otherwise(fill(PROMPTS[""]))
 
 
-def extractive(row_prompt: Column, passages: Column) -> Column:
-    """The default answer provider, without a model: the first two sentences of the best passage."""
-    return F.array_join(F.slice(sentences(F.coalesce(F.get(passages, F.lit(0)), F.lit(""))), 1, 2), " ")
-
-
 def decide(answer: Column, confidence: Column, count: Column, error: Column, max_retries: int = MAX_RETRIES, accept: float = ACCEPT) -> Column:
     """accept, refuse or retry, after ``count`` passes."""
     good = (strip(F.coalesce(answer, F.lit(""))) != "") & (confidence >= accept)
     return F.when(good, "accept").when(count > max_retries, "refuse").when(error.isNotNull(), "refuse").otherwise("retry")
 
 
+def blank(c: Column) -> Column:
+    """Null or nothing but white space."""
+    return strip(F.coalesce(c, F.lit(""))) == ""
+
+
+def problems(stage: str, question: Column, results: Column | None = None, answer: Column | None = None, confidence: Column | None = None, refusal_reason: Column | None = None, error: Column | None = None) -> Column:
+    """What a state lacks for a stage (retrieval, answer, grounding, complete): an array of sentences, empty if nothing.
+
+    results is null where no search was made; an empty array is a search that found nothing.
+    """
+    need = {"initial": 1, "retrieval": 1, "answer": 2, "grounding": 3, "complete": 0}
+    if stage not in need:
+        raise ConfigError(f"no stage {stage!r}; known: {', '.join(need)}")
+    none = F.lit(None).cast("string")
+    full = lambda c: ~blank(none if c is None else c)
+    #: The sentences.
+    said = [
+        F.when(~full(question), "question must be a non-empty string"),
+        F.when(F.lit(True) if results is None else results.isNull(), "search_results must be present before answer generation"),
+        F.when(~full(answer), "answer must be a non-empty string for grounding check"),
+    ][: need[stage]]
+    if stage == "complete":
+        sure = F.coalesce(F.lit(0.0) if confidence is None else confidence, F.lit(0.0))
+        said = [
+            F.when(~(full(answer) | full(refusal_reason) | full(error)), "completed state must have an answer, refusal_reason, or error"),
+            F.when(full(answer) & ~sure.between(0.0, 1.0), "confidence must be a float between 0.0 and 1.0"),
+        ]
+    return F.array_compact(F.array(*said))
+
+
 def refusal_message(question: Column, found: Column, confidence: Column, error: Column, count: Column) -> Column:
     """Why there is no answer, as the user reads it. The sentences."""
     structural = (

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from sextant.functions import text as T
 from sextant.functions.classify import question_class
 from sextant.functions.tokens import sentences, token_list
+from sextant.operators import answers as A
 from sextant.operators import embedding as E
 from sextant.operators import grounding as G
 from sextant.operators import search as S
 from sextant.operators.chunking import chunk_fixed, chunk_sentences, with_context
-from sextant.operators.store import flat_metadata, last_of_each, upserted
+from sextant.operators.store import flat_metadata, laid_over, last_of_each, upserted
 from sextant.plans import evaluate, ingest, workflow
-from sextant.sources import files
+from sextant.sources import files, pdf
 
 #: Lines that are appended to documents by doc_id, so that the rules have something to find.
 NOISE_LINES = (
@@ -103,6 +104,16 @@ def page_numbers(spark, d):
     return x.select("doc_id", chapter.alias("chapter"), n.alias("page"), files.page_label(chapter, n, F.col("source")).alias("label"), files.page_of_label(F.concat(F.lit(" "), F.col("doc_id").cast("string"))).alias("labelled"))
 
 
+def page_dataset(spark, d):
+    """Documents as pages of files of sixteen pages: some labelled, some blank, some with a number in their text."""
+    n, file = F.col("doc_id"), F.floor(F.col("doc_id") / 16)
+    x = table(spark, d, "documents").select(
+        F.concat(F.lit("f"), file.cast("string")).alias("source"), (n % 16).cast("int").alias("position"), F.when(n % 5 == 0, (n % 37 + 1).cast("string")).when(n % 5 == 1, "iv").alias("label"),
+        F.when(n % 7 == 0, " \n ").when(n % 11 == 3, F.concat("text", F.lit("\n"), (n % 900).cast("string"))).otherwise(F.col("text")).alias("text"), (file % 9).cast("int").alias("chapter"), F.when(file % 4 == 0, 10).alias("first_page"),
+    )
+    return pdf.number_pages(x).select("chapter", "page_number", "source", F.md5("text").alias("text_md5"))
+
+
 # Chunks
 
 
@@ -232,6 +243,16 @@ def get_by_ids(spark, d):
     return v.join(v.filter("label = 2").select("id"), "id", "left_semi")
 
 
+def store_changes(spark, d):
+    """Three changes over a base: new rows, removed ones, some of those again."""
+    v = table(spark, d, "embeddings").select(F.lit("c").alias("collection"), F.col("vec_id").alias("id"), "label")
+    change = lambda x, at, gone=False: x.withColumns({"_removed": F.lit(gone), "_v": F.lit(at)})
+    first = change(v.filter("label in (3, 4)").withColumn("label", F.col("label") + 100), 1)
+    second = change(v.filter("label = 5 or (label = 3 and id % 2 = 0)"), 2, True)
+    third = change(v.filter("label = 5 and id % 3 = 0").withColumn("label", F.lit(500).cast(v.schema["label"].dataType)), 3)
+    return laid_over(v.filter("label != 4"), first.unionByName(second).unionByName(third)).select("id", "label")
+
+
 def metadata_flat(spark, d):
     x = chunk_fixed(docs(spark, d), size=500, overlap=50, words=False)
     m = flat_metadata(F.col("metadata"), F.col("document_id"), F.col("start_idx"), F.col("end_idx"))
@@ -274,6 +295,20 @@ def prompt_build(spark, d):
     return _turns(spark, d).select("conv_id", "turn", F.md5(workflow.context_block(p)).alias("context"), F.length(workflow.prompt(F.col("question"), F.lit("factual"), p)).alias("chars"))
 
 
+def token_estimates(spark, d):
+    return table(spark, d, "documents").select("doc_id", A.tokens_by_length(F.col("text")).alias("by_length"), A.tokens_by_words(F.col("text")).alias("by_words"))
+
+
+def state_problems(spark, d):
+    """States with blank questions or answers, without results, with odd confidences."""
+    n = F.col("conv_id")
+    x = _turns(spark, d).select("conv_id", "turn", F.when(n % 5 == 0, " ").otherwise(F.col("question")).alias("q"), F.when(n % 7 == 0, "\n").otherwise(F.col("answer")).alias("a"), F.when(n % 3 != 0, F.array("question")).alias("r"))
+    x = x.withColumns({"why": F.when(n % 4 == 0, "none"), "sure": F.col("turn") * 0.3})
+    said = lambda stage, *rest: F.array_join(workflow.problems(stage, F.col("q"), *rest), "; ").alias(stage)
+    r, a, none = F.col("r"), F.col("a"), F.lit(None).cast("string")
+    return x.select("conv_id", "turn", said("initial"), said("retrieval"), said("answer", r), said("grounding", r, a), said("complete", r, a, F.col("sure"), F.col("why"), none))
+
+
 def _outcomes(spark, d):
     x = _turns(spark, d).withColumn("context", G.context_tokens(F.array("question")))
     x = x.withColumn("confidence", G.groundedness(F.col("answer"), F.col("context"), 0.05)).withColumn("count", (F.col("turn") % 4).cast("int"))
@@ -302,6 +337,14 @@ def eval_metrics(spark, d):
     return evaluate.metrics(_scored(spark, d))
 
 
+def eval_run(spark, d):
+    """The benchmark as a suite, asked of all documents and scored; latencies differ from run to run and stay out."""
+    e = E.provider()
+    v = docs(spark, d).select("id", "content", "source").withColumn("embedding", e(F.col("content")))
+    q = table(spark, d, "benchmark").select(F.concat(F.lit("What is said of "), F.col("text"), F.lit("?")).alias("question"), (F.col("item_id") % 2 == 0).alias("expected_refusal"))
+    return evaluate.run(q, v, e).drop("latency_ms", "passages", "question_id")
+
+
 def token_counts(spark, d):
     t = table(spark, d, "documents").select(F.explode(token_list(F.col("text"))).alias("token"))
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
@@ -319,9 +362,9 @@ def ask_benchmark(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        clean_html_pages, clean_unicode_docs, clean_boilerplate_docs, normalize_ws_docs, strip_urls_emails, clean_full, doc_ids, detect_type, front_matter, page_numbers,
+        clean_html_pages, clean_unicode_docs, clean_boilerplate_docs, normalize_ws_docs, strip_urls_emails, clean_full, doc_ids, detect_type, front_matter, page_numbers, page_dataset,
         chunk_fixed_closed, chunk_fixed_words, chunk_sentence, chunk_stats, chunk_context, ingest_counts, embed_hashing, cache_keys, cache_miss,
-        topk_cosine, topk_l2, topk_ip, topk_filtered, topk_threshold, search_passages, rerank_minmax, citations_formatted, citations_dedupe, store_upsert, store_delete, get_by_ids, metadata_flat,
-        classify_questions, grounding, groundedness, relevance, prompt_build, retry_decisions, refusal_messages, refusal_accuracy, eval_metrics, token_counts, ask_benchmark,
+        topk_cosine, topk_l2, topk_ip, topk_filtered, topk_threshold, search_passages, rerank_minmax, citations_formatted, citations_dedupe, store_upsert, store_delete, get_by_ids, store_changes, metadata_flat,
+        classify_questions, grounding, groundedness, relevance, prompt_build, retry_decisions, refusal_messages, refusal_accuracy, eval_metrics, token_counts, token_estimates, state_problems, ask_benchmark, eval_run,
     )
 }

@@ -199,3 +199,22 @@ SELECT count(*) AS total_questions, count(*) FILTER (answered) AS answered, coun
 coalesce(round(avg(CAST((conv_id % 2 = 0) = (confidence < 0.5) AS DOUBLE)) FILTER (error IS NULL), 4), 0) AS refusal_accuracy, coalesce(round(avg(round(turn * 7.0, 2)), 2), 0) AS avg_latency_ms FROM g""",
     "token_counts": f"SELECT token, count(*) AS times FROM (SELECT unnest({tokens('text')}) AS token FROM documents) GROUP BY token",
 }
+
+# The same recursion over texts that are cleaned first.
+ORACLES["ingest_counts"] = "SELECT (SELECT count(*) FROM documents) AS documents_count, count(*) AS chunks_count FROM (" + ORACLES["chunk_fixed_words"].replace(
+    "d AS (SELECT doc_id, text, length(text) AS n FROM documents)", f"""h AS (SELECT doc_id, {unicode_(html('text'))} AS t FROM documents), g AS (SELECT doc_id, {boilerplate('t')} AS t FROM h),
+p AS (SELECT doc_id, {paragraphs('t')} AS text FROM g), d AS MATERIALIZED (SELECT doc_id, text, length(text) AS n FROM p)"""
+) + ")"
+ORACLES["page_dataset"] = rf"""WITH x AS (SELECT 'f' || doc_id // 16 AS source, doc_id % 16 AS position, CASE doc_id % 5 WHEN 0 THEN CAST(doc_id % 37 + 1 AS VARCHAR) WHEN 1 THEN 'iv' END AS label,
+  {strip("CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 3 THEN text || chr(10) || doc_id % 900 ELSE text END")} AS text, CAST(doc_id // 16 % 9 AS INT) AS chapter, CASE WHEN doc_id // 16 % 4 = 0 THEN 10 END AS first_page FROM documents),
+l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda y: {strip("y")}), lambda y: y != '') AS lines FROM x),
+f AS (SELECT *, CASE WHEN text != '' AND first_page IS NULL THEN coalesce(try_cast(label AS INT), try_cast(list_filter(list_concat(lines[1:3], lines[greatest(len(lines) - 2, 1):]), lambda y: regexp_full_match(y, '[0-9]{{1,4}}') AND coalesce(try_cast(y AS INT), 0) > 0)[1] AS INT)) END AS found FROM l)
+SELECT chapter, CAST(position + CASE WHEN first_page IS NOT NULL THEN first_page ELSE coalesce((SELECT arg_max(b.found - b.position, b.position) FROM f b WHERE b.source = f.source AND b.position <= f.position AND b.found IS NOT NULL), 1) END AS INT) AS page_number, source, md5(text) AS text_md5 FROM f WHERE text != ''"""
+ORACLES["store_changes"] = """SELECT vec_id AS id, label FROM embeddings WHERE label NOT IN (3, 4, 5) UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE label = 4 OR (label = 3 AND vec_id % 2 != 0)
+UNION ALL SELECT vec_id, 500 FROM embeddings WHERE label = 5 AND vec_id % 3 = 0"""
+ORACLES["token_estimates"] = f"""SELECT doc_id, CAST(CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END AS INT) AS by_length,
+CAST(floor(CASE WHEN {strip("text")} = '' THEN 0 ELSE len(regexp_split_to_array({strip("text")}, '\\s+')) END * CAST(1.3 AS DOUBLE)) AS INT) AS by_words FROM documents"""
+_NO_QUESTION, _NO_RESULTS, _NO_ANSWER = "'question must be a non-empty string'", "'search_results must be present before answer generation'", "'answer must be a non-empty string for grounding check'"
+ORACLES["state_problems"] = f"""WITH {TURNS}, s AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 OR {strip("question")} = '' THEN {_NO_QUESTION} END AS q, CASE WHEN conv_id % 3 = 0 THEN {_NO_RESULTS} END AS r, conv_id % 7 = 0 OR {strip("answer")} = '' AS bare FROM t)
+SELECT conv_id, turn, coalesce(q, '') AS initial, coalesce(q, '') AS retrieval, concat_ws('; ', q, r) AS answer, concat_ws('; ', q, r, CASE WHEN bare THEN {_NO_ANSWER} END) AS grounding,
+CASE WHEN bare AND conv_id % 4 != 0 THEN 'completed state must have an answer, refusal_reason, or error' WHEN NOT bare AND turn * 0.3 > 1 THEN 'confidence must be a float between 0.0 and 1.0' ELSE '' END AS complete FROM s"""

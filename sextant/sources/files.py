@@ -58,36 +58,66 @@ def front_matter(content: Column) -> Column:
 
 
 def _pdf_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Text of PDF bytes, pages joined by an empty line; needs pypdf on the executors."""
+    """Text of PDF bytes, pages joined by an empty line, or the error of a file that cannot be read; needs pypdf."""
     import io
 
     import pypdf
 
     for b in batches:
-        text = []
+        text, error = [], []
         for raw in b["content"]:
-            pages = [(p.extract_text() or "") for p in pypdf.PdfReader(io.BytesIO(raw)).pages]
-            text.append("\n\n".join(p for p in pages if p.strip()))
-        yield b.drop(columns="content").assign(content=text)
-
-
-def read_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = SCANNED) -> DataFrame:
-    """Documents of all files below a folder, by their relative path; a text that is not UTF-8 is read as Latin-1."""
+            try:
+                pages = [(p.extract_text() or "") for p in pypdf.PdfReader(io.BytesIO(raw)).pages]
+                text.append("\n\n".join(p for p in pages if p.strip()))
+                error.append(None)
+            except Exception as e:  # one file must not end the job: its error is in its row
+                text.append(None)
+                error.append(str(e) or type(e).__name__)
+        yield b.drop(columns="content").assign(content=text, error=error)
+
+
+def _files(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFrame:
+    """The files below a folder that have one of the extensions, contents as bytes (not read unless used)."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not any(c in path for c in "*?[{") and not (fs.exists(at) and fs.getFileStatus(at).isDirectory()):
+        raise SourceError(f"{path} is no folder")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = path if "://" in path else f"file:{path}"
     rel = F.regexp_replace(F.col("path"), r"^.*?\Q" + root.split("://")[-1].removeprefix("file:").rstrip("/") + r"\E/", "")
     raw = raw.select(rel.alias("source"), F.col("path").alias("absolute_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), "content")
-    ext = F.lower(F.regexp_extract("source", r"(\.[^./\\]+)$", 1))
-    raw = raw.filter(ext.isin(*extensions))
-    pdf = raw.filter(ext == ".pdf")
-    text = raw.filter(ext != ".pdf").withColumn("content", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")))
-    if not pdf.isEmpty():
+    return raw.withColumn("_ext", F.lower(F.regexp_extract("source", r"(\.[^./\\]+)$", 1))).filter(F.col("_ext").isin(*extensions))
+
+
+def list_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = SCANNED) -> DataFrame:
+    """source, absolute_path, file_size and modified of the files that read_folder reads, sorted by source; no content is read."""
+    return _files(spark, path, extensions).drop("content", "_ext").orderBy("source")
+
+
+def load_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = SCANNED) -> tuple[DataFrame, DataFrame]:
+    """(documents, failures: source and error) of all files below a folder, by their relative path.
+
+    A text that is not UTF-8 is read as Latin-1.  A file that cannot be read is a failure and ends nothing.
+    """
+    raw = _files(spark, path, extensions)
+    pdf = raw.filter("_ext = '.pdf'").drop("_ext")
+    none = F.lit(None).cast("string")
+    text = raw.filter("_ext != '.pdf'").drop("_ext").withColumn("content", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))).withColumn("error", none)
+    if ".pdf" in extensions and not pdf.select("source").isEmpty():
         try:
             import pypdf  # noqa: F401
-        except ImportError as e:
-            raise SourceError("PDF files need pypdf") from e
-        text = text.unionByName(pdf.mapInPandas(_pdf_text, "source string, absolute_path string, file_size long, modified timestamp, content string"))
-    return as_documents(text)
+
+            read = pdf.mapInPandas(_pdf_text, "source string, absolute_path string, file_size long, modified timestamp, content string, error string")
+        except ImportError:
+            read = pdf.withColumn("content", none).withColumn("error", F.lit("PDF files need pypdf"))
+        text = text.unionByName(read)
+    return as_documents(text.filter("error is null").drop("error")), text.filter("error is not null").select("source", "error")
+
+
+def read_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = SCANNED) -> DataFrame:
+    """Documents of all files below a folder; those that cannot be read are left out, and load_folder names them."""
+    return load_folder(spark, path, extensions)[0]
 
 
 def as_documents(rows: DataFrame) -> DataFrame:
@@ -147,6 +177,10 @@ def register(name: str, reader: Reader) -> None:
     _readers[name] = reader
 
 
+def unregister(name: str) -> None:
+    _readers.pop(name, None)
+
+
 def registered() -> list[str]:
     return sorted(_readers)
 
@@ -162,5 +196,11 @@ def _web(spark: SparkSession, *args, **options) -> DataFrame:
     raise NotImplementedError("nothing is fetched from the web; read saved pages with 'local' or a pages table")
 
 
-for _name, _reader in (("local", read_folder), ("json_pages", read_pages), ("s3", read_folder), ("web", _web)):
-    register(_name, _reader)
+def reset() -> None:
+    """The sources that the library brings, and no others."""
+    _readers.clear()
+    for name, reader in (("local", read_folder), ("json_pages", read_pages), ("s3", read_folder), ("web", _web)):
+        register(name, reader)
+
+
+reset()
