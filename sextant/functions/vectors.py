@@ -22,6 +22,6 @@ def normalize(v: Column) -> Column:
 
 
 def score_of_distance(d: Column, metric: str) -> Column:
-    """A score in [0, 1]: cosine 1-d, l2 1/(1+d) (d squared), ip -d, otherwise 1-d."""
-    s = {"cosine": 1 - d, "l2": 1 / (1 + d), "ip": -d}.get(metric, F.greatest(F.lit(0.0), 1 - d))
+    """A score in [0, 1]: cosine 1-d, l2 1/(1+d) (d squared, negative ones count as 0), ip -d, otherwise 1-d."""
+    s = {"cosine": 1 - d, "l2": 1 / (1 + F.greatest(d, F.lit(0.0))), "ip": -d}.get(metric, F.greatest(F.lit(0.0), 1 - d))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))

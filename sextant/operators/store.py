@@ -39,6 +39,11 @@ def upserted(old: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
     return old.join(new.select(id_col), id_col, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows that have one of the ids of a frame (column id)."""
+    return rows.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def laid_over(base: DataFrame, changes: DataFrame) -> DataFrame:
     """base with changes: rows of its columns, _removed and _v; of each collection and id the highest _v counts.
 
@@ -132,14 +137,14 @@ class VectorStore:
 
     def delete(self, ids: DataFrame, collection: str = "default") -> int:
         """Remove rows by the ids of a frame (column id); how many there were."""
-        gone = self.read(collection).join(ids.select("id").distinct(), "id", "left_semi").select("id")
+        gone = among(self.read(collection), ids).select("id")
         n = gone.count()
         if n:
             self._change(self._shaped(gone, collection, True))
         return n
 
     def get(self, ids: DataFrame, collection: str = "default") -> DataFrame:
-        return self.read(collection).join(ids.select("id").distinct(), "id", "left_semi")
+        return among(self.read(collection), ids)
 
     def count(self, collection: str = "default") -> int:
         return self.read(collection).count()

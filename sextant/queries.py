@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
+from sextant.functions import vectors as V
 from sextant.functions.classify import question_class
 from sextant.functions.tokens import sentences, token_list
 from sextant.operators import answers as A
@@ -16,7 +18,7 @@ from sextant.operators import embedding as E
 from sextant.operators import grounding as G
 from sextant.operators import search as S
 from sextant.operators.chunking import chunk_fixed, chunk_sentences, with_context
-from sextant.operators.store import flat_metadata, laid_over, last_of_each, upserted
+from sextant.operators.store import among, flat_metadata, laid_over, last_of_each, upserted
 from sextant.plans import evaluate, ingest, workflow
 from sextant.sources import files, pdf
 
@@ -224,6 +226,16 @@ def citations_dedupe(spark, d):
     return S.citations(twice.unionByName(again)).select("question_id", "rank", "chunk_id", "source")
 
 
+def normalized_vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.transform(V.normalize(F.col("embedding")), lambda x: F.round(x.cast("double"), 5)).alias("unit"), F.round(V.norm(F.col("embedding")), 5).alias("length"))
+
+
+def distance_scores(spark, d):
+    """Scores of distances below, in and beyond their range."""
+    x = table(spark, d, "embeddings").select("vec_id", ((F.col("vec_id") % 41 - 10) / 10.0).alias("distance"))
+    return x.select("vec_id", *[F.round(V.score_of_distance(F.col("distance"), m), 9).alias(m) for m in ("cosine", "l2", "ip", "other")])
+
+
 # Store
 
 
@@ -235,12 +247,13 @@ def store_upsert(spark, d):
 
 def store_delete(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return v.join(v.filter("label >= 7").select("id"), "id", "left_anti")
+    gone = v.filter("label >= 7").withColumns({"collection": F.lit("c"), "_removed": F.lit(True), "_v": F.lit(1)})
+    return laid_over(v.withColumn("collection", F.lit("c")), gone).select("id", "label")
 
 
 def get_by_ids(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return v.join(v.filter("label = 2").select("id"), "id", "left_semi")
+    return among(v, v.filter("label = 2"))
 
 
 def store_changes(spark, d):
@@ -345,6 +358,31 @@ def eval_run(spark, d):
     return evaluate.run(q, v, e).drop("latency_ms", "passages", "question_id")
 
 
+def eval_delta(spark, d):
+    """Metrics of all answers beside those of every second conversation's."""
+    x = _scored(spark, d)
+    return evaluate.delta(evaluate.metrics(x), evaluate.metrics(x.filter("conv_id % 2 = 0")))
+
+
+def suite_checks(spark, d):
+    """The benchmark as a suite of questions, some of which contradict themselves, by what each check says of them."""
+    n = F.col("item_id")
+    q = table(spark, d, "benchmark").select(
+        F.col("item_id"), F.col("text").alias("question"), F.when(n % 3 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("expected_answer_contains"), F.when(n % 5 != 4, n % 2 == 0).alias("expected_refusal"),
+        F.array(F.when(n % 4 == 0, "law").otherwise("other")).alias("tags"), picked(("easy", "medium", "hard", "odd"), n).alias("difficulty"),
+    )
+    one = lambda rows, name, said=None: rows.select("item_id", F.lit(name).alias("check"), (F.lit("") if said is None else F.col(said)).alias("said"))
+    parts = [one(evaluate.invalid(q), "invalid", "problem"), one(evaluate.by_tag(q, "law"), "tag"), one(evaluate.by_difficulty(q, "hard"), "difficulty"), one(evaluate.refusals(q), "refusal"), one(evaluate.answerable(q), "answerable")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def prompt_classes(spark, d):
+    """Prompts of every class of question, with passages and without."""
+    kind = picked(("factual", "summarize", "synthesis", "unsupported"), F.col("conv_id"))
+    p = F.when(F.col("turn") % 4 != 1, F.array("answer", "question")).otherwise(F.array().cast("array<string>"))
+    return _turns(spark, d).select("conv_id", "turn", F.md5(workflow.prompt(F.col("question"), kind, p)).alias("prompt"))
+
+
 def token_counts(spark, d):
     t = table(spark, d, "documents").select(F.explode(token_list(F.col("text"))).alias("token"))
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
@@ -364,7 +402,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         clean_html_pages, clean_unicode_docs, clean_boilerplate_docs, normalize_ws_docs, strip_urls_emails, clean_full, doc_ids, detect_type, front_matter, page_numbers, page_dataset,
         chunk_fixed_closed, chunk_fixed_words, chunk_sentence, chunk_stats, chunk_context, ingest_counts, embed_hashing, cache_keys, cache_miss,
-        topk_cosine, topk_l2, topk_ip, topk_filtered, topk_threshold, search_passages, rerank_minmax, citations_formatted, citations_dedupe, store_upsert, store_delete, get_by_ids, store_changes, metadata_flat,
-        classify_questions, grounding, groundedness, relevance, prompt_build, retry_decisions, refusal_messages, refusal_accuracy, eval_metrics, token_counts, token_estimates, state_problems, ask_benchmark, eval_run,
+        topk_cosine, topk_l2, topk_ip, topk_filtered, topk_threshold, normalized_vectors, distance_scores, search_passages, rerank_minmax, citations_formatted, citations_dedupe, store_upsert, store_delete, get_by_ids, store_changes, metadata_flat,
+        classify_questions, grounding, groundedness, relevance, prompt_build, retry_decisions, refusal_messages, refusal_accuracy, eval_metrics, eval_delta, suite_checks, prompt_classes, token_counts, token_estimates, state_problems, ask_benchmark, eval_run,
     )
 }

@@ -218,3 +218,23 @@ _NO_QUESTION, _NO_RESULTS, _NO_ANSWER = "'question must be a non-empty string'",
 ORACLES["state_problems"] = f"""WITH {TURNS}, s AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 OR {strip("question")} = '' THEN {_NO_QUESTION} END AS q, CASE WHEN conv_id % 3 = 0 THEN {_NO_RESULTS} END AS r, conv_id % 7 = 0 OR {strip("answer")} = '' AS bare FROM t)
 SELECT conv_id, turn, coalesce(q, '') AS initial, coalesce(q, '') AS retrieval, concat_ws('; ', q, r) AS answer, concat_ws('; ', q, r, CASE WHEN bare THEN {_NO_ANSWER} END) AS grounding,
 CASE WHEN bare AND conv_id % 4 != 0 THEN 'completed state must have an answer, refusal_reason, or error' WHEN NOT bare AND turn * 0.3 > 1 THEN 'confidence must be a float between 0.0 and 1.0' ELSE '' END AS complete FROM s"""
+ORACLES["normalized_vectors"] = """WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM embeddings)
+SELECT vec_id, list_transform(embedding, lambda x: round(CAST(CAST(x::DOUBLE / CASE WHEN l > 0 THEN l ELSE 1 END AS FLOAT) AS DOUBLE), 5) + 0.0) AS unit, round(l, 5) AS length FROM n"""
+ORACLES["distance_scores"] = """WITH x AS (SELECT vec_id, (vec_id % 41 - 10) / 10.0::DOUBLE AS d FROM embeddings)
+SELECT vec_id, round(greatest(0, least(1, 1 - d)), 9) AS cosine, round(greatest(0, least(1, 1 / (1 + greatest(d, 0)))), 9) AS l2, round(greatest(0, least(1, -d)), 9) AS ip, round(greatest(0, least(1, 1 - d)), 9) AS other FROM x"""
+_PARTS = ("avg_groundedness", "avg_relevance", "refusal_accuracy")
+_HALF = ORACLES["eval_metrics"].replace("AS avg_latency_ms FROM g", "AS avg_latency_ms FROM g WHERE conv_id % 2 = 0")
+ORACLES["eval_delta"] = f"WITH a AS ({ORACLES['eval_metrics']}), b AS ({_HALF})" + " UNION ALL ".join(
+    f" SELECT '{m}' AS metric, a.{m} AS now, b.{m} AS base, CASE WHEN abs(a.{m} - b.{m}) < 0.0001 THEN '(=)' ELSE format('({{:+.4f}})', a.{m} - b.{m}) END AS change FROM a, b" for m in _PARTS
+)
+ORACLES["suite_checks"] = """WITH c AS (SELECT item_id, CASE WHEN item_id % 4 = 3 THEN 'difficulty is easy, medium or hard' WHEN item_id % 5 != 4 AND item_id % 2 = 0 AND item_id % 3 = 0 THEN 'an expected refusal expects no text' END AS problem, item_id % 5 != 4 AND item_id % 2 = 0 AS refused FROM benchmark)
+SELECT item_id, 'invalid' AS "check", problem AS said FROM c WHERE problem IS NOT NULL UNION ALL SELECT item_id, 'tag', '' FROM c WHERE item_id % 4 = 0 UNION ALL SELECT item_id, 'difficulty', '' FROM c WHERE item_id % 4 = 2
+UNION ALL SELECT item_id, 'refusal', '' FROM c WHERE refused UNION ALL SELECT item_id, 'answerable', '' FROM c WHERE NOT refused"""
+_P = {
+    1: ("Summarise what these passages say, in short and with the key points listed.\n\nPassages:\n", "\n\nWhat to summarise: ", "\n\nSummary:"),
+    2: ("Use these passages as the main source. Connections and proposals are welcome as long as the passages bear them out.\n\nPassages:\n", "\n\nTask: ", "\n\nResponse:"),
+    0: ("Answer from these passages alone and say so if they do not hold the answer.\n\nPassages:\n", "\n\nQuestion: ", "\n\nAnswer:"),
+}
+_FILLED = {k: f"{q(a)} || '[1] ' || answer || chr(10) || chr(10) || '[2] ' || question || {q(b)} || question || {q(c)}" for k, (a, b, c) in _P.items()}
+_DECLINED = f"{q('Nothing was found that answers this question. Decline politely.' + chr(10) * 2 + 'Question: ')} || question || {q(chr(10) * 2 + 'Reply:')}"
+ORACLES["prompt_classes"] = f"WITH {TURNS} SELECT conv_id, turn, md5(CASE WHEN turn % 4 = 1 THEN {_DECLINED} WHEN conv_id % 4 = 1 THEN {_FILLED[1]} WHEN conv_id % 4 = 2 THEN {_FILLED[2]} ELSE {_FILLED[0]} END) AS prompt FROM t"
