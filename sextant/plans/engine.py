@@ -27,7 +27,12 @@ class Engine:
     def ingest(self, path: str) -> tuple[dict, DataFrame]:
         """(summary, errors) of reading, cleaning, chunking, embedding and storing what is at the path."""
         o = self.settings["ingestion"]
-        docs, failed = files.load_folder(self.spark, path) if o["connector"] in ("local", "s3") else (files.read(o["connector"], self.spark, path), None)
+        if o["connector"] in ("local", "s3"):
+            docs, failed = files.load_folder(self.spark, path)
+        elif o["connector"] == "json_pages":
+            docs, failed = files.load_pages(self.spark, path)
+        else:
+            docs, failed = files.read(o["connector"], self.spark, path), None
         return ingest.run(docs, self.store, self.embed, self.settings["store"]["collection"], failed, chunker=o["chunker"], size=o["chunk_size"], overlap=o["overlap"])
 
     def _vectors(self) -> DataFrame:

@@ -139,15 +139,26 @@ def page_label(chapter: Column, page: Column, source: Column) -> Column:
     return F.when(chapter.isNotNull() & page.isNotNull(), F.format_string("Chapter %s, p. %s", chapter.cast("string"), page.cast("string"))).when(page.isNotNull(), F.format_string("p. %s", page.cast("string"))).otherwise(F.coalesce(F.nullif(source, F.lit("")), F.lit("unknown")))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a JSON array of pages (chapter, page_number, source, text); pages without text are skipped."""
-    rows = spark.read.schema(PAGE).option("multiLine", True).json(path)
-    rows = rows.filter(strip(F.col("text")) != "")
+def load_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, failures: source and error) of files that hold a JSON array of pages (chapter, page_number, source, text).
+
+    Pages without text are skipped; a field of another type is null; a file that is no JSON is a failure and
+    ends nothing.
+    """
+    rows = spark.read.schema(f"{PAGE}, _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
+    rows = rows.withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0))
+    good = rows.filter(strip(F.col("text")) != "")
     ident = F.concat_ws("::", "source", F.lit("page"), F.col("page_number").cast("string"))
-    return rows.select(
+    docs = good.select(
         document_id(ident).alias("id"), F.col("text").alias("content"), page_label(F.col("chapter"), F.col("page_number"), F.col("source")).alias("source"), F.lit("txt").alias("document_type"),
         F.map_filter(F.create_map(F.lit("chapter"), F.col("chapter").cast("string"), F.lit("page_number"), F.col("page_number").cast("string"), F.lit("file"), F.col("source")), lambda k, v: v.isNotNull()).alias("metadata"),
     )
+    return docs, rows.filter(F.col("_broken").isNotNull() & F.col("text").isNull()).select(F.col("_file").alias("source"), F.lit("not a JSON array of pages").alias("error"))
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of page files; those that cannot be read are left out, and load_pages names them."""
+    return load_pages(spark, path)[0]
 
 
 def chapter_of(stem: Column) -> Column:

@@ -75,6 +75,14 @@ def test_bad_files_end_nothing(spark, tmp_path):
     assert "mine" not in files.registered()
 
 
+def test_page_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"chapter": 1, "page_number": 2, "source": "a.pdf", "text": "words"}, {"chapter": 1, "page_number": 3, "source": "a.pdf", "text": " "}]))
+    (tmp_path / "b.json").write_text("[{no json")
+    docs, failed = files.load_pages(spark, str(tmp_path))
+    assert [(r.content, r.source) for r in docs.collect()] == [("words", "Chapter 1, p. 2")]
+    assert [r.source for r in failed.collect()] == ["b.json"] and files.read("json_pages", spark, str(tmp_path)).count() == 1
+
+
 def test_store_folds_changes(spark, tmp_path):
     s = store.open_store("parquet", spark, f"file://{tmp_path}/s", dimension=1, most=3)
     rows = lambda *x: spark.createDataFrame(x, "id string, embedding array<float>, content string")
