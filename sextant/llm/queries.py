@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import chat, covertree, jaccard, licenses, linededup, mixing, packing, quality, secrets, toxicity
+from sextant.llm import chat, covertree, fim, jaccard, licenses, linededup, mixing, packing, pii, quality, secrets, toxicity, whitening
 from sextant.llm.queries_sql import ORACLES
 
 
@@ -60,6 +60,19 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return d.withColumn("restored_sha256", fim.restored_sha256(F.col("output"), F.col("form"))).drop("output")
+
+
+def op12_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(_table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_quality_rules": op2_quality_rules,
@@ -71,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_cover_tree_topk": op9_cover_tree_topk,
     "op10_compression_toxicity": op10_compression_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_pii_anchors": op12_pii_anchors,
+    "op13_whitening": op13_whitening,
 }
 
 

@@ -133,4 +133,49 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 """
 
 
-ORACLES: dict[str, str] = {"op1_pareto_mix": OP1, "op2_quality_rules": _op2(), "op3_token_groups": OP3, "op4_secret_owners": _op4(), "op5_segment_lines": OP5, "op6_chat_format": OP6, "op9_cover_tree_topk": OP9}
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, list_transform(range(4), lambda i: CAST('0x' || h[i * 8 + 1:i * 8 + 8] AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form != 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def _op12() -> str:
+    """Every kind as a pattern whose last group is the value; rest: characters of the match after the value."""
+    between, user = r"[ \t]*[:#=]?[ \t]*", r"[A-Za-z0-9._~%!$&()*+,;='-]"
+    digits = r"regexp_extract_all(v, '[0-9]')"
+    luhn = f"list_sum(list_transform(list_reverse({digits}), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) WHEN CAST(x AS INT) > 4 THEN 2 * CAST(x AS INT) - 9 ELSE 2 * CAST(x AS INT) END)) % 10 = 0"
+    plain = "replace(v, ' ', '')"
+    number = f"list_reduce(list_concat([0], list_transform(string_split({plain}[5:] || {plain}[1:4], ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN ascii(x) - 48 ELSE ascii(x) - 55 END)), lambda r, x: (r * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97)"
+    kinds = (
+        ("email", r"()([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", 0, "true"),
+        ("ip", r"()([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)", 0, "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS INT), 0) > 255)) = 0"),
+        ("card", r"()([0-9](?:[\x20-]?[0-9])+)", 0, f"len({digits}) BETWEEN 14 AND 19 AND {luhn}"),
+        ("phone", r"()(\+[0-9][\x20().0-9-]+[0-9])", 0, f"len({digits}) BETWEEN 10 AND 15"),
+        ("login", rf"((?i:https?|s?ftp|ssh|imap|smtp)://)({user}+:(?:{user}|:)+)@[A-Za-z0-9]", 2, "true"),
+        ("iban", rf"(\b(?i:iban)\b{between})([A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?)\b", 0, f"{number} = 1"),
+        ("ssn", rf"(\b(?i:ssn\b|social security number\b|social security no\.){between})([0-9]{{3}}[- ][0-9]{{2}}[- ][0-9]{{4}})\b", 0, "v[1:3] NOT IN ('000', '666') AND v[1:1] != '9' AND v[5:6] != '00' AND v[8:] != '0000'"),
+        ("account", rf"(\b(?i:account number\b|account no\b\.?|acct no\b\.?|acct\.){between})([0-9]+(?:-[0-9]+)*)\b", 0, f"len({digits}) BETWEEN 6 AND 17"),
+        ("passport", rf"(\b(?i:passport\b(?: number\b| no\b\.?)?){between})([A-Z]{{0,2}}[0-9]{{4,9}})\b", 0, "length(v) BETWEEN 6 AND 9"),
+    )
+    q = lambda p: p.replace("'", "''")
+    total = "list_sum(list_transform({}, lambda x: length(x)))"
+    found = " UNION ALL ".join(
+        f"""
+  SELECT rid, {no} AS no, '{kind}' AS kind, x.a + length(x.m) - {rest} - length(x.v) AS a, x.a + length(x.m) - {rest} AS b FROM (SELECT rid, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'a': CAST({total.format("g[1:i]")} + coalesce({total.format("m[1:i - 1]")}, 0) AS BIGINT), 'm': m[i], 'v': v[i]}})) AS x
+    FROM (SELECT rid, string_split_regex(t, '{q(p)}') AS g, regexp_extract_all(t, '{q(p)}', 0) AS m, regexp_extract_all(t, '{q(p)}', 2) AS v FROM d WHERE regexp_matches(t, '{q(p)}'))), (SELECT x.v AS v) WHERE {sound}"""
+        for no, (kind, p, rest, sound) in enumerate(kinds)
+    )
+    said = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, no, b)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+r AS (SELECT rid, {" ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}," for k in ("email", "ip", "card", "phone"))} {said} FILTER (no < 4) AS base, {said} AS spans FROM f GROUP BY rid)
+SELECT doc_id, {" ".join(f"coalesce(n_{k}, 0) AS n_{k}," for k in ("email", "ip", "card", "phone"))} sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (rid)
+"""
+
+
+ORACLES: dict[str, str] = {"op1_pareto_mix": OP1, "op2_quality_rules": _op2(), "op3_token_groups": OP3, "op4_secret_owners": _op4(), "op5_segment_lines": OP5, "op6_chat_format": OP6, "op9_cover_tree_topk": OP9, "op11_fill_in_middle": OP11, "op12_pii_anchors": _op12()}
