@@ -17,6 +17,10 @@ class ProviderError(EngineError):
     """A model provider is unknown or not installed."""
 
 
+class Refused(ProviderError):
+    """A service will not do this, however often it is asked."""
+
+
 class ConfigError(EngineError):
     """A setting is not allowed."""
 

@@ -37,8 +37,16 @@ def extractive(prompt: Column, passages: Column, n: int = 2) -> Column:
     return F.array_join(F.slice(sentences(F.coalesce(F.get(passages, F.lit(0)), F.lit(""))), 1, n), " ")
 
 
+#: A provider that repeats itself need not be asked again.
+extractive.repeats = True
+
+
 def _extractive(n: int = 2) -> Answers:
-    return lambda prompt, passages: extractive(prompt, passages, n)
+    def answer(prompt: Column, passages: Column) -> Column:
+        return extractive(prompt, passages, n)
+
+    answer.repeats = True
+    return answer
 
 
 register("extractive", _extractive)

@@ -7,12 +7,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sextant.errors import ProviderError
 from sextant.functions.text import strip
 from sextant.operators import remote
+from sextant.tables import Runs, written
 
 Provider = Callable[[Column], Column]
 _providers: dict[str, Callable[..., Provider]] = {}
@@ -83,24 +85,70 @@ def cache_key(text: Column, model: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{model}:"), text), 256)
 
 
-def cached_embed(rows: DataFrame, cache: DataFrame, embed: Provider, model: str, text: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(rows with embedding, new cache rows): only distinct texts that the cache lacks are embedded.
+class EmbeddingCache:
+    """Vectors by key (model and text) in a table that grows by runs; a large run is never moved to look keys up.
 
-    Both come from one lineage: write the new rows to the cache and call again before the rows are used, or the misses are
-    embedded twice.
+    An entry without a vector, with nulls in it, or with another number of components than it says is corrupt and
+    counts as missing; the entry that is made anew takes its place.
     """
-    keyed = rows.withColumn("_key", cache_key(F.col(text), model))
-    known = cache.filter(F.col("model") == model).select(F.col("key").alias("_key"), "vector")
-    new = keyed.join(known, "_key", "left_anti").dropDuplicates(["_key"]).filter(F.col(text).isNotNull())
-    new = new.select(F.col("_key").alias("key"), F.lit(model).alias("model"), embed(F.col(text)).alias("vector")).withColumn("dimension", F.size("vector"))
-    every = known.unionByName(new.select(F.col("key").alias("_key"), "vector"))
-    return keyed.join(every, "_key", "left").withColumnRenamed("vector", "embedding").drop("_key"), new
 
-
-def cache_stats(cache: DataFrame) -> DataFrame:
-    return cache.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("dimension"), F.lit(0)).alias("numbers"))
-
-
-def cache_cleared(cache: DataFrame, model: str | None = None) -> DataFrame:
-    """What is left of a cache without a model's entries, or without any."""
-    return cache.limit(0) if model is None else cache.filter(F.col("model") != model)
+    def __init__(self, spark: SparkSession, path: str, model: str, buckets: int = 8, bucket_bytes: int = 128 << 20):
+        self.model = model
+        self.runs = Runs(spark, path, "key", StructType.fromDDL("key string, model string, vector array<float>, dimension int"), buckets, bucket_bytes)
+
+    @staticmethod
+    def _sound(vector: str = "vector", dimension: str = "dimension") -> Column:
+        v = F.col(vector)
+        return v.isNotNull() & (F.size(v) > 0) & (F.size(v) == F.col(dimension)) & F.forall(v, lambda x: x.isNotNull())
+
+    def entries(self) -> DataFrame:
+        """key, model, vector, dimension of the sound entries."""
+        return self.runs.read().filter(self._sound())
+
+    def add(self, entries: DataFrame) -> None:
+        """Entries by key, each key once."""
+        self.runs.append(entries.withColumn("_removed", F.lit(False)))
+
+    def contains(self, rows: DataFrame, text: str = "content") -> DataFrame:
+        """(key, text, known) of the distinct texts of rows."""
+        return self.looked_up(rows, text).select("key", "text", F.col("vector").isNotNull().alias("known"))
+
+    def looked_up(self, rows: DataFrame, text: str = "content") -> DataFrame:
+        """(key, text, vector) of the distinct texts of rows, vector null where the cache has none.
+
+        The texts are dealt out as the largest run's buckets are, so that one stays where it is.
+        """
+        asked = rows.filter(F.col(text).isNotNull()).select(cache_key(F.col(text), self.model).alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+        runs = self.runs.current()
+        if not runs:
+            return asked.withColumn("vector", F.lit(None).cast("array<float>"))
+        found = asked.repartition(max(r[2] for r in runs), "key")
+        names = []
+        for i, r in enumerate(reversed(runs)):  # the newest first
+            names.append(f"_v{i}")
+            mine = self.runs.table(r).select("key", F.when(~F.col("_removed") & self._sound(), F.col("vector")).alias(names[-1]))
+            found = found.join(mine, "key", "left")
+        return found.select("key", "text", F.coalesce(*names).alias("vector"))
+
+    def embed(self, rows: DataFrame, embed: Provider, text: str = "content") -> DataFrame:
+        """rows with embedding: each distinct text that the cache lacks is embedded once and kept before any row gets its vector.
+
+        Null texts, and those that the provider has no vector for, have none.
+        """
+        found = written(self.looked_up(rows, text), "cache-found")
+        new = found.filter("vector is null").select("key", F.lit(self.model).alias("model"), embed(F.col("text")).alias("vector"))
+        # Filters by the vector stand after the table: before it, they would have the provider asked again.
+        new = written(new, "cache-new").filter("vector is not null").withColumn("dimension", F.size("vector"))
+        if not new.isEmpty():
+            self.add(new)
+        every = found.filter("vector is not null").select("key", "vector").unionByName(new.select("key", "vector")).select(F.col("key").alias("_key"), F.col("vector").alias("embedding"))
+        keyed = rows.withColumn("_key", cache_key(F.col(text), self.model))
+        with_text = keyed.filter("_key is not null").join(every, "_key", "left").drop("_key")
+        return with_text.unionByName(keyed.filter("_key is null").drop("_key").withColumn("embedding", F.lit(None).cast("array<float>")))
+
+    def stats(self) -> DataFrame:
+        """One row: entries and the numbers in them."""
+        return self.entries().agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("dimension"), F.lit(0)).alias("numbers"))
+
+    def clear(self) -> None:
+        self.runs.folder.delete()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+import math
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -11,28 +12,54 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from sextant.errors import ConfigError
 from sextant.functions.tokens import token_set, truncate
+from sextant.tables import written
 
-#: Questions that search in one pass over the vectors, and that a batch of vectors meets at a time.
-PASS, BLOCK = 65_536, 2048
+#: Bytes of question vectors that travel to every task; bytes of vectors, and of questions, of a cell beyond that;
+#: questions and vectors that are multiplied at a time.
+ASKED, CELL, BLOCK, WIDE = 64 << 20, 256 << 20, 512, 8192
+#: Questions below which no look at their size is needed.
+FIRST = 1024
+#: Ids of results up to which they travel to the table that holds the contents.
+FETCHED = 500_000
 
 
-def metadata_filter(where: Mapping[str, object] | None, columns: Iterable[str], map_col: str = "metadata") -> Column:
-    """All of the equalities: on a column of that name where there is one (it reaches the scan), else on a metadata key."""
-    names = set(columns)
-    tests = [(F.col(k) if k in names else F.col(map_col)[k]) == F.lit(v if k in names else str(v)) for k, v in (where or {}).items()]
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
+def key_column(key: str) -> str:
+    """The column that holds a metadata key where a store has one for it."""
+    return f"_key_{key}"
 
 
-def _scored(k: int, metric: str, asked):
-    """Best k of a partition's vectors for each question; batches hold rows (id, v, and columns that come along)."""
+def metadata_filter(where: Mapping[str, object] | None, columns: Iterable[str] | Mapping[str, str], map_col: str = "metadata") -> Column:
+    """All of the equalities: on a column of that name where there is one, else on a metadata key.
+
+    columns: names, or names with their types (``dict(df.dtypes)``).  Tests of columns reach the scan; so do tests of
+    keys for which a store has columns, if the types are given, and the map decides among what they leave.
+    """
+    kinds = columns if isinstance(columns, Mapping) else dict.fromkeys(columns)
+
+    def test(k: str, v: object) -> Column:
+        if k in kinds:
+            return F.col(k) == F.lit(v)
+        exact, kind = F.col(map_col)[k] == F.lit(str(v)), kinds.get(key_column(k))
+        # A value that is none of the column's type stands there as null, so null is equal to null here.
+        return F.col(f"`{key_column(k)}`").eqNullSafe(F.lit(str(v)).try_cast(kind)) & exact if kind else exact
+
+    return reduce(lambda a, b: a & b, [test(k, v) for k, v in (where or {}).items()], F.lit(True))
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    return np.array(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
+
+
+def _scores(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def unit(x: np.ndarray) -> np.ndarray:
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(n > 0, n, 1.0)
 
     def score(q: np.ndarray, v: np.ndarray) -> np.ndarray:
         if metric == "cosine":
-            unit = lambda x: x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) > 0, n, 1.0)
             s = unit(q) @ unit(v).T
         elif metric == "l2":
             d = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (q @ v.T)
@@ -42,69 +69,159 @@ def _scored(k: int, metric: str, asked):
         # Twelve places: what two ways of adding up may differ by is no order.
         return np.round(np.clip(s, 0.0, 1.0), 12) + 0.0
 
+    return score
+
+
+class _Best:
+    """The k best (score, then smaller id) of each question among the vectors seen so far."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.q, self.s, self.at = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.ids: pa.Array | None = None
+        self.floor = np.zeros(n)  # the worst score that is still among the best of a question that has k
+
+    def add(self, first: int, s: np.ndarray, ids: pa.Array) -> None:
+        """Scores of questions from first on with the vectors of some ids, which are sorted."""
+        k, floor = self.k, self.floor[first : first + len(s)]
+        s = np.where(np.isnan(s), -1.0, s)  # no number is no match
+        keep = s >= floor[:, None]
+        if s.shape[1] > k and np.count_nonzero(keep) > 4 * k * len(s):
+            floor = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, -k])
+            keep = s >= floor[:, None]
+        many = np.flatnonzero(keep.sum(1) > 4 * k)
+        if len(many):  # ties at the floor: the first ids of them do
+            above, tie = s[many] > floor[many, None], s[many] == floor[many, None]
+            keep[many] = above | (tie & (np.cumsum(tie, 1) <= k))
+        row, col = np.nonzero(keep)
+        used, col = np.unique(col, return_inverse=True)
+        new = ids.take(pa.array(used))
+        q, score, at = np.concatenate([self.q, row + first]), np.concatenate([self.s, s[row, used[col]]]), np.concatenate([self.at, col + (0 if self.ids is None else len(self.ids))])
+        every = new if self.ids is None else pa.concat_arrays([self.ids, new])
+        rank = np.empty(len(every), np.int64)
+        rank[pc.sort_indices(every).to_numpy()] = np.arange(len(every))
+        order = np.lexsort((rank[at], -score, q))
+        place = np.arange(len(q)) - np.searchsorted(q[order], q[order], "left")
+        order, last = order[place < k], order[place == k - 1]
+        self.floor[q[last]] = score[last]
+        used, at = np.unique(at[order], return_inverse=True)
+        self.q, self.s, self.at, self.ids = q[order], score[order], at, every.take(pa.array(used))
+
+
+def _search(asked: list[np.ndarray], batches: Iterable[tuple[pa.Array, pa.Array]], k: int, metric: str) -> _Best | None:
+    """The best of batches of (ids, vectors) for questions; vectors of another size than a question's are no match."""
+    score, best = _scores(metric), None
+    n = sum(map(len, asked))
+    for ids, vectors in batches:
+        sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        for d in np.unique(sizes):
+            at = 0
+            for q in asked:
+                if q.shape[1] == d and len(q):
+                    part = np.flatnonzero(sizes == d)
+                    for i in range(0, len(part), WIDE):
+                        some = pa.array(part[i : i + WIDE])
+                        order = pc.sort_indices(ids.take(some))
+                        mine, v = ids.take(some).take(order), _matrix(vectors.take(some).take(order))
+                        best = best or _Best(n, k)
+                        for j in range(0, len(q), BLOCK):
+                            best.add(at + j, score(q[j : j + BLOCK], v), mine)
+                at += len(q)
+    return best
+
+
+def _by_size(vectors: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(places, matrices): questions of one size of vector together."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    order = np.argsort(sizes, kind="stable")
+    cuts = np.flatnonzero(np.diff(sizes[order])) + 1
+    return order, [_matrix(vectors.take(pa.array(p))) for p in np.split(order, cuts) if len(p)]
+
+
+def _few(v: DataFrame, q: pa.Table, k: int, metric: str, kind: str) -> DataFrame:
+    """Questions that fit into every task: the vectors stay where they are."""
+    share = v.sparkSession.sparkContext.broadcast(_questions(q))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qs = np.asarray(asked.value, np.float64)
-        held, rows = None, None  # the best so far: (question, score), and the rows that they name
-        for batch in batches:
-            if not batch.num_rows or not len(qs):
-                continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            by_id = np.empty(batch.num_rows, np.int64)
-            by_id[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
-            order = np.argsort(by_id)
-            found = []
-            for at in range(0, len(qs), BLOCK):
-                s = score(qs[at : at + BLOCK], v)[:, order]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                found.append((np.repeat(np.arange(at, at + len(s)), best.shape[1]), np.take_along_axis(s, best, 1).ravel(), order[best].ravel()))
-            q, s, at = (np.concatenate(x) for x in zip(*found))
-            used, at = np.unique(at, return_inverse=True)
-            part = pa.Table.from_batches([batch.take(pa.array(used))]).drop_columns([batch.schema.names[1]])
-            if held is not None:
-                q, s, at = np.concatenate([held[0], q]), np.concatenate([held[1], s]), np.concatenate([held[2], at + rows.num_rows])
-                part = pa.concat_tables([rows, part])
-                name = np.empty(part.num_rows, np.int64)
-                name[pc.sort_indices(part.column(0)).to_numpy()] = np.arange(part.num_rows)
-                order = np.lexsort((name[at], -s, q))
-                first = np.searchsorted(q[order], q[order], "left")
-                order = order[np.arange(len(q)) - first < k]
-                q, s, at = q[order], s[order], at[order]
-                used, at = np.unique(at, return_inverse=True)
-                part = part.take(pa.array(used))
-            held, rows = (q, s, at), part
-        if held is not None:
-            q, s, at = held
-            out = rows.take(pa.array(at))
-            yield from pa.table([pa.array(q), pa.array(s), *out.columns], ["_q", "score", *out.column_names]).combine_chunks().to_batches(max_chunksize=10_000)
-
-    return run
-
-
-def top_k(vectors: DataFrame, questions: DataFrame, k: int = 5, metric: str = "cosine", where: Mapping[str, object] | None = None, id_col: str = "id", vector: str = "embedding", keep: Sequence[str] = ()) -> DataFrame:
+        names, asked = share.value
+        yield from _rows(names, _search(asked, ((b.column(0), b.column(1)) for b in batches if b.num_rows), k, metric))
+
+    return v.mapInArrow(run, kind)
+
+
+def _questions(q: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+    """(names, matrices): questions by the size of their vectors, each once."""
+    q = q.append_column("_at", pa.array(np.arange(q.num_rows)))
+    q = q.take(q.group_by(["question_id", "_h"]).aggregate([("_at", "min")])["_at_min"].combine_chunks()).combine_chunks()
+    order, asked = _by_size(q["_e"].combine_chunks())
+    return q.select(["question_id", "_h"]).take(pa.array(order)).combine_chunks(), asked
+
+
+def _rows(names: pa.Table, best: _Best | None) -> Iterator[pa.RecordBatch]:
+    if best is not None and best.ids is not None:
+        who = names.take(pa.array(best.q))
+        out = pa.table([*who.columns, best.ids.take(pa.array(best.at)), pa.array(best.s)], ["question_id", "_h", "chunk_id", "score"])
+        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+
+
+def _many(v: DataFrame, q: DataFrame, k: int, metric: str, kind: str, asked_bytes: int, cell: int) -> DataFrame:
+    """A grid of cells, each a share of the vectors and a share of the questions, joined block by block in one task.
+
+    Vectors are dealt by hash into as many groups as their bytes need and sent to each group of questions, and
+    the other way round, so a cell holds ``cell`` bytes of either and nothing passes through the driver.
+    """
+    n, size = v.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_v").cast("long")), F.lit(0))).first()
+    rows, columns = max(1, math.ceil(4 * size / cell)), max(1, math.ceil(asked_bytes / cell))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Equal rows stand in many partitions, so no group gets all of them.
+    left = v.withColumn("_row", F.pmod(F.xxhash64("chunk_id", "_v", F.spark_partition_id()), F.lit(rows)).cast("int")).withColumn("_column", every(columns))
+    right = q.withColumn("_column", F.pmod(F.xxhash64("question_id", "_e", F.spark_partition_id()), F.lit(columns)).cast("int")).withColumn("_row", every(rows))
+
+    def run(vectors: pa.Table, questions: pa.Table) -> pa.Table:
+        names, asked = _questions(questions)
+        best = _search(asked, ((b["chunk_id"], b["_v"]) for b in vectors.to_batches(max_chunksize=WIDE)), k, metric)
+        schema = pa.schema([*names.schema, ("chunk_id", vectors["chunk_id"].type), ("score", pa.float64())])
+        return pa.Table.from_batches(_rows(names, best), schema)
+
+    return left.groupBy("_row", "_column").cogroup(right.groupBy("_row", "_column")).applyInArrow(run, kind)
+
+
+def top_k(vectors: DataFrame, questions: DataFrame, k: int = 5, metric: str = "cosine", where: Mapping[str, object] | None = None, id_col: str = "id", vector: str = "embedding", keep: Sequence[str] = (), asked: int = ASKED, cell: int = CELL) -> DataFrame:
     """question_id, rank, chunk_id, score (six places), and kept columns: the k best of the vectors for each question, ties to smaller ids.
 
-    Question vectors go to every task, at most PASS of them in one pass over the vectors; more of them take
-    more passes.  A partition of vectors hands on its best k of each question, so what is ranked at the end
-    is a few rows a partition, and no row of vectors moves.  Filters stand before the search and reach the
-    scan.  Null vectors take no part.  Ids may be of any type that sorts.
+    Question vectors of up to ``asked`` bytes go to every task and no vector moves; more of them meet the vectors in
+    a grid of cells of bounded size, and none come to the driver.  A task hands on its best k of each
+    question, ids and scores alone; kept columns are fetched by id for the rows that are left in the end, so ids are
+    unique (of rows with equal ids any one's columns).  Filters stand before the search and reach the scan.
+    Null vectors take no part, a vector of another size than the question's is no match, nor is one that
+    holds no number.  A question that is there twice is asked once; an id with several vectors gets k for each.  Ids
+    may be of any type that sorts.
     """
     if k <= 0:
         raise ConfigError("k is positive")
-    q = questions.filter(F.col("embedding").isNotNull()).select("question_id", "embedding")
-    v = vectors.filter(metadata_filter(where, vectors.columns)).filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("chunk_id"), F.col(vector).alias("_v"), *keep)
-    kind = ", ".join(["_q long", "score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in v.schema.fields if f.name != "_v")])
-    ids_of = q.schema["question_id"]
-    rows = q.limit(PASS + 1).toArrow()
-    passes = [rows] if rows.num_rows <= PASS else (q.filter(F.pmod(F.xxhash64("question_id"), F.lit(n)) == i).toArrow() for n in [-(-2 * q.count() // PASS)] for i in range(n))
-    found = None
-    for rows in passes:
-        asked = vectors.sparkSession.sparkContext.broadcast(np.array(rows["embedding"].to_pylist() or np.zeros((0, 1)), np.float32))
-        names = q.sparkSession.createDataFrame(list(enumerate(rows["question_id"].to_pylist())), StructType([StructField("_q", LongType()), ids_of]))
-        part = v.mapInArrow(_scored(k, metric, asked), kind)
-        best = W.partitionBy("_q").orderBy(F.desc("score"), "chunk_id")
-        part = part.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).join(F.broadcast(names), "_q")
-        found = part if found is None else found.unionByName(part)
-    return found.select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"), *keep)
+    some = vectors.filter(metadata_filter(where, dict(vectors.dtypes)))
+    q = questions.filter(F.col("embedding").isNotNull()).select("question_id", F.col("embedding").alias("_e")).withColumn("_h", F.xxhash64("_e"))
+    v = some.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("chunk_id"), F.col(vector).alias("_v"))
+    kind = ", ".join([f"question_id {q.schema['question_id'].dataType.simpleString()}", "_h long", f"chunk_id {v.schema['chunk_id'].dataType.simpleString()}", "score double"])
+    first = q.limit(FIRST).toArrow()
+    if first.num_rows < FIRST:
+        found = _few(v, first, k, metric, kind)
+    else:
+        q = written(q.dropDuplicates(["question_id", "_h"]), "search-questions")
+        size = q.agg(F.sum(8 * F.size("_e").cast("long") + 16)).first()[0]
+        found = _few(v, q.toArrow(), k, metric, kind) if size <= asked else _many(v, q, k, metric, kind, size, cell)
+    best = W.partitionBy("question_id", "_h").orderBy(F.desc("score"), "chunk_id")
+    found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return fetched(found, some, id_col, keep) if keep else found
+
+
+def fetched(found: DataFrame, rows: DataFrame, id_col: str, keep: Sequence[str]) -> DataFrame:
+    """Results with columns of the rows that they name: the ids travel to the rows, if they are few, not the rows to them."""
+    found = written(found, "search-results")
+    ids = found.select(F.col("chunk_id").alias("_id")).distinct()
+    near = F.broadcast(ids) if found.count() <= FETCHED else ids
+    mine = rows.select(F.col(id_col).alias("_id"), F.struct(*keep).alias("_k")).join(near, "_id", "left_semi").groupBy("_id").agg(F.first("_k").alias("_k"))
+    return found.join(mine, F.col("chunk_id") == F.col("_id"), "left").select(*found.columns, *[F.col(f"_k.{c}").alias(c) for c in keep])
 
 
 def at_least(results: DataFrame, score: float) -> DataFrame:

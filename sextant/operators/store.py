@@ -1,23 +1,26 @@
-"""A vector store in Parquet: a base table partitioned by collection, and the changes since.
+"""A vector store in Parquet: a table by id for each collection, which grows by runs (see ``sextant.tables.Runs``).
 
-A change writes only its own rows, as one more table beside the others, and is visible once that is
-complete, so a reader never sees half a change and a job that dies leaves the store as it was.  Readers
-take the newest base and lay the changes over it; after some changes they are folded into a new base, and
-what came before the base in use until then is deleted.  One writer at a time.  Ids are unique within a
-collection; of repeated ids in one batch the last wins.
+A change writes its own rows and, now and then, rewrites about as many as have changed since; it is visible
+once it is complete.  One writer at a time.  Ids are unique within a collection; of repeated ids in one batch
+the last wins.  Frequent keys of the metadata are columns of their own, with types and statistics, so that
+filters by them reach the scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Mapping
 from functools import reduce
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sextant.errors import ConfigError, StoreError
+from sextant.operators.search import key_column, metadata_filter
 from sextant.schemas import VECTOR
+from sextant.tables import Folder, Runs, scratch, written
 
 
 def flat_metadata(metadata: Column, document_id: Column, start: Column, end: Column) -> Column:
@@ -28,107 +31,93 @@ def flat_metadata(metadata: Column, document_id: Column, start: Column, end: Col
 
 
 def last_of_each(rows: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
-    """One row per id: the last by order, or by its place in the frame where there is none."""
-    rows = rows.withColumn("_at", F.monotonically_increasing_id())
-    w = W.partitionBy(id_col).orderBy(*([F.desc(order)] if order else []), F.desc("_at"))
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_at")
-
-
-def upserted(old: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
-    """old with the rows of new in place of those that have their ids."""
-    return old.join(new.select(id_col), id_col, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
-
-
-def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows that have one of the ids of a frame (column id)."""
-    return rows.join(ids.select("id").distinct(), "id", "left_semi")
+    """One row per id: the last by order, or by its place in the frame where there is none.
 
+    Tasks pick their last rows before anything moves, so an id that many rows have is no burden to one task.
+    """
+    at = F.struct(*([F.col(order)] if order else []), F.monotonically_increasing_id())
+    last = rows.select(F.col(id_col).alias("_id"), F.struct(*rows.columns).alias("_r"), at.alias("_at")).groupBy("_id").agg(F.max_by("_r", "_at").alias("_r"))
+    return last.select("_r.*")
 
-def laid_over(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """base with changes: rows of its columns, _removed and _v; of each collection and id the highest _v counts.
 
-    Rows of the base go through one anti join with the ids of the changes, which are few beside it.
-    """
-    names = ["collection", "id"]
-    w = W.partitionBy(*names).orderBy(F.desc("_v"))
-    last = changes.withColumn("_n", F.row_number().over(w)).filter("_n = 1 and not _removed")
-    kept = base.join(changes.select(*names).distinct(), names, "left_anti")
-    return kept.select(*base.columns).unionByName(last.select(*base.columns))
+def frequent_keys(rows: DataFrame, share: float = 0.5, most: int = 16, metadata: str = "metadata") -> dict[str, str]:
+    """Keys that at least such a share of the rows have, the most frequent first, with the type that all their values have."""
+    n = rows.count()
+    each = rows.select(F.explode(metadata).alias("k", "v")).groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").try_cast("bigint").cast("string") == F.col("v")).alias("whole"), F.count("v").alias("values"),
+    )
+    top = each.filter(F.col("n") >= share * n).orderBy(F.desc("n"), "k").limit(most).collect()
+    return {r.k: "bigint" if r.whole == r["values"] > 0 else "string" for r in top}
 
 
 class VectorStore:
-    """add, delete, get, count, clear and stats over a folder; after ``most`` changes they are folded into the base."""
-
-    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None, columns: str = VECTOR, metric: str = "cosine", most: int = 8):
-        self.spark, self.path, self.dimension, self.columns, self.metric, self.most = spark, path.rstrip("/"), dimension, columns, metric, most
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _tables(self) -> list[tuple[int, str]]:
-        """(number, kind) of the complete tables, kind base or change, oldest first."""
-        fs, at = self._fs()
-        if not fs.exists(at(self.path)):
-            return []
-        names = [s.getPath().getName().split("=") for s in fs.listStatus(at(self.path))]
-        return sorted((int(n[1]), n[0]) for n in names if n[0] in ("base", "change") and fs.exists(at(f"{self.path}/{'='.join(n)}/_SUCCESS")))
-
-    def _current(self) -> tuple[int, list[int]]:
-        """The number of the newest base (0: none), and those of the changes since."""
-        every = self._tables()
-        base = max((v for v, kind in every if kind == "base"), default=0)
-        return base, [v for v, kind in every if kind == "change" and v > base]
-
-    def read(self, collection: str | None = None) -> DataFrame:
-        """What the store holds now; a collection prunes to its folders."""
-        base, changes = self._current()
-        mine = (lambda d: d) if collection is None else (lambda d: d.filter(F.col("collection") == collection))
-        schema = self.spark.createDataFrame([], self.columns).schema
-        d = mine(self.spark.read.schema(self.columns).parquet(f"{self.path}/base={base}") if base else self.spark.createDataFrame([], schema)).select(*schema.names)
-        if not changes:
-            return d
-        one = lambda v: mine(self.spark.read.schema(f"{self.columns}, _removed boolean").parquet(f"{self.path}/change={v}")).withColumn("_v", F.lit(v))
-        return laid_over(d, reduce(DataFrame.unionByName, map(one, changes)))
-
-    def _next(self) -> int:
-        return max((v for v, _ in self._tables()), default=0) + 1
-
-    def _rebase(self, rows: DataFrame) -> None:
-        """rows as the new base; tables before the last base go, so that readers of that one may end."""
-        old, v = self._current()[0], self._next()
-        rows.write.mode("overwrite").partitionBy("collection").parquet(f"{self.path}/base={v}")
-        fs, at = self._fs()
-        for n, kind in self._tables():
-            if n < old:
-                fs.delete(at(f"{self.path}/{kind}={n}"), True)
-
-    def _change(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").partitionBy("collection").parquet(f"{self.path}/change={self._next()}")
-        if len(self._current()[1]) >= self.most:
-            self.compact()
+    """add, delete, get, count, clear and stats over a folder.
 
-    def compact(self) -> None:
-        """Fold the changes into a new base."""
-        self._rebase(self.read())
+    keys: metadata keys that become columns, with their types; where they are not given, the frequent ones of the
+    first rows do.  buckets and bucket_bytes: files of a change, and how large those of merged runs may become.
+    """
 
-    def _shaped(self, rows: DataFrame, collection: str, removed: bool) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None, columns: str = VECTOR, metric: str = "cosine", keys: Mapping[str, str] | None = None, buckets: int = 8, bucket_bytes: int = 128 << 20):
+        self.spark, self.path, self.dimension, self.metric = spark, path.rstrip("/"), dimension, metric
+        self.buckets, self.bucket_bytes, self._keys = buckets, bucket_bytes, keys
+        self.folder, self.schema = Folder(spark, path), StructType.fromDDL(columns)
+
+    def keys(self, first: DataFrame | None = None) -> dict[str, str]:
+        """Metadata keys with columns of their own, by type; settled when the first rows come."""
+        if self.folder.exists("_keys.json"):
+            return json.loads(self.folder.read_text("_keys.json"))
+        if "metadata" not in self.schema.names:
+            return {}
+        if first is None:
+            return dict(self._keys or {})
+        found = dict(self._keys) if self._keys is not None else frequent_keys(first) if "metadata" in first.columns else {}
+        self.folder.write_text("_keys.json", json.dumps(found))
+        return found
+
+    def _runs(self, collection: str) -> Runs:
+        keys = self.keys()
+        s = StructType([f for f in self.schema if f.name != "collection"])
+        for k, kind in keys.items():
+            s = s.add(key_column(k), StructType.fromDDL(f"k {kind}")["k"].dataType)
+        return Runs(self.spark, f"{self.path}/collection={quote(collection, safe='')}", "id", s, self.buckets, self.bucket_bytes, tuple(map(key_column, list(keys)[:1])))
+
+    def collections(self) -> list[str]:
+        return sorted(unquote(n.split("=", 1)[1]) for n in self.folder.names() if n.startswith("collection="))
+
+    def read(self, collection: str | None = None, where: Mapping[str, object] | None = None) -> DataFrame:
+        """What the store holds now, with a column for each shredded key; where: equalities on columns or metadata keys."""
+        names = self.collections() if collection is None else [collection]
+        order = [*self.schema.names, *map(key_column, self.keys())]
+        parts = [self._runs(c).read().withColumn("collection", F.lit(c)).select(*order) for c in names]
+        if not parts:
+            parts = [self._runs("").read().withColumn("collection", F.lit("")).select(*order)]
+        out = reduce(DataFrame.unionByName, parts)
+        return out.filter(metadata_filter(where, dict(out.dtypes))) if where else out
+
+    def _shaped(self, rows: DataFrame, removed: bool) -> DataFrame:
         have = set(rows.columns)
-        fields = [f for f in self.spark.createDataFrame([], self.columns).schema if f.name != "collection"]
-        out = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-        return out.withColumn("collection", F.lit(collection)).withColumn("_removed", F.lit(removed))
+        cols = {f.name: F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType) for f in self.schema if f.name != "collection"}
+        for k, kind in self.keys().items():
+            cols[key_column(k)] = cols["metadata"][k].try_cast(kind)
+        return rows.select(*[c.alias(n) for n, c in cols.items()], F.lit(removed).alias("_removed"))
 
     def add(self, rows: DataFrame, collection: str = "default", order: str | None = None) -> None:
         """Upsert by id within the collection; only the new rows are written.  Null ids and vectors of another size end it."""
-        new = self._shaped(last_of_each(rows, "id", order), collection, False)
+        with scratch(self.spark):
+            self._add(rows, collection, order)
+
+    def _add(self, rows: DataFrame, collection: str, order: str | None) -> None:
+        if self._keys is None and "metadata" in rows.columns and not self.folder.exists("_keys.json"):
+            rows = written(rows, "store-first")  # looked through for keys, then stored
+        self.keys(rows)
+        new = self._shaped(last_of_each(rows, "id", order), False)
         fail = lambda why, kind: F.raise_error(F.lit(why)).cast(kind)
-        new = new.withColumn("id", F.coalesce("id", fail("rows of this store have an id", "string")))
+        new = new.withColumn("id", F.coalesce("id", fail("rows of this store have an id", self.schema["id"].dataType)))
         if self.dimension is not None:
             fits = F.col("embedding").isNull() | (F.size("embedding") == self.dimension)
             new = new.withColumn("embedding", F.when(fits, F.col("embedding")).otherwise(fail(f"vectors of this store have {self.dimension} components", "array<float>")))
         try:
-            self._change(new)
+            self._runs(collection).append(new)
         except Exception as e:
             said = next((m for m in (f"vectors of this store have {self.dimension} components", "rows of this store have an id") if m in str(e)), None)
             if said is None:
@@ -137,20 +126,27 @@ class VectorStore:
 
     def delete(self, ids: DataFrame, collection: str = "default") -> int:
         """Remove rows by the ids of a frame (column id); how many there were."""
-        gone = among(self.read(collection), ids).select("id")
+        gone = self.get(ids, collection).select("id")
         n = gone.count()
         if n:
-            self._change(self._shaped(gone, collection, True))
+            self._runs(collection).append(self._shaped(gone, True))
         return n
 
     def get(self, ids: DataFrame, collection: str = "default") -> DataFrame:
-        return among(self.read(collection), ids)
+        """Rows by the ids of a frame (column id); for few ids only the files of their buckets are opened."""
+        return self._runs(collection).get(ids).withColumn("collection", F.lit(collection)).select(*self.schema.names)
 
     def count(self, collection: str = "default") -> int:
-        return self.read(collection).count()
+        return self._runs(collection).read().count()
+
+    def compact(self) -> None:
+        """One run for each collection."""
+        for c in self.collections():
+            self._runs(c).compact()
 
     def clear(self, collection: str = "default") -> None:
-        self._rebase(self.read().filter(F.col("collection") != collection))
+        """The collection goes, and with it its files."""
+        self.folder.delete(f"collection={quote(collection, safe='')}")
 
     delete_collection = clear
 

@@ -15,6 +15,7 @@ from sextant.operators.embedding import Provider
 from sextant.operators.grounding import clamp, context_tokens, groundedness, refusal, relevance
 from sextant.plans.workflow import ask
 from sextant.schemas import DIFFICULTIES, EVAL_QUESTION
+from sextant.tables import written
 
 
 def load_suite(spark: SparkSession, path: str) -> DataFrame:
@@ -59,16 +60,14 @@ def run(questions: DataFrame, vectors: DataFrame, embed: Provider, **how) -> Dat
     """A suite asked and scored: a row per question, with what ``score`` adds.
 
     Questions are worked on together, so latency_ms is the time of all divided by their number.  A question
-    whose workflow ends in an error is an error, not a refusal, and has no scores.  Repeated questions are
-    asked each.  how: options of ask.
+    that cannot be embedded or answered is an error, not a refusal, and has no scores; the rest is scored.  Repeated
+    questions are asked each.  how: options of ask.
     """
-    q = questions.select("question", F.coalesce("expected_refusal", F.lit(False)).alias("expected_refusal"))
-    rows = [(i, r.question, r.expected_refusal) for i, r in enumerate(q.collect())]  # a suite is a list that people write
-    q = questions.sparkSession.createDataFrame(rows, "question_id long, question string, expected_refusal boolean")
+    q = questions.select(F.monotonically_increasing_id().alias("question_id"), "question", F.coalesce("expected_refusal", F.lit(False)).alias("expected_refusal"))
+    q = written(q, "suite")
     start = time.perf_counter()
-    got = ask(q.select("question_id", "question"), vectors, embed, **how).drop("question").persist()
-    n = got.count()
-    each = 1000 * (time.perf_counter() - start) / max(n, 1)
+    got = written(ask(q.select("question_id", "question"), vectors, embed, **how).drop("question"), "suite-answers")
+    each = 1000 * (time.perf_counter() - start) / max(got.count(), 1)
     passages = F.coalesce(F.transform("citations", lambda c: c["text"]), F.array().cast("array<string>"))
     d = q.join(got, "question_id").withColumns({"passages": passages, "refusal_reason": F.when(F.col("error").isNull(), F.col("refusal_reason")), "latency_ms": F.lit(each)})
     return score(d.select("question_id", "question", "query_type", "answer", "confidence", "passages", "refusal_reason", "expected_refusal", "error", "latency_ms"))

@@ -1,20 +1,21 @@
-"""Question answering as a bounded loop over the questions that are not settled yet."""
+"""Question answering as a bounded loop over the questions that are not settled yet, a table for each pass."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.errors import ConfigError
 from sextant.functions.classify import is_structural, question_class
 from sextant.functions.text import strip
-from sextant.operators.answers import extractive
+from sextant.operators.answers import Answers, extractive
 from sextant.operators.embedding import Provider
 from sextant.operators.grounding import context_tokens, grounding
+from sextant.operators.remote import attempted
 from sextant.operators.search import citations, top_k
+from sextant.tables import written
 
 #: Results of a search, retries, confidence to accept, mean score that ends summaries and syntheses early.
 K, MAX_RETRIES, ACCEPT, EARLY = 5, 2, 0.8, 0.4
@@ -99,46 +100,35 @@ def refusal_message(question: Column, found: Column, confidence: Column, error:
     return F.when(is_structural(question), structural).otherwise(more)
 
 
-def ask(questions: DataFrame, vectors: DataFrame, embed: Provider, answer: Callable[[Column, Column], Column] = extractive, *, k: int = K, max_retries: int = MAX_RETRIES, accept: float = ACCEPT, early: float = EARLY, where: dict | None = None) -> DataFrame:
+def ask(questions: DataFrame, vectors: DataFrame, embed: Provider, answer: Answers = extractive, *, k: int = K, max_retries: int = MAX_RETRIES, accept: float = ACCEPT, early: float = EARLY, where: dict | None = None) -> DataFrame:
     """One row per question (question_id, question): query_type, answer, confidence, citations, grounding, retries, action, refusal_reason, error.
 
-    Retrieval does not depend on the pass: what is found for the questions is kept (a row per question, in
-    memory and on disk, worked out again where an executor is lost), and passages come along from the one
-    pass over the vectors.  Each pass asks the provider for the questions that are still open.  With a
-    provider that repeats itself the passes beyond the first agree.
+    Each step is written to the shared folder and read back: questions with their vectors, what is found for
+    them, and each pass's answers with what was decided of them.  So a provider is asked once for each open
+    question and pass, whatever it says the next time, and accepting, refusing and trying again go by the same
+    answer; a lost executor repeats its part of one pass.  Retrieval does not depend on the pass and is made
+    once.  A provider that says that it ``repeats`` itself is asked in the first pass only.
+
+    A question that cannot be embedded or answered has the provider's error in its row and is refused; it ends
+    nothing.  Rows with equal ids are questions of their own.  The written tables are deleted by ``tables.scratch``.
     """
-    q = questions.select("question_id", "question").withColumn("query_type", question_class(F.col("question")))
-    off = q.filter("query_type = 'unsupported'")
-    on = q.filter("query_type != 'unsupported'").withColumn("embedding", embed(strip(F.col("question"))))
+    on = question_class(F.col("question")) != "unsupported"
+    q = questions.select("question_id", "question").withColumn("_row", F.monotonically_increasing_id())
+    q = q.withColumns({"query_type": question_class(F.col("question")), "_e": attempted(embed, strip(F.when(on, F.col("question"))))})
+    q = written(q, "ask-questions")
+    off, on = q.filter("query_type = 'unsupported'"), q.filter("query_type != 'unsupported'")
     if "source" not in vectors.columns:
         vectors = vectors.withColumn("source", F.lit(None).cast("string"))
-    rows = top_k(vectors, on, k=k, where=where, keep=("content", "source"))
-    cited = citations(rows).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "chunk_id", "text", "score"))).alias("citations"), F.round(F.avg("score"), 4).alias("mean_score"))
-    s = on.drop("embedding").join(cited, "question_id", "left")
-    s = s.withColumn("passages", F.coalesce(F.transform("citations", lambda c: c["text"]), F.array().cast("array<string>"))).withColumn("context", context_tokens(F.col("passages")))
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
-    state = s.withColumns({"answer": answer(prompt(F.col("question"), F.col("query_type"), F.col("passages")), F.col("passages")), "_g": F.lit(None)}).drop("_g")
-
-    def verified(d: DataFrame, count: int) -> DataFrame:
-        blank = strip(F.coalesce("answer", F.lit(""))) == ""
-        g = grounding(F.col("answer"), F.col("context"), F.size("passages"))
-        d = d.withColumn("_v", g).withColumns({
-            "is_early": F.col("query_type").isin("synthesis", "summarize") & (F.col("mean_score") >= early) & ~blank,
-            "error": F.when(blank, "Cannot verify: the answer is empty"), "is_grounded": ~blank & F.col("_v.is_grounded"), "grounding_confidence": F.when(blank, 0.0).otherwise(F.col("_v.confidence")), "unsupported_claims": F.col("_v.unsupported_claims"),
-        })
-        d = d.withColumn("retry_count", F.when(F.col("is_early"), 0).otherwise(count))
-        act = decide(F.col("answer"), F.col("grounding_confidence"), F.lit(count), F.col("error"), max_retries, accept)
-        return d.withColumn("action", F.when(F.col("is_early"), "accept").otherwise(act)).drop("_v")
-
-    settled = None
-    for count in range(1, max_retries + 2):
-        d = verified(state, count)
-        done = d.filter("action != 'retry'")
-        settled = done if settled is None else settled.unionByName(done)
-        state = d.filter("action = 'retry'").select(*state.columns)
-        state = state.withColumn("answer", answer(prompt(F.col("question"), F.col("query_type"), F.col("passages")), F.col("passages")))
+    rows = top_k(vectors, on.select(F.col("_row").alias("question_id"), F.col("_e.value").alias("embedding")), k=k, where=where, keep=("content", "source"))
+    cited = citations(rows).groupBy(F.col("question_id").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("rank", "source", "chunk_id", "text", "score"))).alias("citations"), F.round(F.avg("score"), 4).alias("mean_score"))
+    failed = F.concat(F.lit("The question could not be embedded: "), F.col("_e.error"))
+    s = on.withColumn("search_error", failed).drop("_e").join(cited, "_row", "left")
+    s = s.withColumn("passages", F.coalesce(F.transform("citations", lambda c: c["text"]), F.array().cast("array<string>")))
+    state = written(s.withColumn("context", context_tokens(F.col("passages"))), "ask-found")
+    passes = _passes(state, answer, max_retries, accept, early)
     ok = F.col("action") == "accept"
-    out = settled.withColumn("confidence", F.when(~ok, 0.0).when(F.col("is_early"), F.col("mean_score")).otherwise(F.col("grounding_confidence")))
+    out = state.join(passes, "_row")
+    out = out.withColumn("confidence", F.when(~ok, 0.0).when(F.col("is_early"), F.col("mean_score")).otherwise(F.col("grounding_confidence")))
     out = out.withColumn("refusal_reason", F.when(~ok, refusal_message(F.col("question"), F.size("passages") > 0, F.col("grounding_confidence"), F.col("error"), F.col("retry_count"))))
     out = out.withColumn("answer", F.when(ok, F.col("answer")))
     cols = ["question_id", "question", "query_type", "answer", "confidence", "is_grounded", "retry_count", "action", "refusal_reason", "error", "unsupported_claims", "citations"]
@@ -148,3 +138,39 @@ def ask(questions: DataFrame, vectors: DataFrame, embed: Provider, answer: Calla
         "unsupported_claims": F.array().cast("array<string>"), "citations": F.lit(None).cast(out.schema["citations"].dataType),
     })
     return out.select(*cols).unionByName(none.select(*cols))
+
+
+def _passes(state: DataFrame, answer: Answers, max_retries: int, accept: float, early: float) -> DataFrame:
+    """By _row, what the pass that settled a question says: answer, error, grounding, retry_count, action."""
+    repeats, settled, open_ = getattr(answer, "repeats", False), [], state
+    for count in range(1, 2 if repeats else max_retries + 2):
+        # Nothing is asked where nothing was found or the search failed.
+        asked = F.when((F.size("passages") > 0) & F.col("search_error").isNull(), prompt(F.col("question"), F.col("query_type"), F.col("passages")))
+        d = open_.withColumn("_a", attempted(answer, asked, F.col("passages")))
+        d = written(verified(d, count, max_retries, accept, early), f"ask-pass-{count}")
+        settled.append(d.filter("action != 'retry'"))
+        again = d.filter("action = 'retry'")
+        if repeats:
+            settled.append(again.withColumns({"action": F.lit("refuse"), "retry_count": F.lit(max_retries + 1)}))
+        elif again.isEmpty():
+            break
+        open_ = state.join(again.select("_row"), "_row", "left_semi")
+    return reduce(DataFrame.unionByName, settled)
+
+
+def verified(asked: DataFrame, count: int, max_retries: int = MAX_RETRIES, accept: float = ACCEPT, early: float = EARLY) -> DataFrame:
+    """What is decided of the answers (_a: value and error) of one pass: a row for each _row.
+
+    A summary or synthesis whose passages are near enough on average is accepted as it is.
+    """
+    d = asked.select("_row", "query_type", "mean_score", "search_error", "passages", "context", F.col("_a.value").alias("answer"), F.col("_a.error").alias("failure"))
+    bare = blank(F.col("answer"))
+    d = d.withColumn("_v", grounding(F.col("answer"), F.col("context"), F.size("passages")))
+    why = F.coalesce(F.col("search_error"), F.concat(F.lit("The answer provider failed: "), F.col("failure")), F.when(bare, "Cannot verify: the answer is empty"))
+    d = d.withColumns({
+        "error": why, "is_early": F.col("query_type").isin("synthesis", "summarize") & F.coalesce(F.col("mean_score") >= early, F.lit(False)) & why.isNull(),
+        "is_grounded": ~bare & F.col("_v.is_grounded"), "grounding_confidence": F.when(bare, 0.0).otherwise(F.col("_v.confidence")), "unsupported_claims": F.col("_v.unsupported_claims"),
+    })
+    act = decide(F.col("answer"), F.col("grounding_confidence"), F.lit(count), F.col("error"), max_retries, accept)
+    d = d.withColumn("action", F.when(F.col("is_early"), "accept").otherwise(act)).withColumn("retry_count", F.when(F.col("is_early"), 0).otherwise(count))
+    return d.select("_row", "answer", "error", "is_early", "is_grounded", "grounding_confidence", "unsupported_claims", "retry_count", "action")

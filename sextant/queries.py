@@ -16,11 +16,13 @@ from sextant.functions.tokens import sentences, token_list
 from sextant.operators import answers as A
 from sextant.operators import embedding as E
 from sextant.operators import grounding as G
+from sextant.operators import remote
 from sextant.operators import search as S
 from sextant.operators.chunking import chunk_fixed, chunk_sentences, with_context
-from sextant.operators.store import among, flat_metadata, laid_over, last_of_each, upserted
+from sextant.operators.store import VectorStore, flat_metadata
 from sextant.plans import evaluate, ingest, workflow
 from sextant.sources import files, pdf
+from sextant.tables import fresh_path, written
 
 #: Lines that are appended to documents by doc_id, so that the rules have something to find.
 NOISE_LINES = (
@@ -160,10 +162,22 @@ def cache_keys(spark, d):
 
 
 def cache_miss(spark, d):
+    """Keys that a cache of the English texts lacks, once all documents have been embedded through it; some of its entries are corrupt."""
     x = table(spark, d, "documents")
-    have = x.filter("lang = 'en'").select(E.cache_key(F.col("text"), "hashing").alias("key"), F.lit("hashing").alias("model"), F.array(F.lit(0.0).cast("float")).alias("vector"), F.lit(1).alias("dimension")).dropDuplicates(["key"])
-    _, new = E.cached_embed(x.select(F.col("doc_id"), F.col("text").alias("content")), have, E.provider(), "hashing")
-    return new.select("key", "dimension")
+    cache = E.EmbeddingCache(spark, fresh_path(spark, "cache"), "hashing")
+    bad = F.min("doc_id") % 5 == 0
+    have = x.filter("lang = 'en'").groupBy(E.cache_key(F.col("text"), "hashing").alias("key")).agg(F.when(~bad, F.array(F.lit(0.0).cast("float"))).alias("vector"))
+    cache.add(have.select("key", F.lit("hashing").alias("model"), "vector", F.lit(1).alias("dimension")))
+    cache.embed(x.select("doc_id", F.col("text").alias("content")), E.provider())
+    return cache.entries().filter("dimension = 64").select("key", "dimension")
+
+
+def cache_embed(spark, d):
+    """Documents through a cache that has been filled twice: the vectors are the provider's."""
+    x = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    cache = E.EmbeddingCache(spark, fresh_path(spark, "cache"), "hashing")
+    cache.embed(x.filter("doc_id % 3 = 0"), E.provider())
+    return cache.embed(x, E.provider()).select("doc_id", F.transform("embedding", lambda v: F.round(v.cast("double"), 5)).alias("embedding"))
 
 
 # Search
@@ -202,8 +216,7 @@ def _passages(spark, d):
     e = E.provider()
     v = docs(spark, d).select("id", "content", "source").withColumn("embedding", e(F.col("content")))
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    found = S.top_k(v, q.withColumn("embedding", e(F.col("question"))))
-    return found.join(v.select(F.col("id").alias("chunk_id"), "content", "source"), "chunk_id").join(q, "question_id")
+    return S.top_k(v, q.withColumn("embedding", e(F.col("question"))), keep=("content", "source")).join(q, "question_id")
 
 
 def search_passages(spark, d):
@@ -231,39 +244,71 @@ def normalized_vectors(spark, d):
 
 
 def distance_scores(spark, d):
-    """Scores of distances below, in and beyond their range."""
-    x = table(spark, d, "embeddings").select("vec_id", ((F.col("vec_id") % 41 - 10) / 10.0).alias("distance"))
-    return x.select("vec_id", *[F.round(V.score_of_distance(F.col("distance"), m), 9).alias(m) for m in ("cosine", "l2", "ip", "other")])
+    """Scores of the distances between every hundredth vector and those of its label, by each metric."""
+    v = table(spark, d, "embeddings")
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("asked"), "label")
+    x = q.join(v, "label")
+    dot = V.dot(F.col("asked"), F.col("embedding"))
+    away = {"cosine": 1 - dot / (V.norm(F.col("asked")) * V.norm(F.col("embedding"))), "l2": V.dot(*[F.zip_with("asked", "embedding", lambda a, b: a.cast("double") - b.cast("double"))] * 2), "ip": dot, "other": 3 * dot}
+    return x.select("question_id", "vec_id", *[F.round(V.score_of_distance(a, m), 6).alias(m) for m, a in away.items()])
+
+
+def topk_metadata(spark, d):
+    """The nearest vectors among those with a metadata value, which the store keeps in a column of its own."""
+    v = table(spark, d, "embeddings")
+    s = VectorStore(spark, fresh_path(spark, "store"), columns="id long, embedding array<float>, metadata map<string,string>, collection string", keys={"label": "bigint"})
+    s.add(v.select(F.col("vec_id").alias("id"), "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata")))
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return S.top_k(s.read(), q, where={"label": 3})
+
+
+def topk_grid(spark, d):
+    """Every vector asks three times under three ids: questions and vectors are dealt to a grid of cells, and labels come after the merge."""
+    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    q = v.select(F.col("id").alias("question_id"), "embedding")
+    many = q.withColumn("question_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.col("question_id") + i * 1_000_000)))
+    return S.top_k(v, many, k=3, keep=("label",), asked=1 << 16, cell=1 << 18)
 
 
 # Store
 
 
+def _labels(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+
+
+def _store(spark):
+    return VectorStore(spark, fresh_path(spark, "store"), columns="id long, label int, collection string")
+
+
 def store_upsert(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    new = v.filter("label in (3, 4)").withColumn("label", F.col("label") + 100).unionByName(v.filter("label = 5").withColumn("id", F.col("id") + 1_000_000_000))
-    return upserted(v.filter("label != 4"), last_of_each(new, "id", "label")).select("id", "label")
+    v, s = _labels(spark, d), _store(spark)
+    s.add(v.filter("label != 4"))
+    s.add(v.filter("label in (3, 4)").withColumn("label", F.col("label") + 100).unionByName(v.filter("label = 5").withColumn("id", F.col("id") + 1_000_000_000)), order="label")
+    return s.read().select("id", "label")
 
 
 def store_delete(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    gone = v.filter("label >= 7").withColumns({"collection": F.lit("c"), "_removed": F.lit(True), "_v": F.lit(1)})
-    return laid_over(v.withColumn("collection", F.lit("c")), gone).select("id", "label")
+    v, s = _labels(spark, d), _store(spark)
+    s.add(v)
+    s.delete(v.filter("label >= 7"))
+    return s.read().select("id", "label")
 
 
 def get_by_ids(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return among(v, v.filter("label = 2"))
+    v, s = _labels(spark, d), _store(spark)
+    s.add(v)
+    return s.get(v.filter("label = 2")).select("id", "label")
 
 
 def store_changes(spark, d):
-    """Three changes over a base: new rows, removed ones, some of those again."""
-    v = table(spark, d, "embeddings").select(F.lit("c").alias("collection"), F.col("vec_id").alias("id"), "label")
-    change = lambda x, at, gone=False: x.withColumns({"_removed": F.lit(gone), "_v": F.lit(at)})
-    first = change(v.filter("label in (3, 4)").withColumn("label", F.col("label") + 100), 1)
-    second = change(v.filter("label = 5 or (label = 3 and id % 2 = 0)"), 2, True)
-    third = change(v.filter("label = 5 and id % 3 = 0").withColumn("label", F.lit(500).cast(v.schema["label"].dataType)), 3)
-    return laid_over(v.filter("label != 4"), first.unionByName(second).unionByName(third)).select("id", "label")
+    """Three changes after the first: new rows, removed ones, some of those again."""
+    v, s = _labels(spark, d), _store(spark)
+    s.add(v.filter("label != 4"))
+    s.add(v.filter("label in (3, 4)").withColumn("label", F.col("label") + 100))
+    s.delete(v.filter("label = 5 or (label = 3 and id % 2 = 0)"))
+    s.add(v.filter("label = 5 and id % 3 = 0").withColumn("label", F.lit(500)))
+    return s.read().select("id", "label")
 
 
 def metadata_flat(spark, d):
@@ -353,11 +398,47 @@ def eval_metrics(spark, d):
 def eval_run(spark, d):
     """The benchmark as a suite, asked of all documents and scored; latencies differ from run to run and stay out."""
     e = E.provider()
-    v = docs(spark, d).select("id", "content", "source").withColumn("embedding", e(F.col("content")))
+    v = written(docs(spark, d).select("id", "content", "source").withColumn("embedding", e(F.col("content"))), "vectors")
     q = table(spark, d, "benchmark").select(F.concat(F.lit("What is said of "), F.col("text"), F.lit("?")).alias("question"), (F.col("item_id") % 2 == 0).alias("expected_refusal"))
     return evaluate.run(q, v, e).drop("latency_ms", "passages", "question_id")
 
 
+def _refusing(prompts):
+    """A provider that answers a prompt with its last words, and refuses those of a length that is divided by ten."""
+    out = []
+    for p in prompts:
+        if len(p) % 10 == 0:
+            raise remote.Refused(f"no answer to {len(p)} characters")
+        out.append(" ".join(p.split()[-3:]))
+    return out
+
+
+def attempted_answers(spark, d):
+    """What a provider says to each user turn, and its errors as rows."""
+    x = table(spark, d, "conversations").filter("role = 'user'")
+    a = remote.attempted(remote.answers(_refusing), F.col("text"), F.lit(None))
+    return x.withColumn("a", a).select("conv_id", "turn", "a.value", "a.error")
+
+
+def _refusing_questions(prompts):
+    out = []
+    for p in prompts:
+        question = p.rsplit("Question: ", 1)[1].removesuffix("\n\nAnswer:")
+        if len(question) % 10 == 0:
+            raise remote.Refused(f"no answer to {len(question)} characters")
+        out.append(p.split("[1] ", 1)[1].split("\n\n", 1)[0])
+    return out
+
+
+def eval_errors(spark, d):
+    """The benchmark as a suite, with a provider that fails for some questions: those are errors, the rest is scored."""
+    e = E.provider()
+    v = written(docs(spark, d).select("id", "content", "source").withColumn("embedding", e(F.col("content"))), "vectors")
+    q = table(spark, d, "benchmark").select(F.concat(F.lit("What is said of "), F.col("text"), F.lit("?")).alias("question"), F.lit(False).alias("expected_refusal"))
+    x = evaluate.run(q, v, e, answer=remote.answers(_refusing_questions))
+    return x.select("question", "error", (F.col("groundedness").isNotNull() & F.col("relevance").isNotNull()).alias("scored"), F.col("answer").isNotNull().alias("answered"))
+
+
 def eval_delta(spark, d):
     """Metrics of all answers beside those of every second conversation's."""
     x = _scored(spark, d)
@@ -392,7 +473,7 @@ def ask_benchmark(spark, d):
     """The whole workflow: each benchmark item asked of all documents in chunks of sentences."""
     e = E.provider()
     made = ingest.chunks(docs(spark, d))
-    v = made.select("id", "content", F.col("metadata")["source"].alias("source")).withColumn("embedding", e(F.col("content")))
+    v = written(made.select("id", "content", F.col("metadata")["source"].alias("source")).withColumn("embedding", e(F.col("content"))), "vectors")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("What is said of "), F.col("text"), F.lit("?")).alias("question"))
     return workflow.ask(q, v, e).select("question_id", "query_type", "answer", "confidence", "is_grounded", "retry_count", "action", "refusal_reason", F.size("citations").alias("n_citations"))
 
@@ -401,8 +482,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         clean_html_pages, clean_unicode_docs, clean_boilerplate_docs, normalize_ws_docs, strip_urls_emails, clean_full, doc_ids, detect_type, front_matter, page_numbers, page_dataset,
-        chunk_fixed_closed, chunk_fixed_words, chunk_sentence, chunk_stats, chunk_context, ingest_counts, embed_hashing, cache_keys, cache_miss,
-        topk_cosine, topk_l2, topk_ip, topk_filtered, topk_threshold, normalized_vectors, distance_scores, search_passages, rerank_minmax, citations_formatted, citations_dedupe, store_upsert, store_delete, get_by_ids, store_changes, metadata_flat,
-        classify_questions, grounding, groundedness, relevance, prompt_build, retry_decisions, refusal_messages, refusal_accuracy, eval_metrics, eval_delta, suite_checks, prompt_classes, token_counts, token_estimates, state_problems, ask_benchmark, eval_run,
+        chunk_fixed_closed, chunk_fixed_words, chunk_sentence, chunk_stats, chunk_context, ingest_counts, embed_hashing, cache_keys, cache_miss, cache_embed,
+        topk_cosine, topk_l2, topk_ip, topk_filtered, topk_threshold, topk_metadata, topk_grid, normalized_vectors, distance_scores, search_passages, rerank_minmax, citations_formatted, citations_dedupe, store_upsert, store_delete, get_by_ids, store_changes, metadata_flat,
+        classify_questions, grounding, groundedness, relevance, prompt_build, retry_decisions, refusal_messages, refusal_accuracy, eval_metrics, eval_delta, suite_checks, prompt_classes, attempted_answers, eval_errors, token_counts, token_estimates, state_problems, ask_benchmark, eval_run,
     )
 }

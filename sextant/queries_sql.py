@@ -163,7 +163,7 @@ SELECT format('{}-chunk-{:04d}', doc_id, ci) AS id, content, CAST(a AS INT) AS s
     "embed_hashing": f"""WITH w AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents), v AS ({_VECTOR.format(w="w")})
 SELECT doc_id, CASE WHEN c IS NULL THEN list_transform(range(64), lambda y: 0.0) ELSE list_transform({_UNIT}, lambda y: round(CAST(y AS DOUBLE), 5)) END AS embedding FROM documents LEFT JOIN v ON id = doc_id""",
     "cache_keys": "SELECT doc_id, sha256('hashing:' || text) AS key FROM documents",
-    "cache_miss": "SELECT DISTINCT sha256('hashing:' || text) AS key, 64 AS dimension FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en')",
+    "cache_miss": "SELECT DISTINCT sha256('hashing:' || text) AS key, 64 AS dimension FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en' GROUP BY text HAVING min(doc_id) % 5 != 0)",
     "topk_cosine": ranked(f"list_cosine_similarity({A}, {B})"),
     "topk_l2": ranked(f"1 / (1 + list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))))"),
     "topk_ip": ranked(f"list_inner_product({A}, {B}) - 1"),
@@ -220,8 +220,17 @@ SELECT conv_id, turn, coalesce(q, '') AS initial, coalesce(q, '') AS retrieval,
 CASE WHEN bare AND conv_id % 4 != 0 THEN 'completed state must have an answer, refusal_reason, or error' WHEN NOT bare AND turn * 0.3 > 1 THEN 'confidence must be a float between 0.0 and 1.0' ELSE '' END AS complete FROM s"""
 ORACLES["normalized_vectors"] = """WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM embeddings)
 SELECT vec_id, list_transform(embedding, lambda x: round(CAST(CAST(x::DOUBLE / CASE WHEN l > 0 THEN l ELSE 1 END AS FLOAT) AS DOUBLE), 5) + 0.0) AS unit, round(l, 5) AS length FROM n"""
-ORACLES["distance_scores"] = """WITH x AS (SELECT vec_id, (vec_id % 41 - 10) / 10.0::DOUBLE AS d FROM embeddings)
-SELECT vec_id, round(greatest(0, least(1, 1 - d)), 9) AS cosine, round(greatest(0, least(1, 1 / (1 + greatest(d, 0)))), 9) AS l2, round(greatest(0, least(1, -d)), 9) AS ip, round(greatest(0, least(1, 1 - d)), 9) AS other FROM x"""
+ORACLES["distance_scores"] = f"""WITH p AS (SELECT a.vec_id AS question_id, b.vec_id, list_cosine_similarity({A}, {B}) AS c, list_inner_product({A}, {B}) AS d,
+  list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS l FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0)
+SELECT question_id, vec_id, round(greatest(0, least(1, c)), 6) AS cosine, round(1 / (1 + greatest(l, 0)), 6) AS l2, round(greatest(0, least(1, -d)), 6) AS ip, round(greatest(0, least(1, 1 - 3 * d)), 6) AS other FROM p"""
+ORACLES["cache_embed"] = ORACLES["embed_hashing"]
+ORACLES["topk_metadata"] = ORACLES["topk_filtered"]
+ORACLES["topk_grid"] = f"""WITH v AS (SELECT vec_id, label, {A.replace("a.", "")} AS e FROM embeddings), r AS (SELECT a.vec_id AS q, b.vec_id AS chunk_id, b.label, round(greatest(0.0, least(1.0, list_cosine_similarity(a.e, b.e))), 12) AS score FROM v a, v b),
+n AS (SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk_id) AS INT) AS rank, chunk_id, round(score, 6) AS score, label FROM r)
+SELECT q + more AS question_id, rank, chunk_id, score, label FROM n, (VALUES (0), (1000000), (2000000)) m(more) WHERE rank <= 3"""
+ORACLES["attempted_answers"] = """SELECT conv_id, turn, CASE WHEN length(text) % 10 != 0 THEN array_to_string(w[greatest(len(w) - 2, 1):], ' ') END AS value, CASE WHEN length(text) % 10 = 0 THEN 'no answer to ' || length(text) || ' characters' END AS error
+FROM (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda x: x != '') AS w FROM conversations WHERE role = 'user')"""
+ORACLES["eval_errors"] = """SELECT q AS question, CASE WHEN length(q) % 10 = 0 THEN 'The answer provider failed: no answer to ' || length(q) || ' characters' END AS error, length(q) % 10 != 0 AS scored, length(q) % 10 != 0 AS answered FROM (SELECT 'What is said of ' || text || '?' AS q FROM benchmark)"""
 _PARTS = ("avg_groundedness", "avg_relevance", "refusal_accuracy")
 _HALF = ORACLES["eval_metrics"].replace("AS avg_latency_ms FROM g", "AS avg_latency_ms FROM g WHERE conv_id % 2 = 0")
 ORACLES["eval_delta"] = f"WITH a AS ({ORACLES['eval_metrics']}), b AS ({_HALF})" + " UNION ALL ".join(

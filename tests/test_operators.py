@@ -68,14 +68,7 @@ def test_context(spark):
     assert rows[2].context_after == ""
 
 
-def test_embedding_cache_and_providers(spark):
-    rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, None)], "i int, content string")
-    empty = spark.createDataFrame([], "key string, model string, vector array<float>, dimension int")
-    out, new = E.cached_embed(rows, empty, E.provider(), "m")
-    assert new.count() == 2 and out.filter("embedding is null").count() == 1
-    again, none = E.cached_embed(rows, new, E.provider(), "m")
-    assert none.count() == 0 and again.filter("embedding is not null").count() == 3
-    assert E.cache_stats(new).first().entries == 2
+def test_unknown_provider():
     with pytest.raises(ProviderError):
         E.provider("nothing")
 
@@ -234,10 +227,10 @@ def test_cleaning_a_frame_and_a_column_agree(spark):
 
 
 def test_top_k_passes_ids_and_close_scores(spark, monkeypatch):
-    """String ids, questions in several passes, scores that differ after six places, columns that come along."""
-    monkeypatch.setattr(S, "PASS", 3)
+    """String ids, scores that differ after six places, columns that come along, by either way of search."""
+    monkeypatch.setattr(S, "FIRST", 3)
     v = spark.createDataFrame([(f"v{i}", [1.0, 1e-4 * i], f"text {i}") for i in range(30)], "id string, embedding array<double>, content string").repartition(5)
     q = spark.createDataFrame([(f"q{i}", [1.0, 0.0]) for i in range(8)] + [("none", None)], "question_id string, embedding array<double>")
-    got = S.top_k(v, q, k=3, keep=("content",)).collect()
+    got = S.top_k(v, q, k=3, keep=("content",), asked=16).collect()
     assert len(got) == 24 and {(r.question_id, r["rank"], r.chunk_id, r.content) for r in got} == {(f"q{i}", j + 1, f"v{j}", f"text {j}") for i in range(8) for j in range(3)}
     assert S.top_k(v, q.limit(0)).count() == 0 and S.top_k(v.limit(0), q).count() == 0

@@ -83,8 +83,8 @@ def test_page_files(spark, tmp_path):
     assert [r.source for r in failed.collect()] == ["b.json"] and files.read("json_pages", spark, str(tmp_path)).count() == 1
 
 
-def test_store_folds_changes(spark, tmp_path):
-    s = store.open_store("parquet", spark, f"file://{tmp_path}/s", dimension=1, most=3)
+def test_store_merges_changes(spark, tmp_path):
+    s = store.open_store("parquet", spark, f"file://{tmp_path}/s", dimension=1)
     rows = lambda *x: spark.createDataFrame(x, "id string, embedding array<float>, content string")
     want = {}
     for i in range(8):
@@ -97,7 +97,7 @@ def test_store_folds_changes(spark, tmp_path):
     s.add(rows(("z", [1.0], "z")).limit(0))
     s.add(rows(("k0", [3.0], "other")), "second")
     assert {r.id: r.content for r in s.read("default").collect()} == want and s.count("second") == 1
-    assert len({n for n, kind in s._tables() if kind == "base"}) <= 2
+    assert len(s._runs("default").current()) <= 4
     s.clear()
     assert s.count() == 0 and s.count("second") == 1
     with pytest.raises(StoreError, match="components"):
@@ -122,10 +122,10 @@ def test_remote_providers(spark):
     assert [remote.pause(i, 1.0, 0.5) for i in (0, 1, 2, 9)] == [1.5, 2.5, 4.5, 60.0]
     with pytest.raises(ValueError):
         remote.persistent(lambda: int("x"), 5, 1.0, (OSError,), slept.append)()
-    run = remote._batched(lambda ts: [len(t) for t in ts], 2, remote.pa.int32())
+    run = remote._results(remote._checked(lambda ts: [len(t) for t in ts]), 2, remote.pa.int32())
     assert run(remote.pa.array(["a", None, " ", "bcd", "a", "ee"])).to_pylist() == [1, None, None, 3, 1, 2]
     with pytest.raises(ProviderError):
-        remote._batched(lambda ts: [], 2, remote.pa.int32())(remote.pa.array(["a"]))
+        remote._results(remote._checked(lambda ts: []), 2, remote.pa.int32())(remote.pa.array(["a"]))
     d = spark.createDataFrame([("x y", ["One. Two. Three."]), (None, None)], "p string, ps array<string>")
     say = answers.provider("remote", call=lambda ts: [t.upper() for t in ts])
     assert [r[0] for r in d.select(say(d.p, d.ps)).collect()] == ["X Y", None]
