@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sextant.functions.text import let
 from sextant.functions.tokens import sentences, token_list, token_set
 
 #: Part of a sentence's tokens that passages must have; part of sentences that must be supported.
@@ -23,8 +24,8 @@ def context_tokens(passages: Column) -> Column:
 def _sentence_scores(answer: Column, context: Column) -> Column:
     """Array of (sentence, score): the part of its tokens that the context has; 1 without tokens."""
     def one(s: Column) -> Column:
-        t = token_set(s)
-        return F.struct(s.alias("sentence"), F.when(F.size(t) == 0, 1.0).otherwise(F.size(F.array_intersect(t, context)) / F.size(t)).alias("score"))
+        part = lambda t: F.when(F.size(t) == 0, 1.0).otherwise(F.size(F.array_intersect(t, context)) / F.size(t))
+        return F.struct(s.alias("sentence"), let(token_set(s), part).alias("score"))
     return F.transform(sentences(F.coalesce(answer, F.lit(""))), one)
 
 
@@ -33,32 +34,46 @@ def grounding(answer: Column, context: Column, n_passages: Column, sentence: flo
 
     Without passages nothing is supported.  A blank answer is not grounded, with confidence 0.
     """
-    scored = _sentence_scores(answer, context)
-    ok = F.when(n_passages > 0, F.filter(scored, lambda x: x["score"] >= sentence)).otherwise(F.filter(scored, lambda x: F.lit(False)))
-    no = F.when(n_passages > 0, F.filter(scored, lambda x: x["score"] < sentence)).otherwise(scored)
-    ratio = F.when(F.size(scored) > 0, F.size(ok) / F.size(scored)).otherwise(0.0)
     name = lambda xs: F.transform(xs, lambda x: x["sentence"])
-    return F.struct(((ratio >= least) & (F.size(scored) > 0)).alias("is_grounded"), F.round(ratio, 4).alias("confidence"), name(ok).alias("supported_claims"), name(no).alias("unsupported_claims"))
+
+    def judged(x: Column) -> Column:
+        ok, n = F.size(x["ok"]), F.size(x["ok"]) + F.size(x["no"])
+        ratio = F.when(n > 0, ok / n).otherwise(0.0)
+        return F.struct(((ratio >= least) & (n > 0)).alias("is_grounded"), F.round(ratio, 4).alias("confidence"), name(x["ok"]).alias("supported_claims"), name(x["no"]).alias("unsupported_claims"))
+
+    def split(scored: Column) -> Column:
+        supported = lambda x: (n_passages > 0) & (x["score"] >= sentence)
+        return let(F.struct(F.filter(scored, supported).alias("ok"), F.filter(scored, lambda x: ~supported(x)).alias("no")), judged)
+
+    return let(_sentence_scores(answer, context), split)
 
 
 def groundedness(answer: Column, context: Column, threshold: float = SENTENCE) -> Column:
     """Part of sentences whose token part, rounded to four places, reaches the threshold; blank answers 0."""
-    scored = _sentence_scores(answer, context)
-    ok = F.size(F.filter(scored, lambda x: F.round(x["score"], 4) >= threshold))
-    return F.when(F.size(scored) > 0, F.round(ok / F.size(scored), 4)).otherwise(0.0)
+    def part(scored: Column) -> Column:
+        ok = F.size(F.filter(scored, lambda x: F.round(x["score"], 4) >= threshold))
+        return F.when(F.size(scored) > 0, F.round(ok / F.size(scored), 4)).otherwise(0.0)
+
+    return let(_sentence_scores(answer, context), part)
 
 
 def relevance(question: Column, answer: Column) -> Column:
-    """Weighted part of the question's tokens that the answer has, rarer ones counting more, less for short answers."""
-    q, a = token_set(question, fillers=True), token_list(F.coalesce(answer, F.lit("")), fillers=True)
-    total = F.greatest(F.size(a), F.lit(1))
-    weight = lambda t: 2 - F.size(F.filter(a, lambda x: x == t)) / total
-    add = lambda xs: F.aggregate(F.transform(xs, lambda t: weight(t).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    distinct = F.size(F.array_distinct(a))
-    short = F.when(distinct < F.size(q), 0.5 + 0.5 * distinct / F.size(q)).otherwise(1.0)
-    score = F.round(clamp(add(F.array_intersect(q, a)) / add(q) * short), 4)
-    blank = F.trim(F.coalesce(answer, F.lit(""))) == ""
-    return F.when(blank, 0.0).when(F.size(q) == 0, 1.0).otherwise(score)
+    """Weighted part of the question's tokens that the answer has, rarer ones counting more, less for short answers.
+
+    A token weighs 2 less its share of the answer's tokens, so those that the answer lacks weigh 2 and only the
+    others are counted.
+    """
+    def scored(x: Column) -> Column:
+        q, a, both = x["q"], x["a"], F.array_intersect(x["q"], x["a"])
+        total, distinct = F.greatest(F.size(a), F.lit(1)), F.size(F.array_distinct(a))
+        weight = lambda t: 2 - F.size(F.filter(a, lambda y: y == t)) / total
+        hits = F.aggregate(both, F.lit(0.0), lambda s, t: s + weight(t))
+        short = F.when(distinct < F.size(q), 0.5 + 0.5 * distinct / F.size(q)).otherwise(1.0)
+        part = let(F.struct(hits.alias("h"), F.size(both).alias("n")), lambda y: y["h"] / (y["h"] + 2.0 * (F.size(q) - y["n"])))
+        return F.when(F.size(q) == 0, 1.0).otherwise(F.round(clamp(part * short), 4))
+
+    tokens = F.struct(token_set(question, fillers=True).alias("q"), token_list(F.coalesce(answer, F.lit("")), fillers=True).alias("a"))
+    return F.when(F.trim(F.coalesce(answer, F.lit(""))) == "", 0.0).otherwise(let(tokens, scored))
 
 
 def refusal(expected: Column, reason: Column) -> Column:

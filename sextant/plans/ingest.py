@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Observation
+import numpy as np
+import pyarrow as pa
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.errors import ConfigError, IngestError
@@ -46,12 +50,37 @@ def sound(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.filter(F.col("id").isNotNull() & F.col("content").isNotNull()), docs.filter(why.isNotNull()).select("source", said.alias("error"))
 
 
+class Progress:
+    """How many documents and chunks of one ingest have passed, as its finished tasks tell."""
+
+    def __init__(self, spark: SparkSession):
+        self.documents, self.chunks = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    @staticmethod
+    def counted(rows: DataFrame, key: str, total: Accumulator) -> DataFrame:
+        """rows, each counted as it passes; only the key leaves the JVM."""
+
+        @F.arrow_udf("boolean")
+        def seen(keys: pa.Array) -> pa.Array:
+            total.add(len(keys))
+            return pa.array(np.ones(len(keys), bool))
+
+        return rows.filter(seen.asNondeterministic()(F.col(key)))
+
+
 def index(made: DataFrame, store: VectorStore, embed: Provider, collection: str = "default") -> None:
-    """Embed chunks and upsert them by id: ids follow from the source, so a repeated run changes nothing."""
+    """Embed chunks and upsert them by id: ids follow from the source, so a repeated run changes nothing.  No chunks are an error."""
+    out = Observation()
+    _indexed(made.observe(out, F.count(F.lit(1)).alias("n")), store, embed, collection)
+    if not out.get["n"]:
+        raise IngestError("there are no chunks to index")
+
+
+def _indexed(made: DataFrame, store: VectorStore, embed: Provider, collection: str) -> None:
     store.add(made.withColumn("embedding", embed(F.col("content"))), collection)
 
 
-def run(docs: DataFrame, store: VectorStore, embed: Provider, collection: str = "default", failed: DataFrame | None = None, **how) -> tuple[dict, DataFrame]:
+def run(docs: DataFrame, store: VectorStore, embed: Provider, collection: str = "default", failed: DataFrame | None = None, progress: Progress | None = None, **how) -> tuple[dict, DataFrame]:
     """(summary, errors) of an ingest: clean, chunk, embed, upsert in one job, counted as the rows pass.
 
     summary: documents_count, chunks_count, errors_count, elapsed_seconds, documents_per_second.  failed: what
@@ -62,30 +91,40 @@ def run(docs: DataFrame, store: VectorStore, embed: Provider, collection: str =
     errors = bad if failed is None else failed.select("source", "error").unionByName(bad)
     seen, out = Observation(), Observation()
     start = time.perf_counter()
-    made = chunks(good.observe(seen, F.count(F.lit(1)).alias("n")), **how).observe(out, F.count(F.lit(1)).alias("n"))
-    index(made, store, embed, collection)
+    count = progress.counted if progress else lambda rows, key, total: rows
+    good = count(good.observe(seen, F.count(F.lit(1)).alias("n")), "id", progress and progress.documents)
+    made = count(chunks(good, **how).observe(out, F.count(F.lit(1)).alias("n")), "id", progress and progress.chunks)
+    _indexed(made, store, embed, collection)
     took = time.perf_counter() - start
     n = seen.get["n"]
     return {"documents_count": n, "chunks_count": out.get["n"], "errors_count": errors.count(), "elapsed_seconds": round(took, 2), "documents_per_second": round(n / took, 2)}, errors
 
 
 def run_with_progress(docs: DataFrame, store: VectorStore, embed: Provider, collection: str = "default", failed: DataFrame | None = None, every: float = 1.0, **how) -> Iterator[dict]:
-    """run, as dictionaries: stages, tasks and tasks_done of what is running, at last the summary."""
-    spark = docs.sparkSession
-    tracker, done = spark.sparkContext.statusTracker(), []
+    """run, as dictionaries: documents_done and chunks_done of this ingest, whatever else runs; at last the summary.
+
+    The job has a group of its own; whoever stops listening cancels it.
+    """
+    spark, done = docs.sparkSession, []
+    progress, group = Progress(spark), f"ingest-{uuid.uuid4().hex}"
 
     def work() -> None:
         try:
-            done.append(run(docs, store, embed, collection, failed, **how)[0])
+            spark.sparkContext.setJobGroup(group, "ingest", True)
+            done.append(run(docs, store, embed, collection, failed, progress, **how)[0])
         except Exception as e:  # handed to the caller's thread below
             done.append(e)
 
     t = threading.Thread(target=work, daemon=True)
     t.start()
-    while t.is_alive():
-        stages = [i for i in map(tracker.getStageInfo, tracker.getActiveStageIds()) if i]
-        yield {"stages": len(stages), "tasks": sum(i.numTasks for i in stages), "tasks_done": sum(i.numCompletedTasks for i in stages)}
-        t.join(every)
+    try:
+        while t.is_alive():
+            yield {"documents_done": progress.documents.value, "chunks_done": progress.chunks.value}
+            t.join(every)
+    finally:
+        if t.is_alive():
+            spark.sparkContext.cancelJobGroup(group)
     if isinstance(done[0], Exception):
         raise IngestError(str(done[0])) from done[0]
+    yield {"documents_done": progress.documents.value, "chunks_done": progress.chunks.value}
     yield done[0]

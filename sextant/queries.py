@@ -18,7 +18,7 @@ from sextant.operators import embedding as E
 from sextant.operators import grounding as G
 from sextant.operators import remote
 from sextant.operators import search as S
-from sextant.operators.chunking import chunk_fixed, chunk_sentences, with_context
+from sextant.operators.chunking import chunk_fixed, chunk_sentences
 from sextant.operators.store import VectorStore, flat_metadata
 from sextant.plans import evaluate, ingest, workflow
 from sextant.sources import files, pdf
@@ -139,9 +139,12 @@ def chunk_stats(spark, d):
 
 
 def chunk_context(spark, d):
-    x = docs(spark, d)
-    y = with_context(chunk_fixed(x, size=500, overlap=50, words=False), x, window=40)
-    return y.select("id", "context_before", "context_after", F.round("position", 9).alias("position"), "content_length")
+    """What surrounds each chunk; every third document is a page."""
+    page = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("page_number"), (F.col("doc_id") % 500).cast("string"), F.lit("paragraph"), F.lit("2"))).otherwise(F.create_map(F.lit("lang"), F.col("lang")))
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), page.alias("metadata"))
+    p = F.col("position_info")
+    y = chunk_fixed(x, size=500, overlap=50, words=False, context=40)
+    return y.select("id", "context_before", "context_after", F.round(p["position"], 9).alias("position"), p["char_count"].alias("content_length"), p["content_hash"].alias("content_hash"), p["page"].alias("page"), p["paragraph"].alias("paragraph"))
 
 
 def ingest_counts(spark, d):

@@ -159,7 +159,8 @@ z AS (SELECT w.*, regexp_replace(text[a + 1:b], '^\s+|\s+$', '', 'g') AS content
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS ci, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total FROM z WHERE content != '')
 SELECT format('{}-chunk-{:04d}', doc_id, ci) AS id, content, CAST(a AS INT) AS start_idx, CAST(b AS INT) AS end_idx, total AS total_chunks FROM k""",
     "chunk_stats": f"WITH {CLOSED} SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars FROM z GROUP BY source",
-    "chunk_context": f"""WITH {CLOSED} SELECT {CID} AS id, CASE WHEN a > 40 THEN '...' ELSE '' END || text[greatest(a - 40, 0) + 1:a] AS context_before, text[b + 1:least(b + 40, n)] || CASE WHEN b + 40 < n THEN '...' ELSE '' END AS context_after, round(a / n, 9) AS position, CAST(length(content) AS INT) AS content_length FROM z""",
+    "chunk_context": f"""WITH {CLOSED} SELECT {CID} AS id, CASE WHEN a > 40 THEN '...' ELSE '' END || text[greatest(a - 40, 0) + 1:a] AS context_before, text[b + 1:least(b + 40, n)] || CASE WHEN b + 40 < n THEN '...' ELSE '' END AS context_after, round(a / n, 9) AS position, CAST(length(content) AS INT) AS content_length, md5(content) AS content_hash,
+CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 500 AS INT) END AS page, CASE WHEN doc_id % 3 = 0 THEN 2 END AS paragraph FROM z""",
     "embed_hashing": f"""WITH w AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents), v AS ({_VECTOR.format(w="w")})
 SELECT doc_id, CASE WHEN c IS NULL THEN list_transform(range(64), lambda y: 0.0) ELSE list_transform({_UNIT}, lambda y: round(CAST(y AS DOUBLE), 5)) END AS embedding FROM documents LEFT JOIN v ON id = doc_id""",
     "cache_keys": "SELECT doc_id, sha256('hashing:' || text) AS key FROM documents",
@@ -200,6 +201,17 @@ coalesce(round(avg(CAST((conv_id % 2 = 0) = (confidence < 0.5) AS DOUBLE)) FILTE
     "token_counts": f"SELECT token, count(*) AS times FROM (SELECT unnest({tokens('text')}) AS token FROM documents) GROUP BY token",
 }
 
+# Sentences: a mark after . ! or ? before white space, moved behind the white space where a letter follows; a mark behind a newline and its white
+# space.  Pieces are then packed one sentence after the other.
+_SENTENCES = rf"""WITH RECURSIVE m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1) || '(\s+)([A-Za-z])', '\1' || chr(1) || '\2', 'g'), '(\n\s*)(\S)', '\1' || chr(1) || '\2', 'g') AS t FROM documents WHERE text != ''),
+u AS (SELECT doc_id, unnest(string_split(t, chr(1))) AS p, unnest(range(len(string_split(t, chr(1))))) AS i FROM m),
+o AS (SELECT doc_id, i, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM u),
+s AS (SELECT doc_id, {strip("p")} AS s, b - length({rep("p", "^\\s+")}) AS a, b, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o WHERE {strip("p")} != ''),
+g AS (SELECT doc_id, k, 0 AS c, length(s) AS used FROM s WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.k, CASE WHEN used + length(s) > 1000 THEN c + 1 ELSE c END, CASE WHEN used + length(s) > 1000 THEN length(s) ELSE used + length(s) END FROM g JOIN s ON s.doc_id = g.doc_id AND s.k = g.k + 1)
+SELECT format('{{}}-chunk-{{:04d}}', doc_id, c) AS id, string_agg(s, ' ' ORDER BY k) AS content, CAST(min(a) AS INT) AS start_idx, CAST(max(b) AS INT) AS end_idx, CAST(count(*) AS INT) AS sentence_count, CAST(max(c) OVER (PARTITION BY doc_id) + 1 AS INT) AS total_chunks FROM g JOIN s USING (doc_id, k) GROUP BY doc_id, c"""
+ORACLES["chunk_sentence"] = _SENTENCES
+
 # The same recursion over texts that are cleaned first.
 ORACLES["ingest_counts"] = "SELECT (SELECT count(*) FROM documents) AS documents_count, count(*) AS chunks_count FROM (" + ORACLES["chunk_fixed_words"].replace(
     "d AS (SELECT doc_id, text, length(text) AS n FROM documents)", f"""h AS (SELECT doc_id, {unicode_(html('text'))} AS t FROM documents), g AS (SELECT doc_id, {boilerplate('t')} AS t FROM h),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sextant.errors import SourceError
 from sextant.functions.text import strip
 from sextant.schemas import PAGE
+from sextant.sources.charsets import decoded
 
 #: Document types by extension.
 EXTENSIONS = {".pdf": "pdf", ".txt": "txt", ".text": "txt", ".md": "md", ".markdown": "md", ".html": "html", ".htm": "html", ".json": "json"}
@@ -98,19 +99,20 @@ def list_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = SC
 def load_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = SCANNED) -> tuple[DataFrame, DataFrame]:
     """(documents, failures: source and error) of all files below a folder, by their relative path.
 
-    A text that is not UTF-8 is read as Latin-1.  A file that cannot be read is a failure and ends nothing.
+    The character set of a text is guessed where it is not UTF-8, and stands in the metadata.  A file that cannot
+    be read is a failure and ends nothing.
     """
     raw = _files(spark, path, extensions)
     pdf = raw.filter("_ext = '.pdf'").drop("_ext")
     none = F.lit(None).cast("string")
-    text = raw.filter("_ext != '.pdf'").drop("_ext").withColumn("content", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))).withColumn("error", none)
+    text = raw.filter("_ext != '.pdf'").drop("_ext").withColumn("_d", decoded(F.col("content"))).withColumns({"content": F.col("_d.content"), "charset": F.col("_d.charset"), "error": none}).drop("_d")
     if ".pdf" in extensions and not pdf.select("source").isEmpty():
         try:
             import pypdf  # noqa: F401
 
-            read = pdf.mapInPandas(_pdf_text, "source string, absolute_path string, file_size long, modified timestamp, content string, error string")
+            read = pdf.mapInPandas(_pdf_text, "source string, absolute_path string, file_size long, modified timestamp, content string, error string").withColumn("charset", none)
         except ImportError:
-            read = pdf.withColumn("content", none).withColumn("error", F.lit("PDF files need pypdf"))
+            read = pdf.withColumns({"content": none, "charset": none, "error": F.lit("PDF files need pypdf")})
         text = text.unionByName(read)
     return as_documents(text.filter("error is null").drop("error")), text.filter("error is not null").select("source", "error")
 
@@ -123,7 +125,7 @@ def read_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = SC
 def as_documents(rows: DataFrame) -> DataFrame:
     """Rows (source, content, and what there is of absolute_path, file_size, modified) as documents."""
     have = set(rows.columns)
-    extra = [x for c in ("absolute_path", "file_size") if c in have for x in (F.lit(c), F.col(c).cast("string"))]
+    extra = [x for c in ("absolute_path", "file_size", "charset") if c in have for x in (F.lit(c), F.col(c).cast("string"))]
     at = F.col("modified").cast("timestamp") if "modified" in have else F.lit(None).cast("timestamp")
     title = F.regexp_extract("source", r"([^/\\]+?)(?:\.[^./\\]*)?$", 1)
     d = rows.withColumn("_m", front_matter(F.col("content")))

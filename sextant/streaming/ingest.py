@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sextant.operators.embedding import Provider
 from sextant.operators.store import VectorStore
-from sextant.plans.ingest import chunks, index
+from sextant.plans.ingest import chunks
 from sextant.sources.files import as_documents
 
 
@@ -23,7 +23,8 @@ def ingest_stream(docs: DataFrame, store: VectorStore, embed: Provider, checkpoi
     """Start the stream. A batch that is replayed upserts the same ids, so the store ends as if it had run once."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        index(chunks(rows, **how), store, embed, collection)
+        made = chunks(rows, **how)
+        store.add(made.withColumn("embedding", embed(F.col("content"))), collection)
 
     w = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

@@ -50,22 +50,23 @@ def test_fixed_words():
 
 def test_sentences_pack(spark):
     text = "One is here. Two is there. 42 left.\nThree! " + "w" * 60 + ". End"
-    spans = C.sentence_spans(text)
-    assert "".join(text[a:b].replace(" ", "").replace("\n", "") for _, a, b in spans) == text.replace(" ", "").replace("\n", "")
     df = spark.createDataFrame([("d", text), ("e", ""), ("n", None)], "id string, content string")
     rows = C.chunk_sentences(df, least=10, most=30).orderBy("start_idx").collect()
-    assert sum(r.sentence_count for r in rows) == len(spans)
+    assert sum(r.sentence_count for r in rows) == 6
     assert all(sum(map(len, r.content.split())) <= 30 or r.sentence_count == 1 for r in rows)
     assert {r.chunk_meta.total_chunks for r in rows} == {len(rows)}
     assert [r.id for r in rows] == [f"d-chunk-{i:04d}" for i in range(len(rows))]
 
 
 def test_context(spark):
-    df = spark.createDataFrame([("d", "abcdefghij" * 5)], "id string, content string")
-    rows = C.with_context(C.chunk_fixed(df, size=20, words=False), df, window=5).orderBy("start_idx").collect()
+    df = spark.createDataFrame([("d", "abcdefghij" * 5, {"page_number": "7"}), ("e", "", None), ("f", None, None)], "id string, content string, metadata map<string,string>")
+    rows = C.chunk_fixed(df, size=20, words=False, context=5).orderBy("start_idx").collect()
     assert (rows[0].context_before, rows[0].context_after) == ("", "abcde...")
-    assert (rows[1].context_before, rows[1].position) == ("...fghij", 0.4)
-    assert rows[2].context_after == ""
+    assert (rows[1].context_before, rows[1].position_info.position, rows[1].position_info.page, rows[1].position_info.paragraph) == ("...fghij", 0.4, 7, None)
+    assert rows[2].context_after == "" and len(rows) == 3
+    assert [r.context_before + r.context_after for r in C.chunk_fixed(df, size=50, words=False, context=0).collect()] == [""]
+    with pytest.raises(ConfigError):
+        C.chunk_fixed(df, context=-1)
 
 
 def test_unknown_provider():

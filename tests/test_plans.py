@@ -180,7 +180,7 @@ def test_engine_and_evaluation(spark, tmp_path):
     with pytest.raises(ConfigError):
         evaluate.save_report(rep, str(tmp_path), ("pdf",))
     steps = list(ingest.run_with_progress(spark.createDataFrame([("n", "New words here.", "n", "txt", None), ("o", None, "o", "txt", None)], "id string, content string, source string, document_type string, metadata map<string,string>"), it.store, it.embed, every=0.2))
-    assert steps[-1]["documents_count"] == 1 and steps[-1]["errors_count"] == 1 and "tasks" in steps[0]
+    assert steps[-1]["documents_count"] == 1 and steps[-1]["errors_count"] == 1 and "documents_done" in steps[0]
     assert it.store.count() == 3
 
 
