@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sextant.errors import SourceError
 from sextant.functions.text import strip
 from sextant.schemas import PAGE
+from sextant.sources.arrays import array_entries
 from sextant.sources.charsets import decoded
 
 #: Document types by extension.
@@ -144,18 +145,22 @@ def page_label(chapter: Column, page: Column, source: Column) -> Column:
 def load_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents, failures: source and error) of files that hold a JSON array of pages (chapter, page_number, source, text).
 
-    Pages without text are skipped; a field of another type is null; a file that is no JSON is a failure and
-    ends nothing.
+    Large files are read by many tasks.  Pages without text are skipped; a field of another type is null; an
+    entry that is no object is a failure with its place in the array, a file that holds no whole array is one too,
+    and neither ends anything.
     """
-    rows = spark.read.schema(f"{PAGE}, _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
-    rows = rows.withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0))
-    good = rows.filter(strip(F.col("text")) != "")
+    entries, failed = array_entries(spark, path)
+    name = F.regexp_extract(F.col("file"), r"[^/]+$", 0)
+    page = F.from_json("entry", f"{PAGE}, _broken string", {"columnNameOfCorruptRecord": "_broken", "allowUnquotedControlChars": "true"})
+    is_object = F.col("entry").rlike(r"(?s)\A\s*\{") & F.try_parse_json("entry").isNotNull()
+    good = entries.filter(is_object).select(page.alias("_p")).select("_p.*").filter(strip(F.col("text")) != "")
     ident = F.concat_ws("::", "source", F.lit("page"), F.col("page_number").cast("string"))
     docs = good.select(
         document_id(ident).alias("id"), F.col("text").alias("content"), page_label(F.col("chapter"), F.col("page_number"), F.col("source")).alias("source"), F.lit("txt").alias("document_type"),
         F.map_filter(F.create_map(F.lit("chapter"), F.col("chapter").cast("string"), F.lit("page_number"), F.col("page_number").cast("string"), F.lit("file"), F.col("source")), lambda k, v: v.isNotNull()).alias("metadata"),
     )
-    return docs, rows.filter(F.col("_broken").isNotNull() & F.col("text").isNull()).select(F.col("_file").alias("source"), F.lit("not a JSON array of pages").alias("error"))
+    bad = entries.filter(~is_object).select(name.alias("source"), F.concat(F.lit("entry "), F.col("position").cast("string"), F.lit(": not a page")).alias("error"))
+    return docs, bad.unionByName(failed.select(name.alias("source"), F.concat(F.lit("not a JSON array of pages: "), "error").alias("error")))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
