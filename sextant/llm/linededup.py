@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ def _digest(line: str) -> bytes:
     return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterable[pa.RecordBatch], least: int = MIN_EXACT) -> Iterator[pa.RecordBatch]:
     """(doc_id, line_no, k, chars) per line that may be removed, and a row with line_no -1 per document: its lines."""
     for batch in batches:
         ids, nos, ks, chars = [], [], [], []
@@ -51,7 +52,7 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, line in enumerate(text.split("\n")):
                 line = line.strip(_SPACE)
                 full += bool(line)
-                if len(line) >= MIN_EXACT:
+                if len(line) >= least:
                     ids.append(doc)
                     nos.append(i)
                     ks.append(_digest(line))
@@ -91,8 +92,8 @@ def probes(length: int, other: int, tau: int) -> list[tuple[int, int, int]]:
 class _Signer:
     """Signatures of lines: hashes of (length of the shorter line, segment, substring)."""
 
-    def __init__(self, tau: int):
-        self.tau, self.shapes, self.power, self.inverse = tau, {}, np.ones(1, np.uint64), np.ones(1, np.uint64)
+    def __init__(self, tau: int, least: int = MIN_NEAR):
+        self.least, self.tau, self.shapes, self.power, self.inverse = least, tau, {}, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:
         if n > len(self.power):
@@ -105,7 +106,7 @@ class _Signer:
         """Starts, sizes and tags of a line's own segments, then of its probes."""
         if length not in self.shapes:
             rows = [(s, n, length, i) for i, (s, n) in enumerate(segments(length, self.tau))]
-            for other in range(max(length - self.tau, MIN_NEAR), length + 1):
+            for other in range(max(length - self.tau, self.least), length + 1):
                 rows += [(s, n, other, i) for i, s, n in probes(length, other, self.tau)]
             x = np.array(rows, np.int64)
             if len(self.shapes) > 20_000:
@@ -136,14 +137,14 @@ class _Signer:
 _PACKED = "bucket int, sigs binary, lines binary, own binary, parity binary, places binary"
 
 
-def _signatures(tau: int, buckets: int):
+def _signatures(tau: int, buckets: int, least: int):
     """Packed signatures by bucket of the distinct lines of a task's documents, again where an earlier document has a line.
 
     Places are ids as 32-bit floats, null ids last: rounded, but never in the wrong order.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, seen, held, chars = _Signer(tau), {}, [], 0
+        signer, seen, held, chars = _Signer(tau, least), {}, [], 0
 
         def pack() -> pa.RecordBatch:
             sig, line, own, parity = signer.sign([x for _, x, _ in held])
@@ -161,7 +162,7 @@ def _signatures(tau: int, buckets: int):
                 doc = np.inf if doc is None else doc
                 for line in text.split("\n"):
                     line = line.strip(_SPACE)
-                    if len(line) < MIN_NEAR:
+                    if len(line) < least:
                         continue
                     k = _digest(line)
                     if seen.get(k, np.inf) <= doc and k in seen:
@@ -182,13 +183,19 @@ def _signatures(tau: int, buckets: int):
 _MET = "run long, q long, x long, more boolean, members binary"
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which parities differ, all of one side with all of the other."""
+    return np.bitwise_count(a[:, None] ^ b[None, :])
+
+
 def candidates(bits: np.ndarray, stands: np.ndarray, place: np.ndarray, most: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, other line, whether line has more) for lines of a run in order of their places.
 
     Others are no later by the places, have a parity within ``most`` bits, and stand where the line only
     looks.  Of those in the first window that brings a line to ``first`` others, the earliest and the nearest are named;
-    windows after it are not looked at, which counts as more.  So a run of like lines takes time in
-    proportion to its lines; lines without any such other look at all windows before them.
+    windows after it are not looked at, which counts as more.  Windows start small and grow, so a line among
+    like ones is compared with a few of them and a run of such lines takes time in proportion to their
+    number; lines without any such other look at all windows before them.
     """
     rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     n = len(bits)
@@ -198,18 +205,19 @@ def candidates(bits: np.ndarray, stands: np.ndarray, place: np.ndarray, most: in
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         count = np.zeros(len(q), np.int64)
         open_ = np.ones(len(q), bool)
-        for at in range(0, int(upto[q[-1]]), WINDOW):
+        at, step = 0, max(1, WINDOW // 64)
+        while at < int(upto[q[-1]]):
             who = np.flatnonzero(open_ & (upto[q] > at))
             if not len(who):
                 break
-            c = np.arange(at, min(n, at + WINDOW))
-            far = np.bitwise_count(bits[q[who], None] ^ bits[None, c])
+            c = np.arange(at, min(n, at + step))
+            far = apart(bits[q[who]], bits[c])
             ok = (far <= most) & (c[None, :] < upto[q[who], None]) & (c[None, :] != q[who, None]) & (stands[q[who], None] | stands[None, c])
             i, j = np.nonzero(ok)
             found.append((who[i], c[j], far[i, j]))
             count += np.bincount(who[i], minlength=len(q))
-            left = at + WINDOW < upto[q]
-            stop = (count >= first) & left & open_
+            at, step = at + step, min(4 * step, WINDOW)
+            stop = (count >= first) & (at < upto[q]) & open_
             count[stop] += 1  # windows that are not looked at
             open_ &= ~stop
         if not found:
@@ -345,7 +353,7 @@ def within(a: str, b: str, tau: int) -> bool:
     return dist <= tau
 
 
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterable[pa.RecordBatch], least: int = MIN_NEAR) -> Iterator[pa.RecordBatch]:
     """(k, line) of each line of some documents that edits are counted for, once a task as far as it remembers."""
     seen: set[bytes] = set()
     for batch in batches:
@@ -353,7 +361,7 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in K.texts(batch.column(0)):
             for x in t.split("\n"):
                 x = x.strip(_SPACE)
-                if len(x) < MIN_NEAR or (k := _digest(x)) in seen:
+                if len(x) < least or (k := _digest(x)) in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(k)
@@ -406,30 +414,33 @@ def _head64(k: str):
     return F.conv(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)]), 16, -10).cast("long")
 
 
-def repeated_lines(docs: DataFrame, *, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, *, tau: int = TAU, min_exact: int = MIN_EXACT, min_near: int = MIN_NEAR) -> tuple[DataFrame, DataFrame]:
     """(lines, removed): written rows of _lines(), and (doc_id, exact, near) with the numbers of removed lines.
 
     A line number means a line only where an id names one row: rows whose id is null or repeats keep their
     lines, though later documents lose what stands in them (null ids come last).  Null and empty texts have
-    no lines.
+    no lines.  min_exact: characters from which equal lines go (1: all that are not blank); min_near: those from
+    which near ones do, tau + 1 at least, as a line needs a character for each segment.
     """
+    if not 1 <= min_exact <= min_near or min_near <= tau:
+        raise ValueError("1 <= min_exact <= min_near, and min_near > tau")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = written(docs.mapInArrow(K.tidy(_lines), "doc_id long, line_no int, k binary, chars int"), "lines")
+    lines = written(docs.mapInArrow(K.tidy(partial(_lines, least=min_exact)), "doc_id long, line_no int, k binary, chars int"), "lines")
     at = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "line_no")
     classes = lines.filter("line_no >= 0").groupBy("k").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"), F.min("chars").alias("chars"))
     classes = written(classes, "line-classes")
     total = classes.count()
     buckets = max(64, total * (tau + 1) * (2 * tau + 1) // PER_BUCKET)
-    packed = docs.mapInArrow(K.tidy(_signatures(tau, buckets)), _PACKED)
+    packed = docs.mapInArrow(K.tidy(_signatures(tau, buckets, min_near)), _PACKED)
     meet, members = _meet(tau)
     met = written(packed.repartition(buckets, "bucket").mapInArrow(K.tidy(meet), _MET), "line-runs")
 
     asked = met.filter("q is not null").select("run", "q", "x", "more")
-    named = classes.filter(F.col("chars") >= MIN_NEAR).select("k", "first", _head64("k").alias("name"))
+    named = classes.filter(F.col("chars") >= min_near).select("k", "first", _head64("k").alias("name"))
     needed = asked.select(F.col("q").alias("name")).union(asked.select("x")).union(met.filter("members is not null").select("run", F.lit(0).cast("long").alias("salt"), "members").mapInArrow(K.tidy(members), "run long, salt long, name long").select("name"))
     ends = written(named.join(needed.distinct(), "name", "left_semi"), "line-ends")
     ids = written(ends.select(F.col("first.doc_id").alias("_first")).distinct(), "line-docs")
-    texts = small_join(docs, ids, F.expr("doc_id <=> _first"), "left_semi").select("text").mapInArrow(K.tidy(_texts), "k binary, line string")
+    texts = small_join(docs, ids, F.expr("doc_id <=> _first"), "left_semi").select("text").mapInArrow(K.tidy(partial(_texts, least=min_near)), "k binary, line string")
     # Equal lines meet once per task at most, and are one before they meet their places.
     texts = written(ends.join(texts.dropDuplicates(["k"]), "k"), "line-texts")
 
@@ -463,12 +474,14 @@ def repeated_lines(docs: DataFrame, *, tau: int = TAU) -> tuple[DataFrame, DataF
     return lines, written(hit, "line-removed")
 
 
-def line_report(docs: DataFrame, *, tau: int = TAU) -> DataFrame:
+def line_report(docs: DataFrame, **how) -> DataFrame:
     """Per row: doc_id, n_lines (with something on them), n_exact, n_near, and the removed lines' numbers from 0.
 
-    near: first occurrences removed for an earlier line within tau edits; exact: all other removed lines.
+    near: first occurrences removed for an earlier line within tau edits; exact: all other removed lines.  how: tau,
+    min_exact and min_near of ``repeated_lines``.  Null and empty texts have no lines; very long lines are lines
+    like others; other columns are not read, whatever their names; no documents, no rows.
     """
-    lines, removed = repeated_lines(docs, tau=tau)
+    lines, removed = repeated_lines(docs, **how)
     each = lines.filter("line_no = -1").select("doc_id", F.col("chars").cast("long").alias("n_lines"))
     d = each.join(removed.withColumnRenamed("doc_id", "_id"), F.expr("doc_id <=> _id"), "left")
     none = F.array().cast("array<int>")
@@ -476,12 +489,13 @@ def line_report(docs: DataFrame, *, tau: int = TAU) -> DataFrame:
     return d.select("doc_id", "n_lines", F.size(exact).cast("long").alias("n_exact"), F.size(near).cast("long").alias("n_near"), F.array_join(F.array_sort(F.concat(exact, near)).cast("array<string>"), ",").alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, *, tau: int = TAU) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     """docs without repeated lines, columns as before, n_chars (where present) counted anew.
 
-    Documents that lose lines and have no word left are gone: every line of theirs stands elsewhere.
+    Documents that lose lines and have no word left are gone: every line of theirs stands elsewhere.  how: as of
+    ``line_report``.  Null and empty texts stay, and so do all columns, whatever their names.
     """
-    _, removed = repeated_lines(docs.select("doc_id", "text"), tau=tau)
+    _, removed = repeated_lines(docs.select("doc_id", "text"), **how)
     gone = removed.select(F.col("doc_id").alias("_id"), F.concat("exact", "near").alias("_gone"))
     # The row travels as one column, so that none of its names can clash.
     rows = docs.select(F.struct(*every(docs)).alias("_row"))
