@@ -2,45 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
+from sextant.tables import fresh_path
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows and bytes up to which a small table is broadcast; beyond, the join shuffles and AQE splits its skewed keys.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local one, in local mode only (tests)."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        app = sc.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="sextant-")
-        path = _own_dirs[app]
-    return path.rstrip("/")
-
 
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
+    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors; ``tables.scratch`` deletes it.
 
     narrow: rows are a few ids, so two tasks per core of the cluster write them, however many partitions there are.
     """
     spark = df.sparkSession
     df = df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df
-    path = f"{shared_dir(spark)}/sextant/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
