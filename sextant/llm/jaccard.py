@@ -38,6 +38,8 @@ ORDERS, NEIGHBOURS = 8, 3
 PACK, FREQUENT, FREQUENT_MIN = 1_000_000, 1 << 20, 4
 #: Digests that a task remembers, to emit exact copies once.
 SEEN = 200_000
+#: Classes in a block of those that have a frequent token: two blocks at a time meet in one task.
+HOT = 4096
 #: Members of a group whose union is one row of the matrix.
 GROUP = 512
 #: Classes whose ids are broadcast to find their texts; beyond, the join shuffles.
@@ -227,38 +229,47 @@ def _prefixes(size: int, buckets: int, last, threshold: tuple[int, int]):
     Columns of the input: text, k64 and comp of the group that the document is in (null: none).  For each
     token: 32 bits of it, its class, the size of the set and how many tokens follow in the common order,
     itself included; for classes in groups also the group.  Sizes are cut at 65535, which says "not less".
+
+    A token that many have is dealt over tasks: its classes are hashed to blocks, and each two blocks, and each
+    block alone, meet under a name of their own.  A class goes to one name for each block; sides say which of the
+    two blocks it is from (0: they are the same), as classes of one block need not meet there again.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = last.value
         once, n_held = _Once(), 0
-        held: list[tuple[np.ndarray, int, int | None, int]] = []
+        held: list[tuple[np.ndarray, int, int | None, int, np.ndarray]] = []
 
         def pack() -> pa.RecordBatch:
-            lens = np.array([len(t) for t, _, _, _ in held])
-            tok = np.concatenate([t for t, _, _, _ in held])
+            lens = np.array([len(x[0]) for x in held])
+            tok, copies = (np.concatenate([x[i] for x in held]) for i in (0, 4))
             node = np.repeat(np.array([x[1] for x in held], np.int64), lens)
             n = np.repeat(np.array([x[3] for x in held], np.int64), lens)
             rem = n - (np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens))
             grouped = np.repeat(np.array([x[2] is not None for x in held]), lens)
             comp = np.repeat(np.array([x[2] or 0 for x in held], np.int64), lens)
+            tok, side, row = _dealt(tok, node, copies)
+            node, n, rem, grouped, comp = (x[row] for x in (node, n, rem, grouped, comp))
             names, cut = _cut(_home(tok, buckets))
             blobs = lambda x: pa.array([x[o].tobytes() for o in cut], pa.binary())
             at = pa.array([np.flatnonzero(grouped[o]).astype(np.uint32).tobytes() for o in cut], pa.binary())
             comps = pa.array([comp[o][grouped[o]].tobytes() for o in cut], pa.binary())
             small = lambda x: np.minimum(x, 65535).astype(np.uint16)
-            return pa.RecordBatch.from_arrays([pa.array(names), blobs(tok.astype(np.uint32)), blobs(node), blobs(small(n)), blobs(small(rem)), at, comps], ["bucket", "tokens", "nodes", "sizes", "rests", "grouped", "comps"])
+            return pa.RecordBatch.from_arrays([pa.array(names), blobs(tok.astype(np.uint32)), blobs(node), blobs(small(n)), blobs(small(rem)), blobs(side), at, comps], ["bucket", "tokens", "nodes", "sizes", "rests", "sides", "grouped", "comps"])
 
         for batch in batches:
             for s, me, comp in _named(batch, size, once):
-                t = s
+                t, among = s, np.zeros(len(s), np.int64)
                 if len(often):
                     key = _home(s, buckets).astype(np.int64) << 32 | (s & np.uint64(0xFFFFFFFF)).astype(np.int64)
                     at = np.minimum(np.searchsorted(often, key), len(often) - 1)
-                    t = s[np.argsort(np.where(often[at] == key, rank[at], 0), kind="stable")]
-                t = t[: K.prefix_length(len(s), *threshold)]
-                held.append((t, me, comp, len(s)))
-                n_held += len(t)
+                    among = np.where(often[at] == key, rank[at], 0).astype(np.int64)
+                    order = np.argsort(among, kind="stable")
+                    t, among = s[order], among[order]
+                first = K.prefix_length(len(s), *threshold)
+                copies = np.int64(1) << np.maximum(among[:first] - HOT.bit_length(), 0)
+                held.append((t[:first], me, comp, len(s), copies))
+                n_held += int(copies.sum())
                 if n_held >= PACK:
                     yield pack()
                     held, n_held = [], 0
@@ -268,7 +279,21 @@ def _prefixes(size: int, buckets: int, last, threshold: tuple[int, int]):
     return run
 
 
-_PACKED = "bucket int, tokens binary, nodes binary, sizes binary, rests binary, grouped binary, comps binary"
+def _dealt(tok: np.ndarray, node: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, sides, rows) of tokens of classes: a token once, or under a name for each pair of blocks that its class is in; copies: blocks, a power of two."""
+    row = np.repeat(np.arange(len(tok)), copies)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+    own = (K.mix(node.view(np.uint64)[row]) & (copies[row] - 1).astype(np.uint64)).astype(np.int64)
+    pair = (np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64) + np.uint64(1)
+    name = np.where(copies[row] > 1, K.mix(tok[row] ^ K.mix(pair)), tok[row])
+    return name, np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint8), row
+
+
+_PACKED = "bucket int, tokens binary, nodes binary, sizes binary, rests binary, sides binary, grouped binary, comps binary"
+
+
+#: A size of which no more is known than that it is large.
+_MANY = 1 << 40
 
 
 def _meet(threshold: tuple[int, int], parts_out: int):
@@ -276,48 +301,60 @@ def _meet(threshold: tuple[int, int], parts_out: int):
 
     A pair needs den/(num+den)-ths of both sizes in common (3/7 at 3/4), so its first common token must
     leave as many to come in either set; tokens that leave fewer are not a pair's first.  Of two groups
-    the one with fewer members at a token asks there, so that each pair of groups meets once.
+    the one with fewer members at a token asks there, so that each pair of groups meets once.  A group is
+    looked at as a whole, by the range of its sizes: a token costs its rows times its groups.
     """
     num, den = threshold
 
     def pairs(parts: list[tuple]) -> np.ndarray:
-        tok, node, n, rem, comp = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        order = np.lexsort((comp == node, node, tok))  # of equal (token, class), the row that knows its group first
+        tok, node, n, rem, side, comp = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        order = np.lexsort((comp == node, side, node, tok))  # of equal (token, class, side), the row that knows its group first
         same = np.zeros(len(tok), bool)
-        same[1:] = (tok[order][1:] == tok[order][:-1]) & (node[order][1:] == node[order][:-1])
+        same[1:] = (tok[order][1:] == tok[order][:-1]) & (node[order][1:] == node[order][:-1]) & (side[order][1:] == side[order][:-1])
         order = order[~same]
         a, b = K.runs(tok[order])
         out, n_out = [np.zeros((0, 2), np.int64)], 0
         for x, y in zip(a[b - a > 1].tolist(), b[b - a > 1].tolist()):
             o = order[x:y]
-            c, ns, rs, ids = comp[o], n[o].astype(np.int64), rem[o].astype(np.int64), node[o]
+            c, s, ids = comp[o], side[o], node[o]
             if (c == c[0]).all():
                 continue
-            ns, rs = np.where(ns == 65535, 1 << 40, ns), np.where(rs == 65535, 1 << 40, rs)
-            _, inv, times = np.unique(c, return_inverse=True, return_counts=True)
-            t = times[inv]
-            for q in range(y - x):
-                ok = (t > t[q]) | ((t == t[q]) & (c > c[q]))
-                big = (ns == 1 << 40) | (ns[q] == 1 << 40)
-                ok &= big | ((den * np.minimum(ns, ns[q]) >= num * np.maximum(ns, ns[q])) & ((num + den) * np.minimum(rs, rs[q]) >= num * (ns + ns[q])))
+            ns, rs = (np.where(v[o] == 65535, _MANY, v[o].astype(np.int64)) for v in (n, rem))
+            names, inv, times = np.unique(c, return_inverse=True, return_counts=True)
+            place = np.empty(len(names), np.int64)  # of a group among the others: those with more members later
+            place[np.lexsort((names, times))] = np.arange(len(names))
+            place = place[inv]
+            # Groups, by side, as rows: the sizes of their members lie between two values, and none leaves more to come.
+            by = np.lexsort((s, place))
+            new = np.ones(len(by), bool)
+            new[1:] = (place[by][1:] != place[by][:-1]) | (s[by][1:] != s[by][:-1])
+            at = np.flatnonzero(new)
+            g, gs, gp = c[by][at], s[by][at], place[by][at]
+            low, high, rest = np.minimum.reduceat(ns[by], at), np.maximum.reduceat(ns[by], at), np.maximum.reduceat(rs[by], at)
+            later = np.searchsorted(gp, place, "right")
+            for q in np.flatnonzero(later < len(g)).tolist():
+                i, m = later[q], ns[q]
+                near = np.clip(m, low[i:], high[i:])
+                least = np.maximum(low[i:], -(-num * m // den))
+                fits = (den * np.minimum(near, m) >= num * np.maximum(near, m)) & ((num + den) * np.minimum(rest[i:], rs[q]) >= num * (least + m))
+                ok = (fits | (high[i:] == _MANY) | (m == _MANY)) & ((gs[i:] != s[q]) | (s[q] == 0))
                 if ok.any():
-                    g = np.unique(c[ok])
-                    out.append(np.column_stack([np.full(len(g), ids[q]), g]))
-                    n_out += len(g)
-            if n_out >= PACK // 2:  # pairs that share several tokens would pile up
-                out = [_once_each(out)]
-                n_out = 0
+                    found = g[i:][ok]
+                    out.append(np.column_stack([np.full(len(found), ids[q]), found]))
+                    n_out += len(found)
+                if n_out >= PACK:  # pairs that share several tokens would pile up
+                    out, n_out = [_once_each(out)], 0
         return _once_each(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
-        kinds = (np.uint32, np.int64, np.uint16, np.uint16, np.uint32, np.int64)
+        kinds = (np.uint32, np.int64, np.uint16, np.uint16, np.uint8, np.uint32, np.int64)
         for batch in batches:
             for r, b in enumerate(batch.column(0).to_pylist()):
-                tok, node, n, rem, at, comps = (np.frombuffer(batch.column(i)[r].as_py(), t) for i, t in enumerate(kinds, 1))
+                tok, node, n, rem, side, at, comps = (np.frombuffer(batch.column(i)[r].as_py(), t) for i, t in enumerate(kinds, 1))
                 comp = node.copy()
                 comp[at] = comps
-                parts.setdefault(b, []).append((tok, node, n, rem, comp))
+                parts.setdefault(b, []).append((tok, node, n, rem, side, comp))
         for b in sorted(parts):
             p = pairs(parts.pop(b))
             if len(p):

@@ -190,14 +190,54 @@ def test_jaccard_components(spark, monkeypatch, orders):
     assert sorted(map(tuple, got), key=repr) == brute_components(rows)
 
 
-def test_jaccard_prefixes_alone_lose_nothing(spark, monkeypatch):
-    """Without any group from the minima, the matrix finds all links."""
+@pytest.mark.parametrize("hot", [4096, 2, 1])
+def test_jaccard_prefixes_alone_lose_nothing(spark, monkeypatch, hot):
+    """Without any group from the minima, the matrix finds all links, also where most tokens are dealt over tasks."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
     monkeypatch.setattr(jaccard, "_neighbours", lambda t: lambda batches: iter(()))
     rows = list(enumerate(family(random.Random(9), 90)))
     got = jaccard.shingle_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=repr) == brute_components(rows)
 
 
+def test_jaccard_frequent_token_is_dealt():
+    """Each two classes of a token meet under one name, and no name has more than two blocks of them."""
+    node, copies = np.arange(3000, dtype=np.int64), 16
+    name, side, row = jaccard._dealt(np.full(3000, 77, np.uint64), node, np.full(3000, copies))
+    met = Counter()
+    for x in np.unique(name):
+        r, s = row[name == x], side[name == x]
+        assert len(r) < 3 * 3000 / copies
+        i, j = np.triu_indices(len(r), 1)
+        ok = (s[i] != s[j]) | (s[i] == 0)
+        met.update(zip(np.minimum(r[i], r[j])[ok].tolist(), np.maximum(r[i], r[j])[ok].tolist()))
+    assert len(met) == 3000 * 2999 // 2 and set(met.values()) == {1}
+    name, side, row = jaccard._dealt(np.array([5, 6], np.uint64), np.array([1, 2]), np.array([1, 1]))
+    assert name.tolist() == [5, 6] and side.tolist() == [0, 0] and row.tolist() == [0, 1]
+
+
+def test_jaccard_meets_by_ranges_of_groups():
+    """What meets at a token holds all pairs of classes of different groups that could link, each from one end."""
+    rng = np.random.default_rng(4)
+    n, size = 400, 300
+    node, sizes = rng.permutation(n).astype(np.int64), rng.integers(200, size, n)
+    rest, comp = rng.integers(sizes // 2, sizes), np.where(node < 300, node, 1000 + node % 7)
+    blob = lambda x, t: x.astype(t).tobytes()
+    rows = pa.RecordBatch.from_pydict({
+        "bucket": pa.array([0], pa.int32()), "tokens": [blob(np.full(n, 3), np.uint32)], "nodes": [blob(node, np.int64)], "sizes": [blob(sizes, np.uint16)], "rests": [blob(rest, np.uint16)], "sides": [blob(np.zeros(n), np.uint8)],
+        "grouped": [blob(np.flatnonzero(comp != node), np.uint32)], "comps": [blob(comp[comp != node], np.int64)],
+    })
+    got = set()
+    for b in jaccard._meet((3, 4), 1)([rows]):
+        for x in b.column(1).to_pylist():
+            got |= set(map(tuple, np.frombuffer(x, np.int64).reshape(-1, 2).tolist()))
+    for i, j in zip(*np.triu_indices(n, 1)):
+        if comp[i] != comp[j] and 4 * min(sizes[i], sizes[j]) >= 3 * max(sizes[i], sizes[j]) and 7 * min(rest[i], rest[j]) >= 3 * (sizes[i] + sizes[j]):
+            assert ((node[i], comp[j]) in got) or ((node[j], comp[i]) in got)
+    single = {(a, b) for a, b in got if a < 300 and b < 1000}
+    assert all((b, a) not in single for a, b in single)
+
+
 def test_keep_one(spark):
     d = odd_docs(spark)
     out = jaccard.keep_one(d)
